@@ -1,4 +1,4 @@
-"""Queries and oracle SQL of the problems tagged llm (2, 3, 4, 5, 8, 9, 10)."""
+"""Queries and oracle SQL of the problems tagged llm (2 to 5 and 8 to 10)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripleloom.llm.copies import collapse, fact_copies, survivors
 from tripleloom.llm.groups import match_groups
 from tripleloom.llm.mixing import mixture, mixture_shares
+from tripleloom.llm.names import same_names
 from tripleloom.llm.packing import fill_containers, fill_report
 from tripleloom.llm.spans import shared_chars
 from tripleloom.plans.data_queries import letters_digits, micros
@@ -20,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return match_groups(table(spark, d, "entity_aliases"), "canonical_id", "alias_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_names(*(table(spark, d, t) for t in ("entities", "name_forms", "er_labelled_pairs")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return fact_copies(table(spark, d, "triples"))
 
@@ -87,7 +92,7 @@ c AS (SELECT doc_id, i, coalesce(least(150, i - lag(i) OVER (PARTITION BY doc_id
 SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM c GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 SQL: dict[str, str] = {"p2_found": _P2, "p4_found": _P4, "p4_collapsed": _P4_COLLAPSED, "p5_found": _P5, "p10_found": _P10}
