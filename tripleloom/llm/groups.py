@@ -56,6 +56,9 @@ def grid_components(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame
         blocks = int(np.ceil(np.sqrt(left / cell_edges)))
         cell = F.pmod(F.xxhash64("u"), F.lit(blocks)) * blocks + F.pmod(F.xxhash64("v"), F.lit(blocks))
         reps = materialise(live.groupBy(cell.alias("cell")).applyInPandas(_cell, "x long, rep long"), "cells")
+        if blocks == 1:  # one cell saw every edge: its representatives are final
+            rounds.append(reps.withColumnRenamed("rep", "parent"))
+            break
         parents = materialise(reps.groupBy("x").agg(F.min("rep").alias("parent")), "parents")
         rounds.append(parents)
         live = materialise(reps.join(parents, "x").filter("rep <> parent").select(F.col("parent").alias("u"), F.col("rep").alias("v")).distinct(), "links")
