@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
+from tripleloom.clients import CommandClient, load_env
 from tripleloom.engine import Engine
+from tripleloom.serve import App, server
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,14 +43,28 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("question")
     q.add_argument("--mode", default="local", choices=["local", "global", "drift"])
     q.add_argument("--hops", type=int, default=2)
+    x = sub.add_parser("extract")
+    x.add_argument("source")
+    x.add_argument("--command", dest="client", nargs="+", required=True, help="command that answers a prompt on its standard input")
+    v = sub.add_parser("serve")
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=8000)
     return p
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     e = Engine(spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), a.path)
-    if a.command == "ingest":
-        r = e.ingest(a.source, a.adapter, a.dry_run, a.strict, a.max_facts)
+    if a.command == "serve":
+        env = load_env(".env", dict(os.environ))
+        app = App(e, env.get("TRIPLELOOM_API_KEY"), int(env.get("TRIPLELOOM_RATE_LIMIT") or 0))
+        logging.basicConfig(level=logging.INFO, format="%(message)s")
+        server(app, a.host, a.port).serve_forever()
+    if a.command in ("ingest", "extract"):
+        if a.command == "extract":
+            r = e.ingest(a.source, "llm", client=CommandClient(tuple(a.client)))
+        else:
+            r = e.ingest(a.source, a.adapter, a.dry_run, a.strict, a.max_facts)
         print(r.summary())
         return 0
     out = {

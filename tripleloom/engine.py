@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripleloom.operators import communities as com
 from tripleloom.operators import graph, resolve, rules, vectors
 from tripleloom.operators.extraction import call, parse_replies, sections
-from tripleloom.operators.retrieval import Retriever
+from tripleloom.operators.retrieval import Retriever, extractive, search_text
 from tripleloom.operators.store import TripleStore, provenance, query
 from tripleloom.operators.validate import validate
 from tripleloom.schema import EXTRACTOR, UNIVERSAL, VAULT
@@ -45,7 +45,7 @@ class Engine:
         self.encoder = encoder or vectors.NGramEncoder()
         self.client = client
 
-    def _table(self, name: str) -> DataFrame | None:
+    def table(self, name: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(f"{self.path}/{name}")
         except Exception:  # noqa: BLE001  not built yet
@@ -84,12 +84,17 @@ class Engine:
         self.store.add(resolve.same_as_edges(aliases, entities, timestamp))
         return {"aliases": aliases.count(), "flagged": got["flagged"].count(), "by_phase": {r["phase"]: r["n"] for r in resolve.alias_stats(aliases).filter("phase is not null").collect()}}
 
-    def embed(self, epochs: int = 30) -> dict:
-        """Encode entities, learn the aggregator, store vectors with their kinds."""
+    def embed(self, epochs: int = 30, retrain: bool = True) -> dict:
+        """Encode entities, learn the aggregator (or reuse stored weights of the same shape), store
+        vectors with their kinds. All entities are encoded anew, as new edges change old vectors too."""
         t, e = self.store.triples(), self.store.entities()
         base = materialise(vectors.encode(vectors.entity_texts(t, e), "text", self.encoder).select("id", "vec"), "base")
         adj = materialise(vectors.adjacency(t, e), "adjacency")
-        w, losses = vectors.train(base, adj, epochs)
+        w = None if retrain else vectors.load_weights(self.spark, f"{self.path}/weights", self.encoder.dim)
+        losses: list[float] = []
+        if w is None:
+            w, losses = vectors.train(base, adj, epochs)
+            vectors.save_weights(self.spark, f"{self.path}/weights", w)
         final = vectors.aggregate(base, adj, w).join(e.groupBy("id").agg(F.min("kind").alias("kind")), "id")
         final.write.mode("overwrite").parquet(f"{self.path}/vectors")
         return {"entities": base.count(), "edges": adj.count() // 2, "losses": losses}
@@ -102,27 +107,35 @@ class Engine:
             return {"levels": 0, "communities": 0, "covered": 0}
         levels = materialise(com.hierarchy_levels(edges, **params), "hierarchy")
         c, m = com.community_tables(levels)
-        from tripleloom.operators.retrieval import extractive
-
         said = com.summarise(com.community_facts(t, m), m, client or self.client or extractive)
         c.join(said, "community_id", "left").write.mode("overwrite").parquet(f"{self.path}/communities")
         m.write.mode("overwrite").parquet(f"{self.path}/community_members")
         return com.detection_stats(levels).first().asDict()
 
     def retriever(self, **kw) -> Retriever:
-        v = self._table("vectors")
-        return Retriever(self.store.triples(), self.store.entities(), self._table("communities"), self._table("community_members"), self._table("aliases"), v, self.encoder if v is not None else None, **({"client": self.client} if self.client else {}), **kw)
+        v = self.table("vectors")
+        return Retriever(self.store.triples(), self.store.entities(), self.table("communities"), self.table("community_members"), self.table("aliases"), v, self.encoder if v is not None else None, **({"client": self.client} if self.client else {}), **kw)
 
     def ask(self, question: str, mode: str = "local", hops: int = 2) -> dict:
         return self.retriever(hops=hops).ask(question, mode)
 
     def similar(self, entity: str, k: int = 10, kind: str | None = None) -> DataFrame:
-        v = self._table("vectors")
+        v = self.table("vectors")
         if v is None:
             raise ValueError("no vectors yet")
         data = v.filter(F.col("kind") == kind) if kind else v
         return vectors.nearest(data.select("id", "vec"), v.filter(F.col("id") == entity).select("id", "vec"), k)
 
+    def search(self, text: str, k: int = 10, kind: str | None = None) -> DataFrame:
+        """The k entities nearest to a text, encoded as the entities were."""
+        v = self.table("vectors")
+        if v is None:
+            raise ValueError("no vectors yet")
+        return search_text(v, text, self.encoder, k, kind)
+
+    def vectors_table(self) -> DataFrame | None:
+        return self.table("vectors")
+
     def query(self, **kw) -> DataFrame:
         return query(self.store.triples(), **kw)
 

@@ -9,6 +9,7 @@ their connected pieces, so every community is connected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from tripleloom.operators.store import top_per_key
 from tripleloom.schema import NOISE_PREDICATES, SEMANTIC_PREDICATES, STRONG_PREDICATES
 from tripleloom.session import materialise
 
+#: Edges of a graph that one task partitions at most.
+LOCAL_EDGES = 200_000
+
 
 def semantic_edges(triples: DataFrame) -> DataFrame:
     """(a, b, weight), a < b: semantic triples between different non-empty ends, strong ones count 2."""
@@ -49,23 +53,84 @@ def _moves(edges: DataFrame, resolution: float, rounds: int, salt: int) -> DataF
     return place.select("scope", "v", "c")
 
 
-def partition(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 6) -> DataFrame:
+def _local(resolution: float):
+    """The same quality function for a small graph in one task: vertices in order of their names move to
+    the neighbouring community of largest gain until none gains, then communities become vertices."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        scope = frame["scope"].iloc[0]
+        names = sorted(set(frame["a"]) | set(frame["b"]))
+        no = {v: i for i, v in enumerate(names)}
+        near: list[dict[int, float]] = [{} for _ in names]
+        for a, b, w in zip(frame["a"], frame["b"], frame["weight"], strict=True):
+            i, j = no[a], no[b]
+            near[i][j] = near[i].get(j, 0.0) + w
+        member = list(range(len(names)))
+        while True:
+            n = len(near)
+            degree = [sum(x.values()) for x in near]
+            total = sum(degree) or 1.0
+            place, size = list(range(n)), degree[:]
+            moved_at_all, moving = False, True
+            while moving:
+                moving = False
+                for i in range(n):
+                    links: dict[int, float] = {place[i]: 0.0}
+                    for j, w in near[i].items():
+                        if j != i:
+                            links[place[j]] = links.get(place[j], 0.0) + w
+                    own = place[i]
+                    size[own] -= degree[i]
+                    best, gain = own, links[own] - resolution * degree[i] * size[own] / total
+                    for c in sorted(links):
+                        g = links[c] - resolution * degree[i] * size[c] / total
+                        if g > gain + 1e-9:
+                            best, gain = c, g
+                    size[best] += degree[i]
+                    if best != own:
+                        place[i] = best
+                        moving = moved_at_all = True
+            if not moved_at_all:
+                break
+            used = {c: k for k, c in enumerate(sorted(set(place)))}
+            member = [used[place[m]] for m in member]
+            joined: list[dict[int, float]] = [{} for _ in used]
+            for i, x in enumerate(near):
+                to = joined[used[place[i]]]
+                for j, w in x.items():
+                    c = used[place[j]]
+                    to[c] = to.get(c, 0.0) + w
+            near = joined
+        least: dict[int, str] = {}
+        for v, m in zip(names, member, strict=True):
+            least.setdefault(m, v)
+        return pd.DataFrame({"scope": scope, "v": names, "c": [least[m] for m in member]})
+
+    return run
+
+
+def partition(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(scope, v, c): vertex to community of edges (scope, a, b, weight; a <> b, one direction).
 
-    Communities are connected and named by their least vertex; the result depends on no order of rows.
+    While a graph has more than ``local_edges`` edges, its vertices move in distributed rounds and it is
+    contracted; then one task a graph finishes it. Communities are connected and named by their least
+    vertex; the result depends on no order of rows.
     """
     both = edges.select("scope", F.explode(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))).alias("e")).select("scope", "e.*")
     live = materialise(both, "edges")
-    member = None
-    before = None
-    for level in range(levels):
-        c = _moves(live, resolution, rounds, level)
+    member, level, before = None, 0, None
+    while True:
+        large = live.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        stuck = before is not None and large[1] == before  # no vertex moved: nothing is left to contract
+        small = (large[0] or 0) <= 2 * local_edges
+        if stuck:
+            break
+        c = live.groupBy("scope").applyInPandas(_local(resolution), "scope string, v string, c string") if small else _moves(live, resolution, rounds, level)
         c = materialise(c, "moved")
         member = c if member is None else materialise(member.join(c.select("scope", F.col("v").alias("c"), F.col("c").alias("c2")), ["scope", "c"]).select("scope", "v", F.col("c2").alias("c")), "member")
-        n = c.select("scope", "c").distinct().count()
-        if n == before or n == c.count():
+        if small:
             break
-        before = n
+        level, before = level + 1, large[1]
         x = c.select("scope", F.col("v").alias("a"), F.col("c").alias("ca"))
         y = c.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
         live = materialise(live.join(x, ["scope", "a"]).join(y, ["scope", "b"]).groupBy("scope", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "edges")
@@ -143,8 +208,6 @@ def summaries(communities: DataFrame) -> DataFrame:
 def summarise(facts: DataFrame, members: DataFrame, client) -> DataFrame:
     """(community_id, summary): ``client(prompt, system)`` over each community's facts, a call each on
     the executors; a failing call gives null, a community without facts ''."""
-    import pandas as pd
-
     names = top_per_key(members.select("community_id", "entity_id").distinct(), ["community_id"], ["entity_id"], 20).groupBy("community_id").agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ", ").alias("names"))
     sizes = members.select("community_id", "entity_id").distinct().groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
     line = F.concat(F.lit("("), "subject", F.lit(")-["), "predicate", F.lit("]->("), "object", F.lit(")"))

@@ -92,7 +92,7 @@ def list_rank(arcs: DataFrame, local_max: int = LOCAL_ARCS) -> DataFrame:
     return done
 
 
-def _loops(nodes: DataFrame) -> DataFrame | None:
+def find_loops(nodes: DataFrame) -> DataFrame | None:
     """(nid, loop): every node that is on a loop or below one, with the smallest nid on the loop."""
     jump = materialise(nodes.filter("parent is not null").select("nid", F.col("parent").alias("j")), "peeled")
     left = jump.select("j").distinct().count()
@@ -145,7 +145,7 @@ def hierarchy(links: DataFrame, node: str, parent: str, version: str, local_max:
     numbered = materialise(sequence(held.select("id", F.col("r.p").alias("p")), [], ["id"], "id", "ids").select(F.col("pos").alias("nid"), "id", "p"), "nodes")
     known = numbered.select(F.col("id").alias("p"), F.col("nid").alias("parent"))
     nodes = materialise(numbered.join(known, "p", "left").select("nid", "id", "parent"), "parents")
-    loops = _loops(nodes)
+    loops = find_loops(nodes)
     trees = nodes if loops is None else materialise(nodes.join(loops, "nid", "left_anti"), "trees")
     # next sibling of each child, first child of each parent
     kids = sequence(trees.filter("parent is not null").select("parent", "nid"), ["parent"], ["nid"], "nid", "siblings")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.naming import initialism, jaro_winkler, normalise, phonetic_key
 from tripleloom.operators.graph import components, shortest_first
+from tripleloom.operators.hierarchy import find_loops
+from tripleloom.operators.ordered import sequence
 from tripleloom.schema import AUTO_MERGE, FLAG_FLOOR, SEMANTIC_FLOOR, STRING_WEIGHT, triple_id
 from tripleloom.session import materialise
 
@@ -37,22 +39,21 @@ def classes(entities: DataFrame) -> DataFrame:
 def blocks(reps: DataFrame, phonetic: bool = True, small: int = SMALL_KIND) -> DataFrame:
     """(block, kind, id, norm): kinds of at most ``small`` classes are one block, others have a block
     for each two-character prefix and (``phonetic``) each phonetic key."""
-    sizes = reps.groupBy("kind").agg(F.count(F.lit(1)).alias("_n"))
-    r = reps.join(F.broadcast(sizes), reps["kind"].eqNullSafe(sizes["kind"])).drop(sizes["kind"])  # a row a kind
+    sizes = reps.groupBy(F.col("kind").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    r = reps.join(sizes, F.col("kind").eqNullSafe(F.col("_k")))
     keys = [F.concat(F.lit("p:"), F.substring("norm", 1, 2))] + ([F.concat(F.lit("m:"), phonetic_key(F.col("id")))] if phonetic else [])
     return r.select("kind", "id", "norm", F.explode(F.when(F.col("_n") <= small, F.array(F.lit("*"))).otherwise(F.array(*keys))).alias("block"))
 
 
 def candidate_pairs(blocked: DataFrame, cell: int = CELL) -> DataFrame:
     """(kind, a, b, norm_a, norm_b), a < b: distinct pairs that share a block, made cell by cell."""
-    sizes = blocked.groupBy("kind", "block").agg(F.count(F.lit(1)).alias("_m"))
-    k = ["kind", "block"]
-    b = blocked.join(sizes.withColumn("_c", F.ceil(F.col("_m") / cell)), [blocked[x].eqNullSafe(sizes[x]) for x in k]).select(blocked["kind"], blocked["block"], "id", "norm", "_c")
+    sizes = blocked.groupBy(F.col("kind").alias("_k"), F.col("block").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / cell).alias("_c"))
+    b = blocked.join(sizes, F.col("kind").eqNullSafe(F.col("_k")) & (F.col("block") == F.col("_b"))).select("kind", "block", "id", "norm", "_c")
     b = b.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_c")))
     # a member is sent to the cells (i, j) of its row and its column; each pair meets in exactly one
     left = b.select("kind", "block", F.col("id").alias("x"), F.col("norm").alias("nx"), "_i", F.explode(F.sequence(F.col("_i"), F.col("_c") - 1)).alias("_j"))
     right = b.select(F.col("kind").alias("_k"), F.col("block").alias("_b"), F.col("id").alias("y"), F.col("norm").alias("ny"), F.col("_i").alias("_jj"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_i"))).alias("_ii"))
-    p = left.join(right, left["kind"].eqNullSafe(right["_k"]) & (F.col("block") == F.col("_b")) & (F.col("_i") == F.col("_ii")) & (F.col("_j") == F.col("_jj")))
+    p = left.join(right, F.col("kind").eqNullSafe(F.col("_k")) & (F.col("block") == F.col("_b")) & (F.col("_i") == F.col("_ii")) & (F.col("_j") == F.col("_jj")))
     p = p.filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
     swap = F.col("x") > F.col("y")
     return p.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("norm_a"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("norm_b")).distinct()
@@ -103,29 +104,36 @@ def same_as_edges(aliases: DataFrame, entities: DataFrame, timestamp: str) -> Da
     concept = F.lit("concept")
     out = a.select(
         F.col("alias_id").alias("subject"), F.lit("SAME_AS").alias("predicate"), F.col("canonical_id").alias("object"), F.coalesce("sk", concept).alias("source_kind"), F.coalesce("tk", concept).alias("target_kind"),
-        F.format_string("entity resolution merge via %s (confidence=%.3f)", F.col("method"), F.col("confidence")).alias("evidence"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))).alias("confidence"),
+        F.concat(F.lit("entity resolution merge via "), F.coalesce("method", F.lit("null")), F.lit(" (confidence="), F.when(F.col("confidence").isNull(), F.lit("null")).otherwise(F.format_string("%.3f", "confidence")), F.lit(")")).alias("evidence"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))).alias("confidence"),
         F.lit("resolution:entity_resolver").alias("source_doc"), F.lit("structural").alias("extraction_method"), F.lit(timestamp).alias("timestamp"), F.lit("entity_resolver").alias("adapter"), F.lit("inferred_relations").alias("layer"), F.lit("EntityResolver").alias("source"),
     )
     return out.withColumn("triple_id", triple_id())
 
 
 def canonical_map(aliases: DataFrame) -> DataFrame:
-    """(id, canonical): every alias followed to the end of its chain; of several rows of an alias the
-    least canonical id holds. Chains shorten by half each round; ids on a loop of aliases go to the
-    least id among those that are reached from each other.
+    """(id, canonical): every alias followed to the end of its chain, the steps doubling each round.
+
+    Of several rows of an alias the least canonical id holds; null ids and ids linked to themselves do
+    not count. Where a chain runs into a loop of aliases, the least id on the loop is canonical.
     """
     step = aliases.filter("alias_id is not null and canonical_id is not null and alias_id <> canonical_id").groupBy(F.col("alias_id").alias("id")).agg(F.min("canonical_id").alias("to"))
-    cur = materialise(step.withColumn("least", F.least("id", "to")), "chain")
+    step = materialise(step, "steps")
+    cur, left = step.withColumn("on", F.lit(True)), None
     while True:
-        far = cur.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("l2"))
-        nxt = materialise(cur.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.least("least", "l2").alias("least"), F.col("to2").isNotNull().alias("on"), (F.col("l2") < F.col("least")).alias("fell")), "chain")
-        moving = nxt.filter("on").count()
-        done = moving == cur.count() if "on" not in cur.columns else moving == cur.filter("on").count()
-        if not moving or (done and not nxt.filter("fell").head(1)):
+        far = cur.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("on").alias("on2"))
+        cur = materialise(cur.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("on") & F.coalesce("on2", F.lit(False))).alias("on")), "chain")
+        before, left = left, cur.filter("on").count()
+        if not left or left == before:  # nobody is on the way any more but those on loops
             break
-        cur = nxt
-    # whatever still moves is on a loop or leads into one
-    return nxt.select("id", F.when(F.col("on"), F.col("least")).otherwise(F.col("to")).alias("canonical"))
+    ended = cur.filter("not on").select("id", F.col("to").alias("canonical"))
+    if not left:
+        return ended
+    ring = sequence(cur.filter("on").select("id").join(step, "id"), [], ["id"], "id", "rings")
+    ring = materialise(ring.select("id", "to", F.col("pos").alias("nid")), "ring")
+    number = ring.select(F.col("id").alias("to"), F.col("nid").alias("parent"))
+    loops = find_loops(ring.join(number, "to").select("nid", "parent"))
+    names = ring.select(F.col("nid").alias("loop"), F.col("id").alias("canonical"))
+    return ended.union(loops.join(ring.select("nid", "id"), "nid").join(names, "loop").select("id", "canonical"))
 
 
 def alias_stats(aliases: DataFrame) -> DataFrame:

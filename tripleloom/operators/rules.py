@@ -113,7 +113,11 @@ def _structured_rules() -> list[Column]:
 
 def candidates(texts: DataFrame, doc: str, text: str, rules: list[Column], *keep: str, base: int = 0) -> DataFrame:
     """(doc_id, line_no, rule, match, predicate, object, kind, evidence, confidence, *keep)."""
-    numbered = F.concat(*[F.transform(r, lambda f, i=i: F.struct(F.lit(base + i).alias("rule"), *[f[c].alias(c) for c in ("match", "predicate", "object", "kind", "evidence", "confidence")])) for i, r in enumerate(rules)])
+
+    def number(rule: Column, no: int) -> Column:
+        return F.transform(rule, lambda f: F.struct(F.lit(no).alias("rule"), *[f[c].alias(c) for c in ("match", "predicate", "object", "kind", "evidence", "confidence")]))
+
+    numbered = F.concat(*[number(r, base + i) for i, r in enumerate(rules)])
     got = lines(texts, doc, text, *keep).select("doc_id", "line_no", *keep, F.explode(numbered).alias("f")).select("doc_id", "line_no", *keep, "f.*")
     return got.filter(strip(F.col("object")) != "")
 

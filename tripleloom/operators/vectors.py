@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleloom.operators.store import top_per_key
@@ -109,6 +109,19 @@ def initial_weights(dim: int, seed: int = 42) -> np.ndarray:
     return w.astype(np.float32)
 
 
+def save_weights(spark: SparkSession, path: str, w: np.ndarray) -> None:
+    spark.createDataFrame([(w.shape[0], w.shape[1], [float(x) for x in w.ravel()])], "rows int, cols int, w array<float>").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str, dim: int) -> np.ndarray | None:
+    """Stored weights if there are any of the shape (dim, 2 dim)."""
+    try:
+        r = spark.read.parquet(path).first()
+    except Exception:  # noqa: BLE001  never trained
+        return None
+    return np.array(r["w"], np.float32).reshape(r["rows"], r["cols"]) if r and (r["rows"], r["cols"]) == (dim, 2 * dim) else None
+
+
 def forward(concat: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit vectors, pre-activations, norms) of one layer: W times (own, neighbour mean), ReLU, L2."""
     pre = concat @ w.T
@@ -211,19 +224,21 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 10, same_group: bool =
     cells = max(1, -(-d.count() // DATA_CELL))
     blocks = max(1, -(-q.count() // QUERY_CELL))
     dc = d.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    qc = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    # other names than the data's: queries are mostly rows of the same table
+    q = q.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), *[F.col(g).alias(f"q_{g}") for g in group])
+    qc = q.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     wide = 4 * k if quantised else k
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "id": [], "score": []})
         right = right.sort_values("id", ignore_index=True)
-        a, b = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (left, right))
+        a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (left["q_vec"], right["vec"]))
         a, b = _unit(a), _unit(b)
         s = _unit(quantise(a).astype(np.float32)) @ _unit(quantise(b).astype(np.float32)).T if quantised else a @ b.T
-        bad = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        bad = left["q_id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
         if same_group:
-            bad |= left["grp"].to_numpy()[:, None] != right["grp"].to_numpy()[None, :]
+            bad |= left["q_grp"].to_numpy()[:, None] != right["grp"].to_numpy()[None, :]
         s = np.where(bad, -np.inf, s)
         top = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :wide]
         rows = np.repeat(np.arange(len(left)), top.shape[1])
@@ -231,7 +246,7 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 10, same_group: bool =
         ok = np.isfinite(s[rows, cols])
         rows, cols = rows[ok], cols[ok]
         exact = np.einsum("ij,ij->i", a[rows], b[cols])
-        return pd.DataFrame({"query": left["id"].to_numpy()[rows], "id": right["id"].to_numpy()[cols], "score": exact})
+        return pd.DataFrame({"query": left["q_id"].to_numpy()[rows], "id": right["id"].to_numpy()[cols], "score": exact})
 
     kind = dict(d.dtypes)["id"]
     near = qc.groupBy("cell", "block").cogroup(dc.groupBy("cell", "block")).applyInPandas(cell, f"query {kind}, id {kind}, score double")
