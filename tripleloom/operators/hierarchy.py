@@ -37,19 +37,23 @@ def list_rank(arcs: DataFrame, local_max: int = LOCAL_ARCS) -> DataFrame:
 
     ``after`` is the number of arcs behind the arc in its list, ``total`` the sum of w from the arc
     to the end, ``tail`` the list's last arc. Every id occurs once and is next of one arc at most.
+    A list that has shrunk to one arc is ranked as it stands; only longer ones count for ``local_max``,
+    so any number of lists comes to an end.
     """
-    live = materialise(arcs.select("id", "next", F.lit(1).cast("long").alias("c"), F.col("w").cast("long").alias("w")), "arcs")
+    one = F.lit(1).cast("long")
+    live = materialise(arcs.select("id", "next", one.alias("c"), F.col("w").cast("long").alias("w"), F.when(F.col("next").isNull(), F.col("id")).alias("tail")), "arcs")
     spliced: list[DataFrame] = []
-    while live.count() > local_max:
+    while live.filter("next is not null").count() > local_max:
         coin = F.xxhash64(F.lit(len(spliced)), "id").bitwiseAND(F.lit(1))
         tossed = live.withColumn("coin", coin)
-        out = tossed.filter("coin = 1 and next is not null").select(F.col("id").alias("x"), F.col("next").alias("xn"), F.col("c").alias("xc"), F.col("w").alias("xw"))
-        joined = materialise(tossed.filter("coin = 0").join(out, F.col("next") == F.col("x"), "left"), "spliced")
-        gone = joined.filter("x is not null").select(F.col("x").alias("id"), F.col("xn").alias("next"), F.col("xc").alias("c"), F.col("xw").alias("w"))
-        kept = joined.select("id", F.when(F.col("x").isNull(), F.col("next")).otherwise(F.col("xn")).alias("next"), (F.col("c") + F.coalesce("xc", F.lit(0))).alias("c"), (F.col("w") + F.coalesce("xw", F.lit(0))).alias("w"))
-        heads = tossed.filter("coin = 1").drop("coin").join(gone.select("id"), "id", "left_anti")
+        out = tossed.filter("coin = 1").select(*[F.col(c).alias(f"x_{c}") for c in ("id", "next", "c", "w", "tail")])
+        joined = materialise(tossed.filter("coin = 0").join(out, F.col("next") == F.col("x_id"), "left"), "spliced")
+        took = F.col("x_id").isNotNull()
+        gone = joined.filter(took).select(*[F.col(f"x_{c}").alias(c) for c in ("id", "next", "c", "w", "tail")])
+        kept = joined.select("id", F.when(took, F.col("x_next")).otherwise(F.col("next")).alias("next"), (F.col("c") + F.coalesce("x_c", F.lit(0))).alias("c"), (F.col("w") + F.coalesce("x_w", F.lit(0))).alias("w"), F.when(took, F.col("x_tail")).otherwise(F.col("tail")).alias("tail"))
+        stay = tossed.filter("coin = 1").drop("coin").join(gone.select("id"), "id", "left_anti")
         spliced.append(gone)
-        live = materialise(kept.union(heads.select("id", "next", "c", "w")), "arcs")
+        live = materialise(kept.union(stay.select("id", "next", "c", "w", "tail")), "arcs")
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
@@ -62,31 +66,31 @@ def list_rank(arcs: DataFrame, local_max: int = LOCAL_ARCS) -> DataFrame:
         j = np.arange(len(t))
         j[has] = order[np.searchsorted(ids[order], nxt[has].to_numpy(np.int64))]
         c, w = t["c"].to_numpy(np.int64).copy(), t["w"].to_numpy(np.int64).copy()
-        c[~has] -= 1  # arcs behind: the tail itself does not count
-        own_c, own_w = c[~has].copy(), w[~has].copy()
-        tails = np.flatnonzero(~has)
-        c[tails] = 0
-        w[tails] = 0
-        while True:  # the tail adds nothing while pointers jump, its own share comes last
+        extra_c, extra_w = np.where(has, 0, c - 1), np.where(has, 0, w)  # arcs behind: the tail itself does not count
+        c[~has] = w[~has] = 0  # the tail adds nothing while pointers jump, its own share comes last
+        while True:
             k = j[j]
             if (k == j).all():
                 break
             c, w = c + c[j], w + w[j]
             j = k
-        extra_c, extra_w = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        extra_c[tails], extra_w[tails] = own_c, own_w
-        yield pd.DataFrame({"id": ids, "tail": ids[j], "after": c + extra_c[j], "total": w + extra_w[j]})
-
-    done = live.coalesce(1).mapInPandas(local, "id long, tail long, after long, total long")  # at most local_max rows
+        tails = np.where(has, 0, t["tail"].fillna(0).to_numpy(np.int64))
+        yield pd.DataFrame({"id": ids, "tail": tails[j], "after": c + extra_c[j], "total": w + extra_w[j]})
+
+    ends, longer = live.filter("next is null"), live.filter("next is not null")
+    met = longer.select(F.col("next").alias("id"))
+    few = longer.union(ends.join(met, "id", "left_semi").select(*longer.columns))  # at most 2 local_max rows
+    done = few.coalesce(1).mapInPandas(local, "id long, tail long, after long, total long")
+    done = done.union(ends.join(met, "id", "left_anti").select("id", "tail", (F.col("c") - 1).alias("after"), F.col("w").alias("total")))
     if spliced:
         done = materialise(done, "ranked")
     for gone in reversed(spliced):
-        behind = done.select(F.col("id").alias("next"), F.col("tail"), F.col("after").alias("a"), F.col("total").alias("t"))
-        back = gone.join(behind, "next").select(
+        behind = done.select(F.col("id").alias("next"), F.col("tail").alias("t_tail"), F.col("after").alias("a"), F.col("total").alias("t"))
+        back = gone.join(behind, "next", "left").select(
             "id",
-            "tail",
-            (F.col("a") + F.col("c")).alias("after"),
-            (F.col("w") + F.col("t")).alias("total"),
+            F.coalesce("t_tail", "tail").alias("tail"),
+            F.when(F.col("next").isNull(), F.col("c") - 1).otherwise(F.col("a") + F.col("c")).alias("after"),
+            F.when(F.col("next").isNull(), F.col("w")).otherwise(F.col("w") + F.col("t")).alias("total"),
         )
         done = materialise(done.union(back), "ranked")
     return done
