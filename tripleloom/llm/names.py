@@ -183,7 +183,11 @@ def _learned(names: DataFrame, pairs: dict[str, str]) -> list[tuple[str, str]]:
     short = two.filter((F.length("w") >= 2) & ~F.col("w").isin([*full, *pairs]) & ~F.col("w").contains("."))
     beside = short.join(two.filter(F.col("w").isin(full)).select("r", F.col("w").alias("f")), "r")
     seen = short.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    best = beside.groupBy("w", "f").agg(F.count(F.lit(1)).alias("k")).filter("k >= 3").join(seen, "w").filter("2 * k >= n")
+    families = two.select("r").distinct().count()
+    usual = two.filter(F.col("w").isin(full)).groupBy(F.col("w").alias("f")).agg(F.count(F.lit(1)).alias("m"))  # a row a full name
+    best = beside.groupBy("w", "f").agg(F.count(F.lit(1)).alias("k")).filter("k >= 3").join(seen, "w").join(usual, "f")
+    # half of the short name's families have the full name, and five times as many as families in general
+    best = best.filter((2 * F.col("k") >= F.col("n")) & (F.col("k") * families >= 5 * F.col("n") * F.col("m"))).drop("m")
     # at most a few words for each full name of the list
     top = best.groupBy("w").agg(F.max(F.struct("k", "f")).alias("b"), F.count(F.lit(1)).alias("m")).filter("m = 1").select("w", "b.f").collect()
     return sorted((r["w"], r["f"]) for r in top if not osa_one(r["w"], r["f"]))
