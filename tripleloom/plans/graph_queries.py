@@ -389,12 +389,12 @@ def er_initialisms(s, d):
 
 @q(f"WITH {_PAIRS} SELECT kind, a, b FROM p")
 def er_blocked_candidates(s, d):
-    return resolve.candidate_pairs(resolve.blocks(resolve.classes(names(s, d)), phonetic=False)).select("kind", "a", "b")
+    return resolve.candidate_pairs(resolve.blocks(resolve.classes(names(s, d)))).select("kind", "a", "b")
 
 
 @q(f"WITH {_SCORED} SELECT kind, a, b, round(score, 6) AS score, method, band FROM m WHERE band <> 'none'")
 def er_scored_pairs(s, d):
-    return resolve.matches(names(s, d), phonetic=False).select("kind", "a", "b", F.round("score", 6).alias("score"), "method", "band")
+    return resolve.matches(names(s, d)).select("kind", "a", "b", F.round("score", 6).alias("score"), "method", "band")
 
 
 _CANON = f"""WITH RECURSIVE {_SCORED}, x AS (SELECT kind, {_NORM.format('id')} AS norm, id FROM e), k AS (SELECT a, b FROM m WHERE band = 'auto' UNION SELECT x.id, c.id FROM x JOIN c ON x.kind = c.kind AND x.norm = c.norm WHERE x.id <> c.id
@@ -403,14 +403,14 @@ _CANON = f"""WITH RECURSIVE {_SCORED}, x AS (SELECT kind, {_NORM.format('id')} A
 
 @q(f"{_CANON} SELECT id, canonical FROM g")
 def er_canonical(s, d):
-    return resolve.resolve(names(s, d), triples(s, d), phonetic=False)["canonical"]
+    return resolve.resolve(names(s, d), triples(s, d))["canonical"]
 
 
 @q(f"""{_CANON}, w AS (SELECT same, coalesce(ga.canonical, id_a) = coalesce(gb.canonical, id_b) AS said FROM er_labelled_pairs LEFT JOIN g ga ON ga.id = id_a LEFT JOIN g gb ON gb.id = id_b WHERE same IS NOT NULL AND id_a IS NOT NULL AND id_b IS NOT NULL),
 v AS (SELECT count(*) FILTER (same AND said) AS tp, count(*) FILTER (NOT same AND said) AS fp, count(*) FILTER (same AND NOT said) AS fn FROM w)
 SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM v""")
 def er_f1(s, d):
-    return resolve.pair_quality(table(s, d, "er_labelled_pairs"), resolve.resolve(names(s, d), triples(s, d), phonetic=False)["canonical"])
+    return resolve.pair_quality(table(s, d, "er_labelled_pairs"), resolve.resolve(names(s, d), triples(s, d))["canonical"])
 
 
 @q()
