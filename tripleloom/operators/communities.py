@@ -3,8 +3,9 @@
 Partition: modularity (resolution-weighted, RB configuration) by moving vertices between communities
 in rounds that run as joins and aggregations over all edges, then contracting communities to
 vertices, as in the Louvain and Leiden methods. Moves are made by half of the vertices a round (by
-hash), which keeps neighbours from swapping places for ever; parts that came apart are split into
-their connected pieces, so every community is connected.
+hash) at first, then only by those whose two communities no better move touches: such moves add up, so
+each round gains and the rounds end when no vertex gains by a move. Parts that came apart are split
+into their connected pieces, so every community is connected.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ def semantic_edges(triples: DataFrame) -> DataFrame:
 
 def _moves(edges: DataFrame, resolution: float, rounds: int, salt: int) -> DataFrame:
     """(v, c): communities of the vertices of one contracted graph; edges (scope, a, b, weight), both
-    directions, loops once with double weight. ``scope`` keeps subgraphs apart."""
+    directions, loops once with double weight. ``scope`` keeps subgraphs apart. Half of the vertices move
+    in each of the first ``rounds`` rounds, and on while fewer want to each time; then moves are exclusive."""
     degree = materialise(edges.groupBy("scope", F.col("a").alias("v")).agg(F.sum("weight").alias("d")), "degree")
     total = degree.groupBy("scope").agg(F.sum("d").alias("m2"))
     place = materialise(degree.select("scope", "v", F.col("v").alias("c"), "d"), "place")
-    for r in range(rounds):
+    r, fewest, halves = 0, None, True
+    while True:
         size = place.groupBy("scope", "c").agg(F.sum("d").alias("s"))
         at = place.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
         to = edges.filter("a <> b").join(at, ["scope", "b"]).groupBy("scope", F.col("a").alias("v"), F.col("cb").alias("target")).agg(F.sum("weight").alias("k"))
@@ -44,12 +47,22 @@ def _moves(edges: DataFrame, resolution: float, rounds: int, salt: int) -> DataF
         options = options.join(place.select("scope", "v", "c", "d"), ["scope", "v"]).join(size.withColumnRenamed("c", "target"), ["scope", "target"]).join(total, "scope")
         others = F.col("s") - F.when(F.col("target") == F.col("c"), F.col("d")).otherwise(0.0)
         gain = F.round(F.col("k") - resolution * F.col("d") * others / F.col("m2"), 9)
-        best = options.groupBy("scope", "v").agg(F.max(F.struct(gain.alias("g"), (F.col("target") == F.col("c")).alias("stay"), F.col("target").alias("t"))).alias("x"), F.first("c").alias("c"), F.first("d").alias("d"))
-        turn = F.pmod(F.xxhash64(F.lit(salt * 1000 + r), "v"), F.lit(2)) == 0
-        nxt = materialise(best.select("scope", "v", F.when(turn, F.col("x.t")).otherwise(F.col("c")).alias("c"), "d", (turn & (F.col("x.t") != F.col("c"))).alias("moved"), (F.col("x.t") != F.col("c")).alias("wants")), "place")
-        place = nxt.drop("moved", "wants")
-        if not nxt.filter("wants").head(1):
+        best = options.groupBy("scope", "v").agg(F.max(F.struct(gain.alias("g"), (F.col("target") == F.col("c")).alias("stay"), F.col("target").alias("t"))).alias("x"), F.max(F.when(F.col("target") == F.col("c"), gain)).alias("here"), F.first("c").alias("c"), F.first("d").alias("d"))
+        best = materialise(best.select("scope", "v", "c", "d", F.col("x.t").alias("t"), (F.col("x.g") - F.col("here")).alias("more")), "best")
+        wants = best.filter("t <> c")
+        n = wants.count()
+        if not n:
             break
+        halves = halves and (r < rounds or n < fewest)
+        fewest = n if fewest is None else min(n, fewest)
+        if halves:
+            go = wants.filter(F.pmod(F.xxhash64(F.lit(salt * 1000 + r), "v"), F.lit(2)) == 0).select("scope", "v", "t")
+        else:
+            ends = wants.select("scope", "v", "t", "more", F.explode(F.array("c", "t")).alias("m"))
+            top = ends.groupBy("scope", "m").agg(F.max(F.struct("more", "v")).alias("top"))
+            go = ends.join(top, ["scope", "m"]).filter("top.v = v").groupBy("scope", "v", "t").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").drop("k")
+        place = materialise(best.drop("t").join(go, ["scope", "v"], "left").select("scope", "v", F.coalesce("t", "c").alias("c"), "d"), "place")
+        r += 1
     return place.select("scope", "v", "c")
 
 
