@@ -194,7 +194,7 @@ def _learned(names: DataFrame, pairs: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def _block(kind: str, members: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Links (cluster, cluster) of one block; members are (cluster, spelling, whether it asks for a fuller name)."""
+    """Links (cluster, cluster) of one block; members are (cluster, spelling or, with kind I, further initials, whether it asks for a fuller name)."""
     if kind == "F":
         links = []
         by_word: dict[str, int] = {}
@@ -219,8 +219,13 @@ def _block(kind: str, members: list[tuple[int, str, int]]) -> list[tuple[int, in
                     links.append((by_word[a], by_word[b]))
         return links
     full = {c for c, _, asks in members if not asks}
-    if len(full) > 1:  # several different names could be meant
-        return []
+    if len(full) > 1:  # several different names could be meant, unless one alone has all the further initials
+        has: dict[int, set[str]] = {}
+        for c, w, asks in members:
+            if not asks:
+                has.setdefault(c, set()).update(w)
+        fits = [(c, [f for f, own in has.items() if set(w) <= own]) for c, w, asks in members if asks and w and kind == "I"]
+        return [(f[0], c) for c, f in fits if len(f) == 1]
     one = full.pop() if full else members[0][0]
     return [(one, c) for c, _, asks in members if asks]
 
@@ -242,25 +247,40 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (cluster, rest, rare, initials, acronym) -> (key, cluster, word, asks)."""
+    """Merged profiles (cluster, spellings "rest|rare words|initials|acronym", middles) -> (key, cluster, word, asks).
+
+    The keys are those of the whole profile: each spelling of a word with each of the words beside it, and
+    each family name with the given names and all initials that the profile has anywhere.
+    """
     for f in frames:
-        out: list[tuple[str, int, str, int]] = []
-        for c, rest, rare, initials, acronym in zip(f["cluster"], f["rest"], f["rare"], f["initials"], f["acronym"], strict=True):
-            rare = list(rare)
-            commons = rest.split()
-            for i, w in enumerate(rare):
-                others = " ".join(rare[:i] + rare[i + 1 :])
-                if len(w) >= 4 and (rest or others):
-                    out += [(f"F|{d}|{rest}|{others}", c, w, 0) for d in deletions(w)]
-            if len(rare) == 1 and not commons and initials:
-                out.append((f"I|{rare[0]}|{initials[0]}", c, rare[0], 1))
-            if len(rare) == 1 and len(commons) == 1 and commons[0].isalpha():
-                out.append((f"I|{rare[0]}|{commons[0][0]}", c, rare[0], 0))
-            if len(rare) == 1 and not commons and not initials and 3 <= len(rare[0]) <= 8:
-                out.append((f"A|{rare[0]}", c, rare[0], 1))
-            if acronym:
-                out.append((f"A|{acronym}", c, "", 0))
-        yield pd.DataFrame(out, columns=["key", "cluster", "word", "asks"])
+        out: set[tuple[str, int, str, int]] = set()
+        for c, spellings, middles in zip(f["cluster"], f["spellings"], f["middles"], strict=True):
+            at: dict[tuple[str, int, int], tuple[set[str], set[str]]] = {}
+            families, given, further = set(), set(), set("".join(middles))
+            asking: list[tuple[str, str]] = []
+            for rest, said, initials, acronym in (x.split("|") for x in spellings):
+                rare, commons = said.split(), rest.split()
+                for i, w in enumerate(rare):
+                    kept = at.setdefault((rest, len(rare), i), (set(), set()))
+                    kept[0].add(w)
+                    kept[1].add(" ".join(rare[:i] + rare[i + 1 :]))
+                if len(rare) == 1 and not commons and initials:
+                    asking.append((rare[0], initials))
+                    families.add(rare[0])
+                    further |= set(initials[1:])
+                if len(rare) == 1 and len(commons) == 1 and commons[0].isalpha():
+                    families.add(rare[0])
+                    given.add(commons[0][0])
+                if len(rare) == 1 and not commons and not initials and 3 <= len(rare[0]) <= 8:
+                    out.add((f"A|{rare[0]}", c, rare[0], 1))
+                if acronym:
+                    out.add((f"A|{acronym}", c, "", 0))
+            for (rest, _, _), (said, beside) in at.items():
+                out |= {(f"F|{d}|{rest}|{others}", c, w, 0) for w in said if len(w) >= 4 for others in beside if rest or others for d in deletions(w)}
+            out |= {(f"I|{w}|{g}", c, "".join(sorted(further)), 0) for w in families for g in given}
+            if not given:
+                out |= {(f"I|{w}|{initials[0]}", c, initials[1:], 1) for w, initials in asking}
+        yield pd.DataFrame(sorted(out), columns=["key", "cluster", "word", "asks"])
 
 
 def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -292,13 +312,13 @@ def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | N
     sig = F.concat_ws("|", F.col("rest"), F.array_join("rare", " "), asks)
     described = described.withColumn("sig", sig)
     acronyms = described.filter("acronym <> ''").select("sig", "acronym").distinct()
-    profiles = described.groupBy("sig", "rest", "rare").agg(F.max(asks).alias("initials"))
-    numbered = materialise(sequence(profiles, [], ["sig"], "sig", "profiles").select("sig", "rest", "rare", "initials", F.col("pos").alias("node")), "nodes")
-    spelled = materialise(numbered.join(acronyms, "sig", "left").select("node", "rest", "rare", "initials", F.coalesce("acronym", F.lit("")).alias("acronym")), "spelled")
+    profiles = described.groupBy("sig", "rest", "rare").agg(F.max(asks).alias("initials"), F.array_sort(F.collect_set(F.when(asks == "", F.col("initials")))).alias("middles"))
+    numbered = materialise(sequence(profiles, [], ["sig"], "sig", "profiles").select("sig", "rest", "rare", "initials", "middles", F.col("pos").alias("node")), "nodes")
+    spelled = materialise(numbered.join(acronyms, "sig", "left").select("node", F.concat_ws("|", "rest", F.array_join("rare", " "), "initials", F.coalesce("acronym", F.lit(""))).alias("spelling"), "middles"), "spelled")
     clusters = numbered.select("node", F.col("node").alias("cluster"))
     links = None
     for _ in range(MAX_ROUNDS):
-        rich = spelled.join(clusters, "node").select("cluster", "rest", "rare", "initials", "acronym").distinct()
+        rich = spelled.join(clusters, "node").groupBy("cluster").agg(F.array_sort(F.collect_set("spelling")).alias("spellings"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles"))
         blocks = rich.mapInPandas(_keys, "key string, cluster long, word string, asks int").distinct().repartition("key").sortWithinPartitions("key", "cluster", "word")
         found = materialise(blocks.mapInPandas(_links, "u long, v long").filter("u <> v").distinct(), "matches")
         if not found.head(1):
