@@ -35,7 +35,6 @@ OTHER_KINDS = ["tag", "url_host", "document", "record"]
 COMMON_SHARE, COMMON_LEAST = 1 / 2000, 8
 #: Labelled pairs that name forms are learned from, at most; a form needs this many pairs.
 LABELLED, SUPPORT = 200_000, 2
-MAX_ROUNDS = 12
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W_]+\.?")
@@ -317,7 +316,7 @@ def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | N
     spelled = materialise(numbered.join(acronyms, "sig", "left").select("node", F.concat_ws("|", "rest", F.array_join("rare", " "), "initials", F.coalesce("acronym", F.lit(""))).alias("spelling"), "middles"), "spelled")
     clusters = numbered.select("node", F.col("node").alias("cluster"))
     links = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round that links leaves fewer clusters
         rich = spelled.join(clusters, "node").groupBy("cluster").agg(F.array_sort(F.collect_set("spelling")).alias("spellings"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles"))
         blocks = rich.mapInPandas(_keys, "key string, cluster long, word string, asks int").distinct().repartition("key").sortWithinPartitions("key", "cluster", "word")
         found = materialise(blocks.mapInPandas(_links, "u long, v long").filter("u <> v").distinct(), "matches")
