@@ -20,12 +20,16 @@ _REPLY = "struct<triples:array<struct<subject:string,subject_type:string,predica
 
 def sections(texts: DataFrame, doc: str = "doc_id", text: str = "text", max_sections: int | None = None) -> DataFrame:
     """(doc_id, section_no, section): texts cut before headings of level 1 to 3, without front matter
-    and code fences; pieces of less than 60 characters are left out."""
+    and code fences; pieces of less than 60 characters are left out. A section longer than a call holds is
+    several, each with a number of its own; ``max_sections`` counts it once."""
     body = F.regexp_replace(F.regexp_replace(F.col(text), r"(?s)^---\n.*?\n---\n", ""), r"(?m)^```[^\n]*\n?", "")
     parts = F.split(body, r"(?m)(?=^#{1,3}\s+.+$)")
     cut = texts.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(parts).alias("n", "section")).withColumn("section", strip(F.col("section"))).filter(F.length("section") >= MIN_SECTION)
-    out = cut.withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1).select("doc_id", "section_no", "section")
-    return out if max_sections is None else out.filter(F.col("section_no") < max_sections)
+    if max_sections is not None:
+        cut = cut.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).filter(F.col("k") <= max_sections)
+    starts = F.sequence(F.lit(1), F.length("section"), F.lit(CALL_CHARS))
+    cut = cut.select("doc_id", "n", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("section"), i, F.lit(CALL_CHARS)))).alias("part", "section"))
+    return cut.withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "part")) - 1).select("doc_id", "section_no", "section")
 
 
 def call(parts: DataFrame, client: Callable[[str, str], str]) -> DataFrame:
@@ -36,7 +40,7 @@ def call(parts: DataFrame, client: Callable[[str, str], str]) -> DataFrame:
             replies = []
             for s in f["section"]:
                 try:
-                    replies.append(client(s[:CALL_CHARS], SYSTEM))
+                    replies.append(client(s, SYSTEM))
                 except Exception:  # noqa: BLE001
                     replies.append(None)
             yield f.assign(reply=replies)
