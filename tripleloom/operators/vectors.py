@@ -16,6 +16,8 @@ from tripleloom.session import materialise
 
 #: Rows of a cell of a blocked search: data rows and query rows that one task multiplies.
 DATA_CELL, QUERY_CELL = 20_000, 2_000
+#: Walks dealt out to the nodes of a graph, and those of a node at most.
+WALKS, NODE_WALKS = 200, 50
 
 
 class NGramEncoder:
@@ -87,10 +89,13 @@ def neighbour_means(vectors: DataFrame, adj: DataFrame) -> DataFrame:
     return flat.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("m")))).alias("ms")).select("id", F.transform("ms", lambda m: m["m"]).alias("mean"))
 
 
-def walk_pairs(adj: DataFrame, per_node: int = 1, length: int = 5, seed: int = 42) -> DataFrame:
+def walk_pairs(adj: DataFrame, per_node: int | None = None, length: int = 5, seed: int = 42) -> DataFrame:
     """(src, dst, n): how often seeded random walks step from src to dst. The step from a node is the
-    neighbour with the least hash of (walk, step, neighbour), so it depends on no order of rows."""
+    neighbour with the least hash of (walk, step, neighbour), so it depends on no order of rows.
+    ``per_node`` walks start at each node; by default ``WALKS`` are dealt out, 1 to ``NODE_WALKS`` a node."""
     starts = adj.select(F.col("src").alias("start")).distinct()
+    if per_node is None:
+        per_node = max(1, min(NODE_WALKS, WALKS // max(1, starts.limit(WALKS + 1).count())))
     walks = starts.select("start", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"), F.col("start").alias("at"))
     steps = None
     for s in range(length):
@@ -159,7 +164,7 @@ def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.
     w, losses = initial_weights(dim, seed), []
     if not first:
         return w, losses
-    pairs = walk_pairs(adj, 1, 5, seed)
+    pairs = walk_pairs(adj, None, 5, seed)
     rows = materialise(pairs.join(inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").join(inputs.select(F.col("id").alias("dst"), F.col("x").alias("v")), "dst").select("u", "v", "n"), "pairs")
     for epoch in range(epochs):
         noise = np.array([r["x"] for r in inputs.orderBy(F.xxhash64(F.lit(seed + epoch), "id")).limit(negatives).collect()])
