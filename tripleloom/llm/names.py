@@ -4,7 +4,7 @@ Method: merge-and-rematch resolution. Every name becomes a profile: the words th
 table (after undoing abbreviations, nicknames and single typos in them), the rare words, initials.
 Profiles with equal words merge at once. Then rounds: profiles enter blocks by their keys, matches
 within a block merge, merged profiles hold the union of their spellings and initials, and the
-richer profiles enter blocking again, until a round merges nothing.
+richer profiles, and only these, enter blocking again, until a round merges nothing.
 
 Blocks stay small by construction: a block of the typo key holds spellings that differ from one
 string by at most one inserted letter, so it has at most (alphabet x length) members, and each block
@@ -31,8 +31,11 @@ from tripleloom.session import materialise
 FILLERS = {"the", "of", "and", "for", "dr", "prof", "mr", "mrs", "ms", "sir"}
 #: Kinds whose ids are no names.
 OTHER_KINDS = ["tag", "url_host", "document", "record"]
-#: A word is common if at least this share of all names (and at least so many) has it: at most a few thousand words.
-COMMON_SHARE, COMMON_LEAST = 1 / 2000, 8
+#: A word is common if its share of all names is above this by so many standard deviations (of the count):
+#: one test at every size, at most (words a name) / COMMON_SHARE words.
+COMMON_SHARE, DEVIATIONS = 1 / 3000, 2.8
+#: Rows of the table of name forms, which is a setting; more are an error.
+FORMS = 100_000
 #: Labelled pairs that name forms are learned from, at most; a form needs this many pairs.
 LABELLED, SUPPORT = 200_000, 2
 
@@ -139,12 +142,15 @@ def profile(found: list[str], lexicon: Lexicon) -> tuple[str, list[str], str, st
 def lexicon_of(names: DataFrame, forms: DataFrame, labelled: DataFrame | None) -> Lexicon:
     """``names`` has (id, words). Counts cover all names; only words common by share come to the driver."""
     total = names.count()
-    least = max(COMMON_LEAST, int(total * COMMON_SHARE))
     bare = F.rtrim(F.col("w"), F.lit("."))
-    counts = names.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(bare.alias("w")).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & (F.length("w") > 1) & ~F.col("w").rlike(r"^v?\d+$"))
+    counts = names.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(bare.alias("w")).agg(F.count(F.lit(1)).alias("n")).filter((F.length("w") > 1) & ~F.col("w").rlike(r"^v?\d+$"))
+    counts = counts.filter(F.col("n") - DEVIATIONS * F.sqrt("n") >= total * COMMON_SHARE)
     common = {r["w"]: r["n"] for r in counts.collect()}  # at most (words a name) / COMMON_SHARE
     known: dict[str, set[str]] = {}
-    for r in forms.select("short_form", "full_form").filter("short_form is not null and full_form is not null").distinct().collect():  # a small table of settings
+    listed = forms.select("short_form", "full_form").filter("short_form is not null and full_form is not null").distinct().limit(FORMS + 1).collect()
+    if len(listed) > FORMS:
+        raise ValueError(f"more than {FORMS} name forms")
+    for r in listed:
         s, f = words(r["short_form"]), words(r["full_form"])
         if len(s) == len(f) == 1 and s[0].rstrip(".") != f[0]:
             known.setdefault(s[0].rstrip("."), set()).add(f[0].rstrip("."))
@@ -192,57 +198,63 @@ def _learned(names: DataFrame, pairs: dict[str, str]) -> list[tuple[str, str]]:
     return sorted((r["w"], r["f"]) for r in top if not osa_one(r["w"], r["f"]))
 
 
-def _block(kind: str, members: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Links (cluster, cluster) of one block; members are (cluster, spelling or, with kind I, further initials, whether it asks for a fuller name)."""
-    if kind == "F":
-        links = []
-        by_word: dict[str, int] = {}
-        for c, w, _ in members:
-            if w in by_word:
-                links.append((by_word[w], c))
-            else:
-                by_word[w] = c
-        words_ = sorted(by_word)
-        root = {w: w for w in words_}
-
-        def find(w: str) -> str:
-            while root[w] != w:
-                root[w] = root[root[w]]
-                w = root[w]
-            return w
-
-        for i, a in enumerate(words_):  # distinct spellings one letter around the key: bounded by alphabet and length
-            for b in words_[i + 1 :]:
-                if find(a) != find(b) and osa_one(a, b):
-                    root[find(b)] = find(a)
-                    links.append((by_word[a], by_word[b]))
-        return links
-    full = {c for c, _, asks in members if not asks}
-    if len(full) > 1:  # several different names could be meant, unless one alone has all the further initials
-        has: dict[int, set[str]] = {}
-        for c, w, asks in members:
-            if not asks:
-                has.setdefault(c, set()).update(w)
-        fits = [(c, [f for f, own in has.items() if set(w) <= own]) for c, w, asks in members if asks and w and kind == "I"]
-        return [(f[0], c) for c, f in fits if len(f) == 1]
-    one = full.pop() if full else members[0][0]
-    return [(one, c) for c, _, asks in members if asks]
+def _typos(members: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Links (cluster, cluster) of one block of spellings (cluster, word) around a key."""
+    links = []
+    by_word: dict[str, int] = {}
+    for c, w in members:
+        if w in by_word:
+            links.append((by_word[w], c))
+        else:
+            by_word[w] = c
+    words_ = sorted(by_word)
+    root = {w: w for w in words_}
+
+    def find(w: str) -> str:
+        while root[w] != w:
+            root[w] = root[root[w]]
+            w = root[w]
+        return w
+
+    for i, a in enumerate(words_):  # distinct spellings one letter around the key: bounded by alphabet and length
+        for b in words_[i + 1 :]:
+            if find(a) != find(b) and osa_one(a, b):
+                root[find(b)] = find(a)
+                links.append((by_word[a], by_word[b]))
+    return links
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, cluster, word, asks) sorted by key -> links."""
+    """Rows (key, cluster, word) sorted by key -> links."""
     at, members = None, []
     for f in batches:
         links: list[tuple[int, int]] = []
-        for key, c, w, asks in zip(f["key"], f["cluster"], f["word"], f["asks"], strict=True):
+        for key, c, w in zip(f["key"], f["cluster"], f["word"], strict=True):
             if key != at:
                 if len(members) > 1:
-                    links += _block(at[0], members)
+                    links += _typos(members)
                 at, members = key, []
-            members.append((c, w, asks))
+            members.append((c, w))
         yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
     if len(members) > 1:
-        yield pd.DataFrame(_block(at[0], members), columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(_typos(members), columns=["u", "v"], dtype="int64")
+
+
+def _fuller(keys: DataFrame) -> DataFrame:
+    """Links (u, v) of the blocks in which short names ask for a full one: to the only full name of the
+    block; where there are several, to the only one that has all further initials (kind I); where there
+    is none, to each other. Aggregations by key, so that no block is held anywhere."""
+    full, asks = keys.filter("asks = 0"), keys.filter("asks = 1")
+    c = F.when(F.col("asks") == 0, F.col("cluster"))
+    blocks = keys.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.min("cluster").alias("any"), F.max("asks").alias("asked")).filter("asked = 1")
+    sure = blocks.filter("lo is null or lo = hi").select("key", F.coalesce("lo", "any").alias("u"))
+    unsure = blocks.filter("lo <> hi and key like 'I|%'").select("key")
+    held = full.join(unsure, "key", "left_semi").groupBy("key", F.col("word").alias("has")).agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    wanted = asks.filter("word <> ''").join(unsure, "key", "left_semi").select("key", F.col("word").alias("w")).distinct()
+    # both sides are sets of letters of one family name and initial, not names
+    fits = F.size(F.array_except(F.split("w", ""), F.split("has", ""))) == 0
+    one = wanted.join(held, "key").filter(fits).groupBy("key", "w").agg(F.min("lo").alias("u"), F.max("hi").alias("hi")).filter("u = hi").select("key", F.col("w").alias("word"), "u")
+    return asks.join(sure, "key").select("u", F.col("cluster").alias("v")).union(asks.join(one, ["key", "word"]).select("u", F.col("cluster").alias("v")))
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,16 +327,24 @@ def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | N
     numbered = materialise(sequence(profiles, [], ["sig"], "sig", "profiles").select("sig", "rest", "rare", "initials", "middles", F.col("pos").alias("node")), "nodes")
     spelled = materialise(numbered.join(acronyms, "sig", "left").select("node", F.concat_ws("|", "rest", F.array_join("rare", " "), "initials", F.coalesce("acronym", F.lit(""))).alias("spelling"), "middles"), "spelled")
     clusters = numbered.select("node", F.col("node").alias("cluster"))
-    links = None
+    keys = merged = None
     while True:  # each round that links leaves fewer clusters
-        rich = spelled.join(clusters, "node").groupBy("cluster").agg(F.array_sort(F.collect_set("spelling")).alias("spellings"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles"))
-        blocks = rich.mapInPandas(_keys, "key string, cluster long, word string, asks int").distinct().repartition("key").sortWithinPartitions("key", "cluster", "word")
-        found = materialise(blocks.mapInPandas(_links, "u long, v long").filter("u <> v").distinct(), "matches")
+        place = clusters if merged is None else clusters.join(merged.select(F.col("root").alias("cluster")).distinct(), "cluster", "left_semi")
+        rich = spelled.join(place, "node").groupBy("cluster").agg(F.array_sort(F.collect_set("spelling")).alias("spellings"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles"))
+        fresh = materialise(rich.mapInPandas(_keys, "key string, cluster long, word string, asks int"), "keys")
+        if merged is None:
+            keys = touched = fresh
+        else:  # only the profiles that the last round merged enter again, and only the blocks that they enter are looked at
+            keys = keys.join(merged.select(F.col("x").alias("cluster")), "cluster", "left_anti").unionByName(fresh)
+            touched = keys.join(fresh.select("key").distinct(), "key", "left_semi")
+        typo = touched.filter("key like 'F|%'").select("key", "cluster", "word").repartition("key").sortWithinPartitions("key", "cluster", "word")
+        links = typo.mapInPandas(_links, "u long, v long").union(_fuller(touched.filter("key not like 'F|%'")))
+        found = materialise(links.filter("u <> v").distinct(), "matches")
         if not found.head(1):
             break
-        links = found if links is None else links.union(found)
-        roots = grid_components(links)
-        clusters = materialise(numbered.select("node").join(roots.select(F.col("x").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("cluster")), "clusters")
+        merged = grid_components(found)
+        now = clusters.join(merged.select(F.col("x").alias("cluster"), "root"), "cluster", "left")
+        clusters = materialise(now.select("node", F.coalesce("root", "cluster").alias("cluster")), "clusters")
     return described.select("id", "sig").join(numbered.select("sig", "node"), "sig").join(clusters, "node").select("id", "cluster")
 
 
