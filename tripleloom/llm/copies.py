@@ -8,9 +8,9 @@ partitions instead of landing in one.
 
 Best record, method: consistent bundles. Fields that depend on each other form a bundle that is
 taken whole from one row; branch and bound looks for the donors of least total rank under
-functional dependencies. The bound of the root node, every bundle's own best row, is one map-side
-aggregation; it is the answer wherever it meets all dependencies. Only groups where it does not are
-branched, over their best distinct bundle values.
+functional dependencies. Every group enters the search with its root node, whose bound is every
+bundle's own best row, one map-side aggregation; where it meets all dependencies the search ends
+there, as nothing can be better. The other groups are branched, over their best distinct bundle values.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,16 +66,13 @@ def adjacent_runs(records: DataFrame, key: str, row: str) -> DataFrame:
             if not m:
                 continue
             keys, rows = b.column(1), b.column(2)
-            fresh = pc.not_equal(keys.slice(1), keys.slice(0, m - 1)).to_numpy(zero_copy_only=False) if m > 1 else []
-            opens_first = last_key is None or keys[0].as_py() != last_key
-            starts = [opens_first, *fresh]
+            fresh = pc.not_equal(keys.slice(1), keys.slice(0, m - 1)).to_numpy(zero_copy_only=False) if m > 1 else np.zeros(0, bool)
+            opens = np.concatenate([[last_key is None or keys[0].as_py() != last_key], fresh])
             number = rows.to_numpy()
-            runs, firsts = [], []
-            for opened, r in zip(starts, number, strict=True):
-                if opened:
-                    run, first = run + 1, int(r)
-                runs.append(run)
-                firsts.append(first)
+            runs = run + np.cumsum(opens)
+            at = np.maximum.accumulate(np.where(opens, np.arange(m), -1))  # where each row's run begins; -1 in an earlier batch
+            firsts = np.where(at >= 0, number[at], 0 if first is None else first)
+            run, first = int(runs[-1]), int(firsts[-1])
             edge = [None] * m
             if pending is None:
                 edge[0] = keys[0].as_py()  # the partition's first key
@@ -86,7 +84,8 @@ def adjacent_runs(records: DataFrame, key: str, row: str) -> DataFrame:
             yield pending
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([first], pa.int64()), pa.array([pid], pa.int32()), pa.array([run], pa.int64()), pa.array([last_key], pa.string())], names=schema.names)
 
-    keyed = records.select(F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.col(row).cast("long").alias("row"))
+    # written once: range partitioning reads its input twice, and canonical keys are dear
+    keyed = materialise(records.select(F.col(key).alias("key"), F.col(row).cast("long").alias("row")), "keys").select(F.xxhash64("key").alias("h"), "key", "row")
     runs = materialise(sort_globally(keyed, ["h", "key", "row"]).mapInArrow(scan, schema), "runs")
     ends = runs.filter("edge is not null").select("pid", F.col("row").isNull().alias("is_last"), "first", "run", F.sha2("edge", 256).alias("k")).collect()  # two rows a partition
     heads, tails = {e["pid"]: e for e in ends if not e["is_last"]}, {e["pid"]: e for e in ends if e["is_last"]}
@@ -176,10 +175,10 @@ def _searcher(group: str, names: list[str], deps: list, k: int):
             over = over or len(f) > k
             lists[n] = [(int(r), json.loads(v)) for r, v in zip(f["row"], f["v"], strict=True)][:k]
         order = [n for n in names if lists[n]]
-        heap, seen = [(0, 0, ())], 1  # cost so far (places given up), tie-breaker, choice
+        heap: list[tuple[int, tuple[int, ...]]] = [(0, ())]  # cost so far (places given up), choice; of equal costs the earlier bundles keep the better places
         found = None
         while heap:
-            cost, _, choice = heapq.heappop(heap)
+            cost, choice = heapq.heappop(heap)
             if over and cost >= k:  # a value beyond the lists might do as well
                 break
             if len(choice) == len(order):
@@ -189,8 +188,7 @@ def _searcher(group: str, names: list[str], deps: list, k: int):
                 now = (*choice, place)
                 at = {n: lists[n][p][1] for n, p in zip(order, now, strict=False)}
                 if all(a not in at or b not in at or (at[a].get(f"v_{x}"), at[b].get(f"v_{y}")) in together[i] for i, ((a, x), (b, y)) in enumerate(deps)):
-                    heapq.heappush(heap, (cost + place, seen, now))
-                    seen += 1
+                    heapq.heappush(heap, (cost + place, now))
         if found is None and not over:  # no choice meets all: the best row gives every bundle it can
             return pd.DataFrame({"g": [g] * len(order), "bundle": order, "row": [lists[n][0][0] for n in order], "done": [True] * len(order)})
         if found is None:
@@ -253,16 +251,40 @@ def _branch(ranked: DataFrame, group: str, root: DataFrame, bundles: dict[str, C
     return settled
 
 
+def _grouped(triples: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of facts with several rows: first, rank, and ``columns`` (a list of (name, Column))."""
+    groups = materialise(fact_runs(triples), "groups")
+    copies_ = groups.filter("row <> first")
+    several = copies_.select("first").distinct().select("first", F.col("first").alias("row")).union(copies_.select("first", "row"))
+    slim = triples.select(F.col("row_id").alias("_row"), trust_rank().alias("rank"), *columns)
+    return several.join(slim, several["row"] == slim["_row"]).drop("row", "_row")
+
+
 def survivors(triples: DataFrame) -> DataFrame:
     """(first_row_id, field_name, row_id) of each fact with several rows: the record to keep, and the
     row that gives evidence, source and object_datatype, each a bundle of its own.
 
     Unknown layers and methods rank behind the known ones, null confidence and unreadable times last.
     """
-    groups = materialise(fact_runs(triples), "groups")
-    several = groups.filter("row <> first").select("first").distinct().select("first", F.col("first").alias("row")).union(groups.filter("row <> first").select("first", "row"))
-    columns = ["row_id", "layer", "extraction_method", "confidence", "timestamp", "evidence", "source", "object_datatype"]
-    slim = triples.select("row_id", trust_rank().alias("rank"), *[has_value(F.col(c)).alias(c) for c in ("evidence", "source", "object_datatype")]) if set(columns) <= set(triples.columns) else triples
-    rows = several.join(slim, several["row"] == slim["row_id"]).drop("row")
-    chosen = best_bundles(rows, "first", F.col("rank"), {"record": F.lit(True), "evidence": F.col("evidence"), "source": F.col("source"), "object_datatype": F.col("object_datatype")})
+    fields = ["evidence", "source", "object_datatype"]
+    rows = _grouped(triples, [has_value(F.col(c)).alias(c) for c in fields])
+    chosen = best_bundles(rows, "first", F.col("rank"), {"record": F.lit(True), **{c: F.col(c) for c in fields}})
     return chosen.select(F.col("first").alias("first_row_id"), F.col("bundle").alias("field_name"), F.col("row").alias("row_id"))
+
+
+#: Bundles of a triple: what belongs together and is taken from one row, and which column must hold a value.
+BUNDLES = {"origin": ("source", ["source", "source_doc"]), "quote": ("evidence", ["evidence"]), "process": ("extraction_method", ["adapter", "extraction_method"]), "typing": ("object_datatype", ["object_is_literal", "object_datatype"])}
+#: What depends on what: the quote stands in the document of origin, the process is one of the source.
+DEPENDENCIES = [("origin.source_doc", "quote.evidence"), ("origin.source", "process.adapter")]
+
+
+def consistent_survivors(triples: DataFrame) -> DataFrame:
+    """(first_row_id, bundle, row_id) of each fact with several rows: whole bundles, ranked as in
+    ``survivors``, such that the chosen document and quote, and the chosen source and adapter, occur
+    together in a row of the fact. Of equal choices the earlier bundle keeps the better row; where no
+    choice meets the dependencies every bundle has its own best row. Bundles without a value have no row.
+    """
+    columns = sorted({c for _, cs in BUNDLES.values() for c in cs})
+    rows = _grouped(triples, [F.col(c) for c in columns])
+    chosen = best_bundles(rows, "first", F.col("rank"), {n: has_value(F.col(c)) for n, (c, _) in BUNDLES.items()}, DEPENDENCIES)
+    return chosen.select(F.col("first").alias("first_row_id"), "bundle", F.col("row").alias("row_id"))
