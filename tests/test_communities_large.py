@@ -35,3 +35,12 @@ def test_distributed_moves_settle(spark):
     far = {r["v"]: r["c"] for r in com.partition(one, local_edges=0).collect()}
     near = {r["v"]: r["c"] for r in com.partition(one).collect()}
     assert modularity(edges, far) >= 0.95 * modularity(edges, near)
+
+
+def test_the_place_of_the_work_does_not_change_the_result(spark):
+    rng = random.Random(8)
+    rows = [("", a, b, w) for (a, b), w in graph(80, 5).items()]
+    rows += [("x", f"u{i}", f"u{j}", 1.0) for i in range(12) for j in range(i + 1, 12) if (i < 6) == (j < 6) or rng.random() < 0.1]
+    edges = spark.createDataFrame(rows, "scope string, a string, b string, weight double")
+    got = [{(r["scope"], r["v"]): r["c"] for r in com.partition(edges, local_edges=n).collect()} for n in (10, 40, 10**9)]
+    assert got[0] == got[1] == got[2] and len(set(got[0].values())) > 2

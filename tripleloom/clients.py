@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
+import urllib.request
 from dataclasses import dataclass
 
 
@@ -21,6 +23,26 @@ class CommandClient:
         return r.stdout.strip()
 
 
+@dataclass(frozen=True)
+class HttpClient:
+    """Posts each call as JSON (model, max_tokens, system, messages) to a text-generation service and
+    returns the text of the answer's first content block, or '' if that is no text. ``headers`` carry the
+    key, e.g. (("x-api-key", key),). It can be sent to executors."""
+
+    url: str
+    model: str
+    headers: tuple[tuple[str, str], ...] = ()
+    max_tokens: int = 1024
+    timeout: float = 120.0
+
+    def __call__(self, prompt: str, system: str) -> str:
+        body = {"model": self.model, "max_tokens": self.max_tokens, "system": system, "messages": [{"role": "user", "content": prompt}]}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"content-type": "application/json", **dict(self.headers)})
+        with urllib.request.urlopen(request, timeout=self.timeout) as r:
+            blocks = json.load(r)["content"]
+        return blocks[0]["text"].strip() if blocks and blocks[0].get("type") == "text" else ""
+
+
 def load_env(path: str, environ: dict[str, str]) -> dict[str, str]:
     """KEY=VALUE lines of a file into ``environ``, which keeps what it has; a missing file adds nothing."""
     try:

@@ -10,6 +10,7 @@ into their connected pieces, so every community is connected.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from tripleloom.operators.graph import components
 from tripleloom.operators.store import top_per_key
 from tripleloom.schema import NOISE_PREDICATES, SEMANTIC_PREDICATES, STRONG_PREDICATES
-from tripleloom.session import materialise
+from tripleloom.session import discard, materialise
 
-#: Edges of a graph that one task partitions at most.
+#: Edges of a graph that one task partitions at most; the result does not depend on it.
 LOCAL_EDGES = 200_000
 
 
@@ -30,14 +31,20 @@ def semantic_edges(triples: DataFrame) -> DataFrame:
     return t.groupBy(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).agg(F.sum(w).alias("weight"))
 
 
-def _moves(edges: DataFrame, resolution: float, rounds: int, salt: int) -> DataFrame:
-    """(v, c): communities of the vertices of one contracted graph; edges (scope, a, b, weight), both
-    directions, loops once with double weight. ``scope`` keeps subgraphs apart. Half of the vertices move
-    in each of the first ``rounds`` rounds, and on while fewer want to each time; then moves are exclusive."""
+def _coin(r: int, level: int) -> int:
+    """The bit of a vertex's hash that decides whether it may move in a round."""
+    return (r + 7 * level) % 62
+
+
+def _moves(edges: DataFrame, resolution: float, rounds: int, level: int) -> DataFrame:
+    """(scope, v, c): communities of the vertices of one contracted graph; edges (scope, a, b, weight), both
+    directions, loops once with double weight. ``scope`` keeps subgraphs apart, none depends on another.
+    Half of the vertices may move in each of the first ``rounds`` rounds; then moves are exclusive.
+    Gains are whole numbers of 1e-9, so that equal gains are equal here and in ``_local``."""
     degree = materialise(edges.groupBy("scope", F.col("a").alias("v")).agg(F.sum("weight").alias("d")), "degree")
     total = degree.groupBy("scope").agg(F.sum("d").alias("m2"))
     place = materialise(degree.select("scope", "v", F.col("v").alias("c"), "d"), "place")
-    r, fewest, halves = 0, None, True
+    r = 0
     while True:
         size = place.groupBy("scope", "c").agg(F.sum("d").alias("s"))
         at = place.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
@@ -46,78 +53,85 @@ def _moves(edges: DataFrame, resolution: float, rounds: int, salt: int) -> DataF
         options = to.union(own).groupBy("scope", "v", "target").agg(F.sum("k").alias("k"))
         options = options.join(place.select("scope", "v", "c", "d"), ["scope", "v"]).join(size.withColumnRenamed("c", "target"), ["scope", "target"]).join(total, "scope")
         others = F.col("s") - F.when(F.col("target") == F.col("c"), F.col("d")).otherwise(0.0)
-        gain = F.round(F.col("k") - resolution * F.col("d") * others / F.col("m2"), 9)
+        gain = F.floor((F.col("k") - F.lit(resolution) * F.col("d") * others / F.col("m2")) * 1e9 + 0.5)
         best = options.groupBy("scope", "v").agg(F.max(F.struct(gain.alias("g"), (F.col("target") == F.col("c")).alias("stay"), F.col("target").alias("t"))).alias("x"), F.max(F.when(F.col("target") == F.col("c"), gain)).alias("here"), F.first("c").alias("c"), F.first("d").alias("d"))
         best = materialise(best.select("scope", "v", "c", "d", F.col("x.t").alias("t"), (F.col("x.g") - F.col("here")).alias("more")), "best")
         wants = best.filter("t <> c")
-        n = wants.count()
-        if not n:
+        if not wants.head(1):
             break
-        halves = halves and (r < rounds or n < fewest)
-        fewest = n if fewest is None else min(n, fewest)
-        if halves:
-            go = wants.filter(F.pmod(F.xxhash64(F.lit(salt * 1000 + r), "v"), F.lit(2)) == 0).select("scope", "v", "t")
+        if r < rounds:
+            go = wants.filter(F.shiftrightunsigned(F.xxhash64("v"), _coin(r, level)).bitwiseAND(F.lit(1)) == 1).select("scope", "v", "t")
         else:
             ends = wants.select("scope", "v", "t", "more", F.explode(F.array("c", "t")).alias("m"))
             top = ends.groupBy("scope", "m").agg(F.max(F.struct("more", "v")).alias("top"))
             go = ends.join(top, ["scope", "m"]).filter("top.v = v").groupBy("scope", "v", "t").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").drop("k")
-        place = materialise(best.drop("t").join(go, ["scope", "v"], "left").select("scope", "v", F.coalesce("t", "c").alias("c"), "d"), "place")
+        after = materialise(best.drop("t").join(go, ["scope", "v"], "left").select("scope", "v", F.coalesce("t", "c").alias("c"), "d"), "place")
+        discard(place, best)
+        place = after
         r += 1
     return place.select("scope", "v", "c")
 
 
-def _local(resolution: float):
-    """The same quality function for a small graph in one task: vertices in order of their names move to
-    the neighbouring community of largest gain until none gains, then communities become vertices."""
+def _settle(a: np.ndarray, b: np.ndarray, w: np.ndarray, coins: np.ndarray, resolution: float, rounds: int, level: int) -> np.ndarray:
+    """``_moves`` on one graph in memory: vertices are numbers in the order of their names."""
+    n = len(coins)
+    d = np.bincount(a, w, n)
+    m2 = d.sum()
+    c = np.arange(n)
+    apart = a != b
+    a, b, w = a[apart], b[apart], w[apart]
+    r = 0
+    while True:
+        s = np.bincount(c, d, n)
+        pair, at = np.unique(np.concatenate([a * n + c[b], np.arange(n) * n + c]), return_inverse=True)
+        k = np.bincount(at, np.concatenate([w, np.zeros(n)]))
+        v, t = pair // n, pair % n
+        stay = t == c[v]
+        others = s[t] - np.where(stay, d[v], 0.0)
+        g = np.floor((k - resolution * d[v] * others / m2) * 1e9 + 0.5).astype(np.int64)
+        order = np.lexsort((t, stay, g, v))
+        last = order[np.append(np.flatnonzero(np.diff(v[order])), len(order) - 1)]  # the best option of each vertex
+        to, more = t[last], g[last] - g[np.flatnonzero(stay)]
+        wants = np.flatnonzero(to != c)
+        if not len(wants):
+            return c
+        if r < rounds:
+            go = wants[(coins[wants] >> np.uint64(_coin(r, level))) & np.uint64(1) == 1]
+        else:
+            m = np.concatenate([c[wants], to[wants]])
+            who = np.concatenate([wants, wants])
+            by = np.lexsort((who, more[who], m))
+            top = np.full(n, -1)
+            top[m[by]] = who[by]  # the last of each community is the best
+            go = wants[(top[c[wants]] == wants) & (top[to[wants]] == wants)]
+        c[go] = to[go]
+        r += 1
+
+
+def _local(resolution: float, rounds: int, level: int):
+    """All levels of one small graph in one task: the same moves as the distributed rounds make."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        scope = frame["scope"].iloc[0]
-        names = sorted(set(frame["a"]) | set(frame["b"]))
-        no = {v: i for i, v in enumerate(names)}
-        near: list[dict[int, float]] = [{} for _ in names]
-        for a, b, w in zip(frame["a"], frame["b"], frame["weight"], strict=True):
-            i, j = no[a], no[b]
-            near[i][j] = near[i].get(j, 0.0) + w
-        member = list(range(len(names)))
+        names, at = np.unique(np.concatenate([frame["a"], frame["b"]]).astype(object), return_inverse=True)
+        n = len(frame)
+        coins = np.zeros(len(names), np.uint64)
+        coins[at[:n]] = frame["coin"].to_numpy(np.int64).view(np.uint64)
+        a, b, w = at[:n], at[n:], frame["weight"].to_numpy(float)
+        member, label, step = np.arange(len(names)), np.arange(len(names)), level
         while True:
-            n = len(near)
-            degree = [sum(x.values()) for x in near]
-            total = sum(degree) or 1.0
-            place, size = list(range(n)), degree[:]
-            moved_at_all, moving = False, True
-            while moving:
-                moving = False
-                for i in range(n):
-                    links: dict[int, float] = {place[i]: 0.0}
-                    for j, w in near[i].items():
-                        if j != i:
-                            links[place[j]] = links.get(place[j], 0.0) + w
-                    own = place[i]
-                    size[own] -= degree[i]
-                    best, gain = own, links[own] - resolution * degree[i] * size[own] / total
-                    for c in sorted(links):
-                        g = links[c] - resolution * degree[i] * size[c] / total
-                        if g > gain + 1e-9:
-                            best, gain = c, g
-                    size[best] += degree[i]
-                    if best != own:
-                        place[i] = best
-                        moving = moved_at_all = True
-            if not moved_at_all:
+            c = _settle(a, b, w, coins[label], resolution, rounds, step)
+            member = c[member]
+            used, member = np.unique(member, return_inverse=True)
+            number = np.full(len(label), -1)
+            number[used] = np.arange(len(used))
+            label = label[used]
+            edges, inv = np.unique(number[c[a]] * len(used) + number[c[b]], return_inverse=True)
+            stuck = len(edges) == len(a)
+            a, b, w = edges // len(used), edges % len(used), np.bincount(inv, w)
+            step += 1
+            if stuck:
                 break
-            used = {c: k for k, c in enumerate(sorted(set(place)))}
-            member = [used[place[m]] for m in member]
-            joined: list[dict[int, float]] = [{} for _ in used]
-            for i, x in enumerate(near):
-                to = joined[used[place[i]]]
-                for j, w in x.items():
-                    c = used[place[j]]
-                    to[c] = to.get(c, 0.0) + w
-            near = joined
-        least: dict[int, str] = {}
-        for v, m in zip(names, member, strict=True):
-            least.setdefault(m, v)
-        return pd.DataFrame({"scope": scope, "v": names, "c": [least[m] for m in member]})
+        return pd.DataFrame({"scope": frame["scope"].iloc[0], "v": names, "c": names[label[member]]})
 
     return run
 
@@ -125,20 +139,23 @@ def _local(resolution: float):
 def partition(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(scope, v, c): vertex to community of edges (scope, a, b, weight; a <> b, one direction).
 
-    While a graph has more than ``local_edges`` edges, its vertices move in distributed rounds and it is
-    contracted; then one task a graph finishes it. Communities are connected and named by their least
-    vertex; the result depends on no order of rows.
+    Vertices move, communities become vertices, until no vertex moves. Graphs of up to ``local_edges`` edges
+    are moved in one task each, larger ones in distributed rounds: where the work is done, not what is
+    done, so the result is the same (for weights whose sums are exact, as whole and half numbers are).
+    Communities are connected and named by their least vertex; the result depends on no order of rows.
     """
     both = edges.select("scope", F.explode(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))).alias("e")).select("scope", "e.*")
     live = materialise(both, "edges")
     member, level, before = None, 0, None
     while True:
         large = live.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-        stuck = before is not None and large[1] == before  # no vertex moved: nothing is left to contract
-        small = (large[0] or 0) <= 2 * local_edges
-        if stuck:
+        if before is not None and large[1] == before:  # nothing was contracted
             break
-        c = live.groupBy("scope").applyInPandas(_local(resolution), "scope string, v string, c string") if small else _moves(live, resolution, rounds, level)
+        small = (large[0] or 0) <= 2 * local_edges
+        if small:
+            c = live.withColumn("coin", F.xxhash64("a")).groupBy("scope").applyInPandas(_local(resolution, rounds, level), "scope string, v string, c string")
+        else:
+            c = _moves(live, resolution, rounds, level)
         c = materialise(c, "moved")
         member = c if member is None else materialise(member.join(c.select("scope", F.col("v").alias("c"), F.col("c").alias("c2")), ["scope", "c"]).select("scope", "v", F.col("c2").alias("c")), "member")
         if small:
@@ -146,7 +163,9 @@ def partition(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, local
         level, before = level + 1, large[1]
         x = c.select("scope", F.col("v").alias("a"), F.col("c").alias("ca"))
         y = c.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
-        live = materialise(live.join(x, ["scope", "a"]).join(y, ["scope", "b"]).groupBy("scope", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "edges")
+        after = materialise(live.join(x, ["scope", "a"]).join(y, ["scope", "b"]).groupBy("scope", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "edges")
+        discard(live)
+        live = after
     # connected pieces within each community
     va = member.select("scope", F.col("v").alias("a"), F.col("c").alias("ca"))
     vb = member.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.schema import TRUSTED
-from tripleloom.session import materialise
+from tripleloom.session import discard, materialise
 
 
 def symmetric(triples: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def symmetric(triples: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def hop_distances(triples: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth): every node within ``depth`` hops of a node of ``start`` (id), with its distance."""
-    edges = symmetric(triples).filter("node <> other").distinct()
+    edges = materialise(symmetric(triples).filter("node <> other").distinct(), "arcs")  # written once, read every hop
     seen = materialise(start.select(F.col("id").alias("node"), F.lit(0).alias("depth")).distinct(), "hops")
     for d in range(depth):
         front = seen.filter(F.col("depth") == d).select("node")
@@ -54,8 +54,8 @@ def expand(triples: DataFrame, start: DataFrame, hops: int, layers: list[str] =
 
 def expand_capped(triples: DataFrame, anchors: list[str], hops: int = 2, per_node: int = 50, stop: int = 500, layers: list[str] = TRUSTED) -> list[dict]:
     """The evidence subgraph for a question: breadth first, ``per_node`` triples a node by triple_id,
-    no further node once ``stop`` triples are held. The caps are the feature: they bound the result
-    (and what comes to the driver a hop) to stop + per_node rows, as a prompt must be.
+    no further node once ``stop`` triples are held. The caps are the feature: they bound the result to
+    stop + per_node rows, as a prompt must be, and what comes to the driver at once to (stop + per_node) * per_node.
     """
     from itertools import islice
 
@@ -127,19 +127,21 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", least=None) -> Data
     rank = least or (lambda c: F.struct(c.alias("id")))
     e = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(rank(F.col(a)).alias("u"), rank(F.col(b)).alias("v"))
     alone = e.select("u").union(e.select("v")).distinct()
-    edges = materialise(e.filter("u <> v").distinct(), "edges")
+    edges = materialise(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large, "large")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        nxt = materialise(small, "edges")
-        if not edges.exceptAll(nxt).head(1) and not nxt.exceptAll(edges).head(1):
+        # a link moves from its lower end to that end's least neighbour
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+        large = materialise(large.groupBy("u", "v").agg(F.max("moved").alias("moved")), "large")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), (F.count(F.lit(1)) > 1).alias("several"))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        small = large.join(low2, "u").select(F.explode(ends).alias("e"), (F.col("moved") | F.col("several")).alias("moved")).select("e.u", "e.v", "moved").filter("u <> v")
+        after = materialise(small.groupBy("u", "v").agg(F.max("moved").alias("moved")), "edges")
+        discard(edges, large)
+        edges = after
+        if not edges.filter("moved").head(1):  # every link is one of a vertex to its root
             break
-        edges = nxt
     return alone.join(edges.select("u", F.col("v").alias("r")), "u", "left").select(F.col("u.id").alias("id"), F.coalesce(F.col("r.id"), F.col("u.id")).alias("root"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -44,7 +45,7 @@ def sequence(df: DataFrame, key: list[str], order: list[str], following: str, la
         def emit(t: pa.Table, nxt: pa.Array, last: bool) -> pa.RecordBatch:
             nonlocal idx
             m = t.num_rows
-            ids = pa.array(range(idx, idx + m), pa.int64())
+            ids = pa.array(np.arange(idx, idx + m))
             ends = pa.array([False] * (m - 1) + [last], pa.bool_()) if m else pa.array([], pa.bool_())
             idx += m
             out = pa.Table.from_arrays([*t.columns, nxt, pa.array([pid] * m, pa.int32()), ids, ends], names=names)
@@ -65,7 +66,8 @@ def sequence(df: DataFrame, key: list[str], order: list[str], following: str, la
                     same = s if same is None else pc.and_(same, s)
                 nxt = t.column(following).combine_chunks().slice(1)
                 if same is not None:
-                    nxt = pc.if_else(same, nxt, pa.scalar(None, nxt.type))
+                    # a missing index takes null; choosing between a slice and null breaks offsets of texts
+                    nxt = nxt.take(pa.array(np.arange(m - 1), mask=~same.to_numpy(zero_copy_only=False)))
                 yield emit(t.slice(0, m - 1), nxt, False)
             held = t.slice(m - 1)
         if held is not None:

@@ -15,6 +15,7 @@ from tripleloom.functions.naming import initialism, jaro_winkler, normalise, pho
 from tripleloom.operators.graph import components, shortest_first
 from tripleloom.operators.hierarchy import find_loops
 from tripleloom.operators.ordered import sequence
+from tripleloom.operators.vectors import encode
 from tripleloom.schema import AUTO_MERGE, FLAG_FLOOR, SEMANTIC_FLOOR, STRING_WEIGHT, triple_id
 from tripleloom.session import materialise
 
@@ -77,18 +78,36 @@ def score(pairs: DataFrame, threshold: float = AUTO_MERGE, cosine: Column | None
     return p.withColumn("band", F.when(merges, "auto").when(F.col("score") >= FLAG_FLOOR, "flagged").otherwise("none")).drop("_jw")
 
 
-def matches(entities: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool = True) -> DataFrame:
-    """Phase 2: scored candidate pairs of class representatives, only those flagged or better."""
-    return score(candidate_pairs(blocks(classes(entities), phonetic)), threshold).filter("band <> 'none'")
+def with_cosine(pairs: DataFrame, reps: DataFrame, encoder) -> DataFrame:
+    """``pairs`` with ``cos``, the cosine of the encoder's vectors of the two ids. Pairs that no cosine can
+    bring to the flag floor are left out before vectors travel: a cosine adds 1 - STRING_WEIGHT at most."""
+    least = (FLAG_FLOOR - (1 - STRING_WEIGHT)) / STRING_WEIGHT
+    near = pairs.filter((F.col("norm_a") == F.col("norm_b")) | initialism(F.col("a"), F.col("b")) | (jaro_winkler("norm_a", "norm_b") >= least))
+    v = materialise(encode(reps.select("id").distinct(), "id", encoder), "names")
+    both = near.join(v.select(F.col("id").alias("a"), F.col("vec").alias("_va")), "a").join(v.select(F.col("id").alias("b"), F.col("vec").alias("_vb")), "b")
+    dot = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return both.withColumn("cos", dot).drop("_va", "_vb")
 
 
-def resolve(entities: DataFrame, triples: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool = True) -> dict[str, DataFrame]:
+def matches(entities: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool = True, encoder=None, small: int = SMALL_KIND) -> DataFrame:
+    """Phase 2: scored candidate pairs of class representatives, only those flagged or better. With an
+    ``encoder`` (unit vectors), string similarity is mixed with the cosine of the names' vectors."""
+    reps = classes(entities)
+    if encoder is not None:
+        reps = materialise(reps, "classes")
+    pairs = candidate_pairs(blocks(reps, phonetic, small))
+    if encoder is None:
+        return score(pairs, threshold).filter("band <> 'none'")
+    return score(with_cosine(pairs, reps, encoder), threshold, F.col("cos")).filter("band <> 'none'").drop("cos")
+
+
+def resolve(entities: DataFrame, triples: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool = True, encoder=None, small: int = SMALL_KIND) -> dict[str, DataFrame]:
     """All three phases: ``canonical`` (id, canonical), ``aliases`` (alias rows), ``flagged`` pairs.
 
     The canonical id of a group is its shortest, then least id. Alias rows are a star: each member
     with its canonical id and the best evidence that touches it (lowest phase, highest score).
     """
-    scored = materialise(matches(entities, threshold, phonetic), "scored")
+    scored = materialise(matches(entities, threshold, phonetic, encoder, small), "scored")
     one = exact_groups(entities).filter("id <> canonical").select(F.col("canonical").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(1).alias("phase"), F.lit("exact_normalised").alias("method"))
     two = scored.filter("band = 'auto'").select("a", "b", "score", F.lit(2).alias("phase"), "method")
     three = triples.filter("predicate = 'SIMILAR_TO' and subject is not null and object is not null and subject <> object").select(F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(0.80).alias("score"), F.lit(3).alias("phase"), F.lit("structural_wcc").alias("method")).distinct()
@@ -138,6 +157,16 @@ def canonical_map(aliases: DataFrame) -> DataFrame:
     return ended.union(loops.join(ring.select("nid", "id"), "nid").join(names, "loop").select("id", "canonical"))
 
 
+def aliases_of(aliases: DataFrame, canonical: str) -> DataFrame:
+    """(alias_id): the aliases written for a canonical id, each once, by code points."""
+    return aliases.filter((F.col("canonical_id") == canonical) & F.col("alias_id").isNotNull()).select("alias_id").distinct().orderBy("alias_id")
+
+
+def new_aliases(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose pair of ids is not in ``existing``."""
+    return found.join(existing.select("canonical_id", "alias_id"), ["canonical_id", "alias_id"], "left_anti").select(*found.columns)
+
+
 def alias_stats(aliases: DataFrame) -> DataFrame:
     """Number of alias rows by phase, and in all (phase null)."""
     return aliases.groupBy("phase").agg(F.count(F.lit(1)).alias("n")).union(aliases.agg(F.lit(None).cast("int").alias("phase"), F.count(F.lit(1)).alias("n")))

@@ -122,8 +122,12 @@ def candidates(texts: DataFrame, doc: str, text: str, rules: list[Column], *keep
     return got.filter(strip(F.col("object")) != "")
 
 
-def first_facts(found: DataFrame, max_facts: int, cut: int | None = 240) -> DataFrame:
-    """The first of each (document, predicate, object), then the first ``max_facts`` of each document.
+#: Facts of a document that the adapters keep.
+FACTS = {"universal": 60, "vault": 40}
+
+
+def first_facts(found: DataFrame, max_facts: int | None = None, cut: int | None = 240) -> DataFrame:
+    """The first of each (document, predicate, object), then the first ``max_facts`` of each document (None: all).
 
     ``cut``: objects are compared by so many characters, or whole if None; they are stored cut to 240.
     """
@@ -132,7 +136,8 @@ def first_facts(found: DataFrame, max_facts: int, cut: int | None = 240) -> Data
     w = Window.partitionBy("doc_id", "predicate", "_k").orderBy(*order)
     kept = found.withColumn("_k", key).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_k")
     d = Window.partitionBy("doc_id").orderBy(*order)
-    return kept.withColumn("place", F.row_number().over(d)).filter(F.col("place") <= max_facts)
+    placed = kept.withColumn("place", F.row_number().over(d))
+    return placed if max_facts is None else placed.filter(F.col("place") <= max_facts)
 
 
 def extract(texts: DataFrame, adapter: str = "universal", doc: str = "doc_id", text: str = "text", path: str = "relative_path", structured: str | None = None, max_facts: int | None = None) -> DataFrame:
@@ -154,11 +159,13 @@ def extract(texts: DataFrame, adapter: str = "universal", doc: str = "doc_id", t
         w = Window.partitionBy("doc_id", "predicate", F.substring("object", 1, 240)).orderBy("part", "place")
         both = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
         d = Window.partitionBy("doc_id").orderBy("part", "place")
-        facts = both.withColumn("place", F.row_number().over(d)).filter(F.col("place") < cap + 1).drop("_r", "part")
+        facts = both.withColumn("place", F.row_number().over(d)).drop("_r", "part")
     else:
         facts = first_facts(candidates(given, doc, text, _rules(adapter), "_path", "_suffix"), cap, 240 if adapter == "universal" else None)
     method = F.when(F.col("rule") < 10, F.lit("structural")).otherwise(F.lit("rule")) if structured else F.lit("rule")
-    facts = facts.withColumn("place", F.col("place") + 1).filter(F.col("place") <= cap).withColumn("method", method)
+    facts = facts.withColumn("place", F.col("place") + 1).withColumn("method", method)
+    if cap is not None:
+        facts = facts.filter(F.col("place") <= cap)
     kind = F.when(F.col("_suffix") != "", F.col("_suffix")).otherwise(F.lit("text"))
     types = given.select(F.col(doc).alias("doc_id"), "_path", F.lit(1).alias("place"), F.lit("HAS_FILE_TYPE").alias("predicate"), kind.alias("object"), F.lit("file_type").alias("kind"), F.concat(F.lit("File: "), "_path").alias("evidence"), F.lit(0.95).alias("confidence"), F.lit("rule").alias("method"))
     every = types.unionByName(facts.select("doc_id", "_path", "place", "predicate", "object", "kind", "evidence", "confidence", "method"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripleloom.schema import LAYERS, TRIPLES, conform, triple_id
+from tripleloom.session import discard, materialise
 
 
 def with_triple_ids(triples: DataFrame) -> DataFrame:
@@ -27,9 +29,11 @@ def insert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def endpoints(triples: DataFrame, order: str) -> DataFrame:
     """(id, kind, seq): both ends of every triple in the order of arrival, subject first."""
-    return triples.select(
-        F.explode(F.array(F.struct(F.col("subject").alias("id"), F.col("source_kind").alias("kind"), (F.col(order) * 2).alias("seq")), F.struct(F.col("object").alias("id"), F.col("target_kind").alias("kind"), (F.col(order) * 2 + 1).alias("seq")))).alias("e")
-    ).select("e.*")
+
+    def end(name: str, kind: str, side: int):
+        return F.struct(F.col(name).alias("id"), F.col(kind).alias("kind"), F.struct(F.col(order).alias("at"), F.lit(side).alias("side")).alias("seq"))
+
+    return triples.select(F.explode(F.array(end("subject", "source_kind", 0), end("object", "target_kind", 1))).alias("e")).select("e.*")
 
 
 def first_kinds(triples: DataFrame, order: str) -> DataFrame:
@@ -81,11 +85,17 @@ def row_checks(triples: DataFrame) -> DataFrame:
     return triples.select("row_id", F.explode(bad).alias("reason"))
 
 
+#: Place in the order of arrival: the batch, and within it the document (where told) and the place.
+ARRIVAL = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("doc", T.StringType()), T.StructField("at", T.LongType())])
+
+
 class TripleStore:
-    """Triples and entities as Parquet under one path, triples partitioned by layer.
+    """Triples and entities as Parquet under one path, in batches; triples partitioned by layer.
 
-    Inserts are idempotent by triple_id. The store has one writer; readers see whole snapshots, as
-    each write makes a new version folder before the pointer moves to it.
+    Inserts are idempotent by triple_id and append: an insert writes its new rows as one batch, then a
+    manifest that lists the batches that make up the store. Readers see the batches of the latest
+    manifest, so they see whole snapshots; a batch without a manifest is nobody's. ``purge`` and
+    ``compact`` write one batch anew. The store has one writer.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -98,51 +108,111 @@ class TripleStore:
 
     def version(self) -> int:
         fs, path = self._fs()
-        root = path(self.path)
-        if not fs.exists(root):
-            return 0
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v") and fs.exists(path(f"{s.getPath()}/entities/_SUCCESS"))]
-        return max(done, default=0)
+        root = path(f"{self.path}/manifest")
+        return max((int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()), default=0) if fs.exists(root) else 0
 
-    def triples(self) -> DataFrame:
+    def batches(self) -> list[int]:
+        """The batches of the latest manifest."""
         v = self.version()
         if not v:
-            return self.spark.createDataFrame([], TRIPLES)
-        return self.spark.read.schema(TRIPLES).parquet(f"{self.path}/v{v}/triples")
+            return []
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/manifest/{v}"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return [int(x) for x in text.split()]
+
+    def _publish(self, batches: list[int]) -> None:
+        """A manifest appears under its name when it is complete."""
+        fs, path = self._fs()
+        v = self.version() + 1
+        draft = path(f"{self.path}/manifest/.{v}")
+        out = fs.create(draft, True)
+        out.write(bytearray(" ".join(map(str, batches)).encode()))
+        out.close()
+        if not fs.rename(draft, path(f"{self.path}/manifest/{v}")):
+            raise OSError("another writer has published this version")
+
+    def _read(self, table: str, schema: T.StructType) -> DataFrame:
+        fs, path = self._fs()
+        there = [f"{self.path}/{table}/batch={b}" for b in self.batches()]
+        there = [x for x in there if fs.exists(path(x))]
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*there).select(*schema.names)
+
+    def triples(self, arrival: bool = False) -> DataFrame:
+        """All triples; with ``arrival``, their place in the order of arrival too."""
+        schema = T.StructType([*TRIPLES.fields, T.StructField("arrival", ARRIVAL)])
+        t = self._read("triples", schema)
+        return t if arrival else t.drop("arrival")
 
     def entities(self) -> DataFrame:
-        v = self.version()
-        schema = "id string, kind string"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/entities") if v else self.spark.createDataFrame([], schema)
-
-    def _write(self, triples: DataFrame, entities: DataFrame) -> None:
-        v = self.version() + 1
-        triples.write.partitionBy("layer").parquet(f"{self.path}/v{v}/triples")
-        entities.write.parquet(f"{self.path}/v{v}/entities")
+        return self._read("entities", T.StructType([T.StructField("id", T.StringType()), T.StructField("kind", T.StringType())]))
 
-    def add(self, triples: DataFrame) -> tuple[int, int]:
-        """Insert what is not there yet; (added, skipped)."""
-        incoming = conform(triples)
-        bad = incoming.filter(~(F.col("confidence").between(0, 1) & F.col("layer").isin(LAYERS))).limit(1).count()
+    def _next(self) -> int:
+        """A number that no batch folder has, those of failed writes included."""
+        fs, path = self._fs()
+        used = [0]
+        for table in ("triples", "entities"):
+            root = path(f"{self.path}/{table}")
+            if fs.exists(root):
+                used += [int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=")]
+        return max(used) + 1
+
+    def _write(self, triples: DataFrame, entities: DataFrame, batches: list[int], n: int | None = None) -> None:
+        n = n or self._next()
+        triples.write.partitionBy("layer").parquet(f"{self.path}/triples/batch={n}")
+        entities.write.parquet(f"{self.path}/entities/batch={n}")
+        self._publish([*batches, n])
+
+    def add(self, triples: DataFrame, order: str | None = None, within: str | None = None) -> tuple[int, int]:
+        """Insert what is not there yet; (added, skipped). Of rows with one triple_id the first arrived is
+        kept, and the first writer of an entity decides its kind; ``order`` names the column that tells the
+        order of arrival (``within`` the documents that a text column names, if given, which arrive in
+        the order of their names); without it the order of the rows does. Only new rows are written."""
+        at = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+        numbered = triples.withColumn("_at", F.struct((F.col(within) if within else F.lit("")).alias("doc"), at.alias("at")))
+        incoming = materialise(conform(numbered, "_at"), "incoming")
+        bad = incoming.filter(~F.coalesce(F.col("confidence").between(0, 1) & F.col("layer").isin(LAYERS), F.lit(False))).limit(1).count()
         if bad:
             raise ValueError("a triple's confidence is outside 0..1 or its layer is unknown")
-        old, known = self.triples(), self.entities()
-        fresh = incoming.dropDuplicates(["triple_id"]).join(old.select("triple_id"), "triple_id", "left_anti")
-        counts = insert_counts(old, incoming).first()
-        if counts["added"]:
-            seq = fresh.withColumn("_seq", F.shiftright(F.xxhash64("triple_id"), 2))  # the store keeps no order of arrival within a batch
-            ents = known.unionByName(first_kinds(seq, "_seq").join(known.select("id"), "id", "left_anti"))
-            self._write(old.unionByName(fresh.select(*old.columns)), ents)
-        return counts["added"], counts["skipped"]
+        old, known, batches = self.triples(), self.entities(), self.batches()
+        first = incoming.groupBy("triple_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_at", *[c for c in TRIPLES.names if c != "triple_id"])).alias("r"))
+        fresh = materialise(first.join(old.select("triple_id"), "triple_id", "left_anti").select("triple_id", "n", "r.*"), "fresh")
+        total, added = incoming.count(), fresh.count()
+        if added:
+            n = self._next()
+            arrival = F.struct(F.lit(n).alias("batch"), F.col("_at.doc").alias("doc"), F.col("_at.at").alias("at")).cast(ARRIVAL)
+            kinds = first_kinds(fresh, "_at").join(known.select("id"), "id", "left_anti")
+            self._write(fresh.withColumn("arrival", arrival).select(*TRIPLES.names, "arrival"), kinds, batches, n)
+        discard(incoming, fresh)
+        return added, total - added
+
+    def compact(self) -> None:
+        """All batches as one; the files of the old ones stay for readers of old snapshots."""
+        self._write(self.triples(arrival=True), self.entities(), [])
 
     def purge(self, layer: str) -> int:
         """Delete a layer and the entities that only it had; the number of triples deleted."""
-        old = self.triples()
+        old = self.triples(arrival=True)
         gone = old.filter(F.col("layer") == layer).count()
         if gone:
-            self._write(*purge_layer(old, self.entities(), layer))
+            self._write(*purge_layer(old, self.entities(), layer), [])
         return gone
 
+    def kind_conflicts(self) -> DataFrame:
+        """(id, kind, other): kinds that later triples gave an entity."""
+        return kind_conflicts(self.triples(arrival=True), "arrival")
+
+    def by_id(self, triple_id: str) -> DataFrame:
+        return self.triples().filter(F.col("triple_id") == triple_id)
+
+    def count(self) -> int:
+        return self.triples().count()
+
     def stats(self) -> dict:
         t = self.triples()
         return {

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripleloom.operators.ordered import sequence
 from tripleloom.operators.store import top_per_key
 from tripleloom.schema import NOISE_PREDICATES, UNSERIALISED
-from tripleloom.session import materialise
+from tripleloom.session import materialise, shuffle_partitions
 
 #: Rows of a cell of a blocked search: data rows and query rows that one task multiplies.
 DATA_CELL, QUERY_CELL = 20_000, 2_000
@@ -20,6 +24,13 @@ DATA_CELL, QUERY_CELL = 20_000, 2_000
 WALKS, NODE_WALKS = 200, 50
 
 
+@lru_cache(maxsize=1 << 18)
+def _slot(gram: str) -> tuple[int, float]:
+    """A gram's hash and sign; there are far fewer different grams than grams."""
+    h = int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return h >> 1, 1.0 if h & 1 else -1.0
+
+
 class NGramEncoder:
     """Deterministic offline encoder: hashed character n-grams, unit length. Any object with ``dim``
     and ``encode(list of texts) -> array`` may stand in its place."""
@@ -29,11 +40,11 @@ class NGramEncoder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
-        for i, t in enumerate(texts):
+        for row, t in zip(out, texts, strict=True):
             t = f" {(t or '').lower()} "
-            for j in range(len(t) - self.n + 1):
-                h = int.from_bytes(hashlib.blake2b(t[j : j + self.n].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1.0 if h >> 63 else -1.0
+            for gram, times in Counter(map("".join, zip(*(t[j:] for j in range(self.n)), strict=False))).items():
+                at, sign = _slot(gram)
+                row[at % self.dim] += sign * times
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
@@ -78,30 +89,49 @@ def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"src": keys, "s": list(s), "n": np.bincount(inv, minlength=len(keys))})
 
 
+def _means(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums sorted by key -> means, one key held at a time."""
+    key, total, n = None, None, 0
+    for f in frames:
+        ids, means = [], []
+        for k, s, c in zip(f["src"], f["s"], f["n"], strict=True):
+            if k != key:
+                if key is not None:
+                    ids.append(key)
+                    means.append(total / n)
+                key, total, n = k, np.zeros(len(s)), 0
+            total, n = total + s, n + c
+        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "mean": pd.Series(means, dtype=object)})
+    if key is not None:
+        yield pd.DataFrame({"id": [key], "mean": [total / n]})
+
+
 def neighbour_means(vectors: DataFrame, adj: DataFrame) -> DataFrame:
     """(id, mean): element-wise mean of the neighbours' vectors; ids without neighbours have no row.
 
-    Sums are combined in two steps, per batch and then per id in slices, so a hub with very many
-    neighbours is added up where its neighbours are.
+    Sums are combined in two steps, per batch and then per id as a stream, so a hub with very many
+    neighbours is added up where its neighbours are and sends one row a batch.
     """
     part = adj.join(vectors.select(F.col("id").alias("dst"), "vec"), "dst").select("src", "vec").mapInPandas(_sums, "src string, s array<double>, n long")
-    flat = part.select("src", "n", F.posexplode("s").alias("i", "x")).groupBy("src", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    return flat.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("m")))).alias("ms")).select("id", F.transform("ms", lambda m: m["m"]).alias("mean"))
+    part = part.withColumn("at", F.monotonically_increasing_id())  # one order of adding up
+    return part.repartition("src").sortWithinPartitions("src", "at").mapInPandas(_means, "id string, mean array<double>")
 
 
 def walk_pairs(adj: DataFrame, per_node: int | None = None, length: int = 5, seed: int = 42) -> DataFrame:
-    """(src, dst, n): how often seeded random walks step from src to dst. The step from a node is the
-    neighbour with the least hash of (walk, step, neighbour), so it depends on no order of rows.
+    """(src, dst, n): how often seeded random walks step from src to dst. The neighbours of a node are
+    numbered once; a step takes the one whose number a hash of (walk, step) gives, so it depends on no order of
+    rows, and a walk at a hub meets one row instead of all the hub's neighbours.
     ``per_node`` walks start at each node; by default ``WALKS`` are dealt out, 1 to ``NODE_WALKS`` a node."""
-    starts = adj.select(F.col("src").alias("start")).distinct()
+    numbered = materialise(sequence(adj.select("src", "dst"), ["src"], ["dst"], "dst", "arcs").select("src", "dst", "pos"), "arcs")
+    degree = materialise(numbered.groupBy("src").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("d")), "degrees")
     if per_node is None:
-        per_node = max(1, min(NODE_WALKS, WALKS // max(1, starts.limit(WALKS + 1).count())))
-    walks = starts.select("start", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"), F.col("start").alias("at"))
+        per_node = max(1, min(NODE_WALKS, WALKS // max(1, degree.limit(WALKS + 1).count())))
+    walks = degree.select(F.col("src").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"), F.col("src").alias("at"))
     steps = None
     for s in range(length):
-        h = F.xxhash64(F.lit(seed), "start", "walk", F.lit(s), "dst")
-        nxt = walks.join(adj, walks["at"] == adj["src"]).groupBy("start", "walk", "at").agg(F.min(F.struct(h.alias("h"), "dst")).alias("m")).select("start", "walk", F.col("at").alias("src"), F.col("m.dst").alias("dst"))
-        nxt = materialise(nxt, "walk")
+        pick = F.col("first") + F.pmod(F.xxhash64(F.lit(seed), "start", "walk", F.lit(s)), "d")
+        there = walks.join(degree, walks["at"] == degree["src"]).select("start", "walk", pick.alias("pos"))
+        nxt = materialise(there.join(numbered, "pos").select("start", "walk", "src", "dst"), "walk")
         steps = nxt if steps is None else steps.union(nxt)
         walks = nxt.select("start", "walk", F.col("dst").alias("at"))
     return steps.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -154,9 +184,20 @@ def gradient(u: np.ndarray, v: np.ndarray, n: np.ndarray, negatives: np.ndarray,
     return total, loss, float(n.sum())
 
 
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sum of a partition's gradients, losses and weights."""
+    total, loss, n = None, 0.0, 0.0
+    for f in frames:
+        for g, x, m in zip(f["g"], f["loss"], f["n"], strict=True):
+            total = g.copy() if total is None else total + g
+            loss, n = loss + x, n + m
+    if total is not None:
+        yield pd.DataFrame({"g": [total], "loss": [loss], "n": [n]})
+
+
 def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.5, negatives: int = 10, seed: int = 42) -> tuple[np.ndarray, list[float]]:
     """Aggregator weights and the loss of each epoch. The weights (dim x 2 dim) are the only thing the
-    driver holds; each epoch adds up gradients of the partitions. ``negatives`` vectors, chosen by
+    driver holds; each epoch adds up gradients of the partitions in two steps on the executors. ``negatives`` vectors, chosen by
     hash, serve the whole epoch."""
     inputs = materialise(vectors.join(neighbour_means(vectors, adj), "id").select("id", F.concat(F.transform("vec", lambda x: x.cast("double")), "mean").alias("x")), "inputs")
     first = inputs.head(1)
@@ -177,7 +218,10 @@ def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.
                     total, loss, weight = total + g, loss + x, weight + n
             yield pd.DataFrame({"g": [total.ravel()], "loss": [loss], "n": [weight]})
 
-        parts = rows.mapInPandas(part, "g array<double>, loss double, n double").collect()  # one gradient a partition
+        shape = "g array<double>, loss double, n double"
+        parts = rows.mapInPandas(part, shape)  # one gradient a partition
+        few = max(1, math.isqrt(shuffle_partitions(rows.sparkSession)))
+        parts = parts.withColumn("at", F.spark_partition_id()).repartition(few, "at").sortWithinPartitions("at").mapInPandas(_added, shape).coalesce(1).mapInPandas(_added, shape).collect()  # one row
         n = sum(p["n"] for p in parts) or 1.0
         w = (w - rate * np.sum([p["g"] for p in parts], axis=0).reshape(w.shape) / n).astype(np.float32)
         losses.append(sum(p["loss"] for p in parts) / n)

@@ -66,12 +66,12 @@ def triple_id() -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """``df`` with exactly the columns of TRIPLES: missing ones get defaults, more are dropped, ids are computed where absent."""
+def conform(df: DataFrame, *more: str) -> DataFrame:
+    """``df`` with exactly the columns of TRIPLES and ``more``: missing ones get defaults, others are dropped, ids are computed where absent."""
     out = df
     for f in TRIPLES.fields:
         if f.name not in out.columns and f.name != "triple_id":
             out = out.withColumn(f.name, F.array().cast(f.dataType) if f.name == "lineage" else F.lit(DEFAULTS.get(f.name)).cast(f.dataType))
     if "triple_id" not in out.columns:
         out = out.withColumn("triple_id", triple_id())
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRIPLES.fields])
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRIPLES.fields], *more)
