@@ -13,11 +13,30 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: list[str] = []
 _used: set[str] = set()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session: a worker need not find it on its own path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="tripleloom-code-")  # the driver serves the file from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/{here.name}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(name)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,14 +65,19 @@ def _clear(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the result has no lineage beyond its files."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new name below the shared folder; what is written there goes when the application ends."""
     folder = f"{scratch_root(spark)}/tripleloom/{spark.sparkContext.applicationId}"
     if folder not in _used:
         _used.add(folder)
         atexit.register(_clear, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}-{label}"
+    return f"{folder}/{uuid.uuid4().hex}-{label}"
+
+
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the result has no lineage beyond its files."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
