@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.naming import initials, normalise
 from tripleloom.operators import communities as com
-from tripleloom.operators import extraction, graph, resolve, retrieval, rules, store, validate, vectors
+from tripleloom.operators import extraction, graph, index, resolve, retrieval, rules, store, validate, vectors
 from tripleloom.schema import NOISE_PREDICATES, SEMANTIC_PREDICATES, STRONG_PREDICATES, TRUSTED, UNSERIALISED, Shape, Vocabulary
+from tripleloom.session import materialise, scratch_folder
 from tripleloom.sources.files import flatten_json_column
 from tripleloom.sources.tables import table
 from tripleloom.streaming.ingest import rate_window
@@ -161,18 +164,34 @@ def expand_trusted_2hop(s, d):
     return graph.expand(triples(s, d), one(s, focus(s, d)), 2).select("row_id")
 
 
-@q()
-def expand_capped(s, d):
+@q(f"WITH {_FOCUS} SELECT DISTINCT triple_id FROM triples WHERE {_T} AND (subject = (SELECT s FROM f) OR object = (SELECT s FROM f)) ORDER BY 1 LIMIT 50")
+def expand_capped_first(s, d):
+    """The first node's triples come first, fifty by triple_id."""
     rows = graph.expand_capped(triples(s, d), [focus(s, d)], 2)
-    return s.createDataFrame([(r["triple_id"], r["subject"], r["predicate"], r["object"]) for r in rows], "triple_id string, subject string, predicate string, object string")
+    return s.createDataFrame([(r["triple_id"],) for r in rows[:50]], "triple_id string")
 
 
-@q()
-def path_edges(s, d):
+@q(f"WITH RECURSIVE {_FOCUS}, {_reach(_T, 2)} SELECT true AS within_caps, true AS once, true AS within_reach")
+def expand_capped_holds(s, d):
+    rows = graph.expand_capped(triples(s, d), [focus(s, d)], 2)
+    ids = [r["triple_id"] for r in rows]
+    near = {r["node"] for r in graph.hop_distances(triples(s, d).filter(F.col("layer").isin(TRUSTED)), one(s, focus(s, d)), 2).collect()} if len(rows) <= 550 else set()
+    return s.createDataFrame([(len(ids) <= 550, len(ids) == len(set(ids)), all(r["subject"] in near or r["object"] in near for r in rows))], "within_caps boolean, once boolean, within_reach boolean")
+
+
+@q(f"WITH RECURSIVE {_FOCUS}, {_reach('true', 3)}, n AS (SELECT n, min(d) AS d FROM r GROUP BY 1) SELECT max(d)::INT AS steps, true AS joined, true AS known FROM n")
+def path_holds(s, d):
+    """A shortest path to one of the farthest nodes: as many edges as hops, each meets the next, all are triples."""
     t, a = triples(s, d), focus(s, d)
     far = graph.hop_distances(t, one(s, a), 3).orderBy(F.desc("depth"), "node").first()
     p = graph.shortest_path(t, a, far["node"], 4) or []
-    return s.createDataFrame([(i, e["subject"], e["predicate"], e["object"]) for i, e in enumerate(p)], "step int, subject string, predicate string, object string")
+    at, joined = a, True
+    for e in p:
+        joined = joined and at in (e["subject"], e["object"])
+        at = e["object"] if e["subject"] == at else e["subject"]
+    edges = s.createDataFrame([(e["subject"], e["predicate"], e["object"]) for e in p], "subject string, predicate string, object string").distinct()
+    known = edges.join(t.select("subject", "predicate", "object").distinct(), ["subject", "predicate", "object"], "left_anti").count() == 0
+    return s.createDataFrame([(len(p), joined and at == far["node"], known)], "steps int, joined boolean, known boolean")
 
 
 _NOISE = f"SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM triples WHERE predicate NOT IN {_in(NOISE_PREDICATES)} AND subject <> object AND subject IN (SELECT id FROM entities) AND object IN (SELECT id FROM entities)"
@@ -224,11 +243,6 @@ def rule_heading(s, d):
     return rules.candidates(table(s, d, "documents"), "doc_id", "text", rules._rules("universal")).filter("rule = 0").select("doc_id", "line_no", "object", "kind")
 
 
-@q(rf"WITH {_LINES} SELECT doc_id, line_no, array_to_string(list_transform(regexp_extract_all(line, '\p{{L}}+|\P{{L}}+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS object FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, '{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')")
-def rule_caps_heading(s, d):
-    return _rule(s, d, 1).drop("match")
-
-
 @q(rf"WITH {_NOTES}, {_LINES} SELECT doc_id, line_no, array_to_string(list_transform(regexp_extract_all(line, '\p{{L}}+|\P{{L}}+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS object FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, '{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')")
 def notes_caps_heading(s, d):
     return _rule(s, d, 1, rendered=True).drop("match")
@@ -251,31 +265,16 @@ def rule_wiki_link(s, d):
 _MD = r"\[([^\]]{1,160})\]\(([^)]+)\)"
 
 
-@q(rf"WITH {_LINES} SELECT doc_id, line_no, lower(regexp_extract(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)', 1)) AS object FROM ({_matches(_MD, 2, True)}) WHERE regexp_matches(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)')")
-def rule_markdown_link(s, d):
-    return _rule(s, d, 3).drop("match")
-
-
 @q(rf"WITH {_NOTES}, {_LINES} SELECT doc_id, line_no, lower(regexp_extract(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)', 1)) AS object FROM ({_matches(_MD, 2, True)}) WHERE regexp_matches(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)')")
 def notes_markdown_link(s, d):
     return _rule(s, d, 3, rendered=True).drop("match")
 
 
-@q(f"WITH {_LINES} {_matches(rules.URL.replace('(?U)', '').replace(chr(39), chr(39) * 2))}")
-def rule_url_host(s, d):
-    return _rule(s, d, 4)
-
-
 @q(f"WITH {_NOTES}, {_LINES} {_matches(rules.URL.replace('(?U)', '').replace(chr(39), chr(39) * 2))}")
 def notes_url_host(s, d):
     return _rule(s, d, 4, rendered=True)
 
 
-@q(rf"WITH {_LINES} SELECT * FROM ({_matches(r'(?:^|[^\p{L}\p{N}\p{M}_/])#([A-Za-z][A-Za-z0-9_-]{1,60})' + chr(92) + 'b')}) WHERE (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM t WHERE line LIKE '#%')")
-def rule_hashtag(s, d):
-    return _rule(s, d, 5)
-
-
 @q(rf"WITH {_NOTES}, {_LINES} SELECT * FROM ({_matches(r'(?:^|[^\p{L}\p{N}\p{M}_/])#([A-Za-z][A-Za-z0-9_-]{1,60})' + chr(92) + 'b')}) WHERE (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM t WHERE line LIKE '#%')")
 def notes_hashtag(s, d):
     return _rule(s, d, 5, rendered=True)
@@ -296,21 +295,98 @@ def _notes(s, d) -> DataFrame:
     return table(s, d, "documents").withColumn("relative_path", F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")))
 
 
-@q()
+def _cand(no: int, predicate: str, obj: str, kind: str, evidence: str, confidence: float, source: str) -> str:
+    return f"SELECT doc_id, line_no, {no} AS rule, match, {predicate} AS predicate, {obj} AS object, {kind} AS kind, {evidence} AS evidence, {confidence} AS confidence FROM ({source})"
+
+
+def _found(pattern: str, groups: dict[str, int], where: str = "true") -> str:
+    lists = ", ".join(f"unnest(regexp_extract_all(line, '{pattern}', {g})) AS {n}" for n, g in groups.items())
+    first = next(iter(groups.values()))
+    return f"SELECT doc_id, line_no, line, {lists}, generate_subscripts(regexp_extract_all(line, '{pattern}', {first}), 1) - 1 AS match FROM t WHERE {where}"
+
+
+_URLS, _WEBRE = rules.URL.replace("(?U)", "").replace("'", "''"), "(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)"
+_TITLE = r"array_to_string(list_transform(regexp_extract_all(line, '\p{L}+|\P{L}+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
+_TAGRE = r"(?:^|[^\p{L}\p{N}\p{M}_/])#([A-Za-z][A-Za-z0-9_-]{1,60})" + chr(92) + "b"
+_LINKED = f"SELECT doc_id, line_no, {_strip('label')} AS label, {_strip('url')} AS url, match FROM ({_found(_MD, {'label': 1, 'url': 2})})"
+_HEADS = f"SELECT doc_id, line_no, line, 0 AS match, length(regexp_extract(line, '{_HEAD}', 1)) AS n, {_strip(f"""regexp_extract(line, '{_HEAD}', 2)""")} AS v FROM t WHERE regexp_matches(line, '{_HEAD}')"
+_CAPS = rf"SELECT doc_id, line_no, line, 0 AS match FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, '{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')"
+_UNIVERSAL = [
+    _cand(0, "'CONTAINS_HEADING'", "v", "'heading:h' || n", "'H' || n || ': ' || v", 0.90, _HEADS),
+    _cand(1, "'CONTAINS_HEADING'", _TITLE, "'heading'", "line", 0.70, _CAPS),
+    _cand(2, "'LINKS_TO'", _strip("v"), "'vault_link'", "line", 0.86, _found(_WIKI, {"v": 1})),
+    _cand(3, "'REFERENCES_URL'", f"lower(regexp_extract(url, '{_WEBRE}', 1))", "'url_host'", "'Link: ' || label", 0.82, f"SELECT * FROM ({_LINKED}) WHERE regexp_matches(url, '{_WEBRE}')"),
+    _cand(4, "'REFERENCES_URL'", "v", "'url_host'", "line", 0.75, _found(_URLS, {"v": 1})),
+    _cand(5, "'HAS_TAG'", "v", "'tag'", "line", 0.82, _found(_TAGRE, {"v": 1}, "NOT starts_with(line, '#')")),
+]
+_VAULT = [
+    _UNIVERSAL[0],
+    _UNIVERSAL[2].replace("2 AS rule", "1 AS rule", 1),
+    _cand(2, f"CASE WHEN regexp_matches(url, '{_WEBRE}') THEN 'REFERENCES_URL_HOST' ELSE 'LINKS_TO' END", f"CASE WHEN regexp_matches(url, '{_WEBRE}') THEN lower(regexp_extract(url, '{_WEBRE}', 1)) WHEN label <> '' THEN label ELSE url END", f"CASE WHEN regexp_matches(url, '{_WEBRE}') THEN 'url_host' ELSE 'local_link' END", "'Link: ' || label", 0.80, f"SELECT * FROM ({_LINKED}) WHERE regexp_matches(url, '{_WEBRE}') OR (url <> '' AND NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:'))").replace("0.8 AS confidence", f"CASE WHEN regexp_matches(url, '{_WEBRE}') THEN 0.82 ELSE 0.80 END AS confidence"),
+    _UNIVERSAL[5].replace("5 AS rule", "3 AS rule", 1),
+]
+
+
+def _extract_sql(rules_: list[str], cap: int, key: str, with_: str = "") -> str:
+    return f"""WITH {with_}{_LINES}, c AS ({' UNION ALL '.join(rules_)}), x AS (SELECT * FROM c WHERE {_strip('object')} <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, predicate, {key} ORDER BY line_no, rule, match) = 1),
+y AS (SELECT *, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY line_no, rule, match) AS place FROM x QUALIFY place <= {cap})
+SELECT doc_id::VARCHAR AS subject, predicate, substr(object, 1, 240) AS object, kind AS target_kind, substr(evidence, 1, 700) AS evidence, confidence::DOUBLE AS confidence, place::INT AS place FROM y
+UNION ALL SELECT doc_id::VARCHAR, 'HAS_FILE_TYPE', 'md', 'file_type', 'File: notes/' || doc_id || '.md', 0.95, 1 FROM documents WHERE {_strip('text')} <> ''"""
+
+
+_EXTRACTED = ["subject", "predicate", "object", "target_kind", "evidence", "confidence", "place"]
+
+
+def _path(df: DataFrame) -> DataFrame:
+    return df.withColumn("relative_path", F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")))
+
+
+@q(_extract_sql(_UNIVERSAL, rules.FACTS["universal"], "object[:240]"))
 def extract_universal(s, d):
-    return rules.extract(_notes(s, d), "universal")
+    return rules.extract(_notes(s, d), "universal", max_facts=rules.FACTS["universal"]).select(*_EXTRACTED)
 
 
-@q()
+@q(_extract_sql(_VAULT, rules.FACTS["vault"], "object"))
 def extract_vault(s, d):
-    return rules.extract(_notes(s, d), "vault")
+    return rules.extract(_notes(s, d), "vault", max_facts=rules.FACTS["vault"]).select(*_EXTRACTED)
+
+
+@q(_extract_sql(_UNIVERSAL, 1_000_000, "object[:240]", _NOTES + ", "))
+def extract_rendered_universal(s, d):
+    """Texts in which every rule has input; without a cap."""
+    return rules.extract(_path(notes(s, d)), "universal").select(*_EXTRACTED)
+
+
+@q(_extract_sql(_VAULT, 1_000_000, "object", _NOTES + ", "))
+def extract_rendered_vault(s, d):
+    return rules.extract(_path(notes(s, d)), "vault").select(*_EXTRACTED)
 
 
-@q()
+_SECTIONS = rf"""b AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)^---\n.*?\n---\n', ''), '(?m)^```[^\n]*\n?', '', 'g') AS body FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, string_split(regexp_replace(body, '(?m)^(#{{1,3}}\s+.+)$', chr(1) || '\1', 'g'), chr(1)) AS x FROM b), u AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) AS n FROM p),
+v AS (SELECT doc_id, n, {_strip('raw')} AS section FROM u), w AS (SELECT doc_id, n, section, unnest(range(1, length(section) + 1, {extraction.CALL_CHARS})) AS spot FROM v WHERE length(section) >= {extraction.MIN_SECTION}),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, spot) - 1 AS section_no, substr(section, spot, {extraction.CALL_CHARS}) AS section FROM w)"""
+
+
+@q(f"WITH {_SECTIONS} SELECT doc_id, section_no::INT AS section_no, section FROM s")
 def section_split(s, d):
     return extraction.sections(table(s, d, "documents"))
 
 
+def _measure(text: str, system: str) -> str:
+    """A client that states how long the section is, unsure where it is long; it fails on one kind of section."""
+    if text.startswith("## "):
+        raise RuntimeError("no answer")
+    return json.dumps({"triples": [{"subject": text[:20], "subject_type": "Concept", "predicate": "DEFINED_AS", "object": str(len(text)), "object_type": "Value", "confidence": 0.6 if len(text) > 500 else 0.9}]})
+
+
+@q(f"WITH {_SECTIONS} SELECT doc_id::VARCHAR AS source_doc, substr(section, 1, 20) AS subject, length(section)::VARCHAR AS object, CASE WHEN length(section) > 500 THEN 'llm_hypotheses' ELSE 'source_facts' END AS layer, CASE WHEN length(section) > 500 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM s WHERE NOT starts_with(section, '## ')")
+def llm_extraction(s, d):
+    """Sections of all documents through a client and the reader of its replies; failed calls give nothing."""
+    replies = extraction.call(extraction.sections(table(s, d, "documents")), _measure)
+    return extraction.parse_replies(replies).select("source_doc", "subject", "object", "layer", "confidence")
+
+
 @q("SELECT event_id, unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
 def json_flatten(s, d):
     return flatten_json_column(table(s, d, "events"), "event_id", "props")
@@ -357,6 +433,17 @@ def shacl_strict(s, d):
     return validate.validate(triples(s, d), VOCABULARY, strict=True).select("row_id", "accepted")
 
 
+_RANKED = _SHACL.replace("SELECT row_id, 'Violation' AS severity", "SELECT 1 AS no, row_id, 'Violation' AS severity", 1)
+for _no in range(2, 7):
+    _RANKED = _RANKED.replace("UNION ALL SELECT row_id", f"UNION ALL SELECT {_no}, row_id", 1)
+
+
+@q(f"""{_RANKED}, m AS (SELECT row_id, CASE WHEN bool_or(severity = 'Violation') THEN 'VIOLATION' WHEN bool_or(severity = 'Warning') THEN 'WARNING' ELSE 'INFO' END AS worst, string_agg('[' || severity || '] ' || detail, '; ' ORDER BY no) AS details FROM x GROUP BY 1)
+SELECT row_id, 'SCHEMA ' || worst || ' (' || coalesce(subject, '') || ' -' || coalesce(predicate, '') || '-> ' || coalesce(object, '') || '): ' || details AS message FROM m JOIN triples USING (row_id)""")
+def shacl_messages(s, d):
+    return validate.validate(triples(s, d), VOCABULARY).filter("message is not null").select("row_id", "message")
+
+
 # --- resolution --------------------------------------------------------------------------------
 
 
@@ -366,7 +453,7 @@ def names(s, d) -> DataFrame:
 
 
 _NORM = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
-_NAMES = "e AS (SELECT id, kind FROM entities WHERE id IS NOT NULL AND NOT regexp_matches(id, '^(doc|rec):'))"
+_NAMES = "e AS (SELECT id, kind FROM entities WHERE id IS NOT NULL)"
 _CLASSES = f"{_NAMES}, c AS (SELECT kind, {_NORM.format('id')} AS norm, min(id) AS id FROM e GROUP BY 1, 2 HAVING {_NORM.format('min(id)')} <> '')"
 _INITIALS = "CASE WHEN len(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> '')) >= 2 THEN lower(array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: w[1]), '')) END"
 _PAIRS = f"{_CLASSES}, z AS (SELECT kind, count(*) AS m FROM c GROUP BY 1), b AS (SELECT c.*, CASE WHEN m <= 256 THEN '*' ELSE 'p:' || norm[:2] END AS block FROM c JOIN z ON c.kind IS NOT DISTINCT FROM z.kind), p AS (SELECT x.kind, x.id AS a, y.id AS b, x.norm AS na, y.norm AS nb FROM b x JOIN b y ON x.kind IS NOT DISTINCT FROM y.kind AND x.block = y.block AND x.id < y.id)"
@@ -413,9 +500,26 @@ def er_f1(s, d):
     return resolve.pair_quality(table(s, d, "er_labelled_pairs"), resolve.resolve(names(s, d), triples(s, d))["canonical"])
 
 
-@q()
+@q(f"""{_CANON}, o AS (SELECT x.kind, x.norm, min(x.id) AS canonical FROM x WHERE norm <> '' GROUP BY 1, 2),
+h AS (SELECT o.canonical AS a, x.id AS b, 1 AS phase, 1.0 AS score, 'exact_normalised' AS method FROM o JOIN x ON o.kind = x.kind AND o.norm = x.norm WHERE x.id <> o.canonical
+  UNION ALL SELECT a, b, 2, score, method FROM m WHERE band = 'auto' UNION ALL SELECT subject, object, 3, 0.80, 'structural_wcc' FROM triples WHERE predicate = 'SIMILAR_TO' AND subject <> object),
+n AS (SELECT id, min((phase, -score, method)) AS e FROM (SELECT a AS id, phase, score, method FROM h UNION ALL SELECT b, phase, score, method FROM h) GROUP BY 1)
+SELECT canonical AS canonical_id, g.id AS alias_id, round(-e[2], 6)::DOUBLE AS confidence, e[1]::INT AS phase, e[3] AS method FROM g JOIN n ON g.id = n.id WHERE canonical <> g.id""")
 def er_resolve_aliases(s, d):
-    return resolve.resolve(names(s, d), triples(s, d))["aliases"]
+    return resolve.resolve(names(s, d), triples(s, d))["aliases"].withColumn("confidence", F.round("confidence", 6))
+
+
+@q("SELECT DISTINCT alias_id FROM entity_aliases WHERE alias_id IS NOT NULL AND canonical_id = (SELECT canonical_id FROM entity_aliases WHERE canonical_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+def aliases_of_popular(s, d):
+    a = table(s, d, "entity_aliases")
+    popular = a.filter("canonical_id is not null").groupBy("canonical_id").count().orderBy(F.desc("count"), "canonical_id").first()
+    return resolve.aliases_of(a, popular["canonical_id"] if popular else "")
+
+
+@q("SELECT canonical_id, alias_id, phase::INT AS phase FROM entity_aliases a WHERE NOT EXISTS (SELECT 1 FROM entity_aliases b WHERE b.phase = 1 AND a.canonical_id = b.canonical_id AND a.alias_id = b.alias_id)")
+def alias_append(s, d):
+    a = table(s, d, "entity_aliases")
+    return resolve.new_aliases(a.filter("phase = 1"), a).select("canonical_id", "alias_id", "phase")
 
 
 @q("WITH k AS (SELECT id, min(kind) AS kind FROM entities GROUP BY 1) SELECT alias_id AS subject, canonical_id AS object, coalesce(x.kind, 'concept') AS source_kind, coalesce(y.kind, 'concept') AS target_kind, 'entity resolution merge via ' || coalesce(method, 'null') || ' (confidence=' || CASE WHEN confidence IS NULL THEN 'null' ELSE CAST(CAST(CAST(confidence AS VARCHAR) AS DECIMAL(18, 3)) AS VARCHAR) END || ')' AS evidence, CASE WHEN confidence IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, confidence)) END AS confidence FROM entity_aliases LEFT JOIN k x ON x.id = alias_id LEFT JOIN k y ON y.id = canonical_id")
@@ -467,10 +571,38 @@ def knn_same_kind(s, d):
     return vectors.nearest(v, v.filter("id % 50 = 0"), same_group=True).withColumn("score", F.round("score", 6))
 
 
-@q()
-def knn_quantised(s, d):
+_ASKED = "SELECT count(*) AS queries, 10 * count(*) AS rows, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@q(_ASKED)
+def knn_quantised_holds(s, d):
+    """4-bit search with exact ranking: at least nine tenths of the true neighbours."""
     v = _vectors(s, d)
-    return vectors.nearest(v, v.filter("id % 50 = 0"), quantised=True).withColumn("score", F.round("score", 6))
+    asked = v.filter("id % 50 = 0")
+    found = materialise(vectors.nearest(v, asked, quantised=True), "found")
+    true = vectors.nearest(v, asked).select("query", "id")
+    hits = found.join(true, ["query", "id"], "left_semi").count()
+    n = asked.count()
+    return s.createDataFrame([(n, found.count(), hits >= 0.9 * 10 * n)], "queries long, rows long, recall_reached boolean")
+
+
+@q(_near(""))
+def knn_indexed_all_cells(s, d):
+    """The index holds every row: with every cell probed it finds what brute force finds."""
+    v, path = _vectors(s, d).drop("grp"), scratch_folder(s, "index")
+    index.build(v).save(path)
+    i = index.VectorIndex.load(s, path)
+    return i.search(v.filter("id % 50 = 0"), 10, len(i.centroids)).withColumn("score", F.round("score", 6))
+
+
+@q(_ASKED)
+def knn_index_holds(s, d):
+    """With the probes that the index chose: at least nine tenths of the true neighbours."""
+    v = _vectors(s, d).drop("grp")
+    i = index.build(v)
+    i.rows = materialise(i.rows, "cells")
+    asked = v.filter("id % 50 = 0")
+    return s.createDataFrame([(asked.count(), i.search(asked).count(), i.recall(asked) >= 0.9)], "queries long, rows long, recall_reached boolean")
 
 
 def _chain(s, d) -> DataFrame:
@@ -492,23 +624,40 @@ def neighbour_mean(s, d):
     return vectors.neighbour_means(_text_vectors(s, d), _chain(s, d)).select("id", F.posexplode("mean").alias("i", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-@q()
-def sage_forward(s, d):
+_GRAPH = """e AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings), g AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b AND b IN (SELECT vec_id FROM embeddings)),
+s AS (SELECT a AS id, b AS o FROM g UNION ALL SELECT b, a FROM g), x AS (SELECT id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM s JOIN embeddings ON o = vec_id),
+m AS (SELECT id, i, avg(v) AS mean FROM x GROUP BY 1, 2)"""
+
+
+@q(f"""WITH {_GRAPH}, w AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+r AS (SELECT w.id, w.i, CASE WHEN mean IS NULL THEN v ELSE greatest(v + 0.5 * mean, 0) END AS r FROM w LEFT JOIN m ON w.id = m.id AND w.i = m.i), n AS (SELECT id, sqrt(sum(r * r)) AS norm FROM r GROUP BY 1)
+SELECT r.id::VARCHAR AS id, r.i::INT AS i, round(r / CASE WHEN norm > 0 THEN norm ELSE 1 END, 4) AS value FROM r JOIN n ON r.id = n.id""")
+def sage_layer(s, d):
+    """One layer whose weights take the own vector and half the neighbours' mean."""
     v = _text_vectors(s, d)
     first = v.first()
-    return vectors.aggregate(v, _chain(s, d), vectors.initial_weights(len(first["vec"]) if first else 1))
+    one_ = np.eye(len(first["vec"]) if first else 1)
+    out = vectors.aggregate(v, _chain(s, d), np.hstack([one_, one_ / 2]), layers=1)
+    return out.select("id", F.posexplode("vec").alias("i", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
-@q()
-def walk_pair_counts(s, d):
-    return vectors.walk_pairs(vectors.adjacency(triples(s, d), table(s, d, "entities")))
+@q(f"WITH e AS ({_NOISE}), n AS (SELECT count(*) AS n FROM (SELECT a FROM e UNION SELECT b FROM e)) SELECT (n * greatest(1, least(50, 200 // greatest(n, 1))) * 5)::BIGINT AS steps, true AS along_edges FROM n")
+def walk_pairs_hold(s, d):
+    """Walks of five steps from every node, each along an edge."""
+    adj = materialise(vectors.adjacency(triples(s, d), table(s, d, "entities")), "adjacency")
+    w = materialise(vectors.walk_pairs(adj), "walks")
+    off = w.join(adj, ["src", "dst"], "left_anti").count()
+    return w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("steps")).withColumn("along_edges", F.lit(off == 0))
 
 
-@q()
-def text_search(s, d):
+@q("SELECT min(id) AS id, 1 AS rank, 1.0::DOUBLE AS score FROM entities")
+def text_search_self(s, d):
+    """An entity's own text finds the entity."""
     e = vectors.NGramEncoder()
-    v = vectors.encode(vectors.entity_texts(triples(s, d), table(s, d, "entities")), "text", e)
-    return retrieval.search_text(v, QUESTION, e).select("id", F.round("score", 6).alias("score"), "rank")
+    texts = materialise(vectors.entity_texts(triples(s, d), table(s, d, "entities")), "texts")
+    v = materialise(vectors.encode(texts, "text", e), "vectors")
+    own = texts.orderBy("id").first()
+    return retrieval.search_text(v, own["text"], e).filter("rank = 1").select("id", "rank", F.round("score", 4).alias("score"))
 
 
 # --- communities and retrieval -----------------------------------------------------------------
@@ -519,9 +668,46 @@ def semantic_edge_weights(s, d):
     return com.semantic_edges(triples(s, d))
 
 
-@q()
-def communities_detected(s, d):
-    return com.hierarchy_levels(com.semantic_edges(triples(s, d)))
+@q("SELECT true AS found, true AS large_enough, true AS one_place_a_level, true AS within_parent, true AS connected, true AS no_gain_left")
+def communities_hold(s, d):
+    """What a detection must keep: sizes, one community an entity and level, children inside parents, connected
+    communities, and on level 0 no entity that would be better in a neighbouring community."""
+    edges = materialise(com.semantic_edges(triples(s, d)), "edges")
+    found = materialise(com.hierarchy_levels(edges, min_size=1), "levels")
+    kept = materialise(com.hierarchy_levels(edges), "kept")
+    sizes = kept.groupBy("community").count().agg(F.min("count"), F.count(F.lit(1))).first()
+    twice = found.groupBy("level", "entity").count().filter("count > 1").count()
+    above = found.select(F.col("community").alias("parent"), "entity")
+    outside = found.filter("parent is not null").join(above, ["parent", "entity"], "left_anti").count()
+    place = found.filter("level = 0").select(F.col("entity").alias("v"), F.col("community").alias("c"))
+    pa, pb = place.select(F.col("v").alias("a"), F.col("c").alias("ca")), place.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+    placed = materialise(edges.join(pa, "a").join(pb, "b"), "placed")
+    pieces = graph.components(placed.filter("ca = cb")).join(place.withColumnRenamed("v", "id"), "id").groupBy("c").agg(F.countDistinct("root").alias("n")).filter("n > 1").count()
+    both = placed.select(F.col("a").alias("v"), F.col("ca").alias("own"), F.col("cb").alias("to"), "weight").union(placed.select("b", "cb", "ca", "weight"))
+    links = both.groupBy("v", "own", "to").agg(F.sum("weight").alias("k"))
+    degree = both.groupBy("v", "own").agg(F.sum("weight").alias("d"))
+    total = degree.groupBy(F.col("own").alias("to")).agg(F.sum("d").alias("s"))
+    m2 = degree.agg(F.sum("d")).first()[0] or 1.0
+    here = links.filter("own = to").select("v", F.col("k").alias("kept"))
+    mine = degree.join(total.select(F.col("to").alias("own"), F.col("s").alias("own_s")), "own").join(here, "v", "left").select("v", "d", (F.coalesce("kept", F.lit(0.0)) - F.col("d") * (F.col("own_s") - F.col("d")) / m2).alias("g0"))
+    better = links.filter("own <> to").join(total, "to").join(mine, "v").filter(F.col("k") - F.col("d") * F.col("s") / m2 > F.col("g0") + 1e-6)
+    # communities that contracted levels joined keep every entity's gain only as a whole, so few may be left
+    gains = better.select("v").distinct().count() <= 0.05 * place.count()
+    return s.createDataFrame([((sizes[1] or 0) > 0, (sizes[0] or 0) >= 3, twice == 0, outside == 0, pieces == 0, gains)], "found boolean, large_enough boolean, one_place_a_level boolean, within_parent boolean, connected boolean, no_gain_left boolean")
+
+
+def _first_line(prompt: str, system: str) -> str:
+    return prompt.split("\n")[0]
+
+
+@q(f"""WITH m AS (SELECT DISTINCT community_id, entity_id FROM community_members), n AS (SELECT community_id, count(*) AS n FROM m GROUP BY 1),
+o AS (SELECT community_id, entity_id FROM m QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY entity_id NULLS FIRST) <= 20), l AS (SELECT community_id, string_agg(entity_id, ', ' ORDER BY entity_id) AS names FROM o GROUP BY 1),
+f AS (SELECT DISTINCT community_id FROM m JOIN (SELECT subject AS id FROM triples WHERE predicate NOT IN {_in(NOISE_PREDICATES)} UNION SELECT object FROM triples WHERE predicate NOT IN {_in(NOISE_PREDICATES)}) ON id = entity_id)
+SELECT n.community_id, CASE WHEN f.community_id IS NULL THEN '' ELSE 'Community ' || n.community_id || ', ' || n || ' entities: ' || names END AS summary FROM n JOIN l ON n.community_id = l.community_id LEFT JOIN f ON n.community_id = f.community_id WHERE n.community_id IS NOT NULL""")
+def community_summaries(s, d):
+    """A client that answers with the prompt's first line: a community's size and first members."""
+    m = table(s, d, "community_members").select("community_id", "entity_id")
+    return com.summarise(com.community_facts(triples(s, d), m), m, _first_line)
 
 
 @q("SELECT count(*) AS communities, coalesce(sum(member_count), 0)::BIGINT AS total_members FROM communities")
@@ -567,7 +753,14 @@ def anchors_merged(s, d):
     return retrieval.anchors(table(s, d, "entities"), triples(s, d), QUESTION)
 
 
-@q()
+_FOLLOWED = f"""{_ANCHORS.replace("WITH ", "WITH RECURSIVE ", 1)}, p AS (SELECT alias_id AS id, min(canonical_id) AS nx FROM entity_aliases WHERE alias_id IS NOT NULL AND canonical_id IS NOT NULL AND alias_id <> canonical_id GROUP BY 1),
+u AS (SELECT id, nx AS spot FROM p UNION SELECT u.id, p.nx FROM u JOIN p ON u.spot = p.id), l AS (SELECT DISTINCT spot FROM u WHERE id = spot),
+k AS (SELECT id, spot AS canonical FROM u WHERE spot NOT IN (SELECT id FROM p) UNION ALL SELECT id, min(spot) FROM u WHERE spot IN (SELECT spot FROM l) GROUP BY id),
+o AS (SELECT coalesce(canonical, a.id) AS id, min((term_no, side, rn)) AS o FROM a LEFT JOIN k ON a.id = k.id GROUP BY 1),
+n AS (SELECT id, (row_number() OVER (ORDER BY o) - 1)::INT AS pos FROM o ORDER BY o LIMIT 20)"""
+
+
+@q(f"{_FOLLOWED} SELECT id, pos FROM n")
 def anchors_canonical(s, d):
     return retrieval.anchors(table(s, d, "entities"), triples(s, d), QUESTION, table(s, d, "entity_aliases"))
 
@@ -585,19 +778,22 @@ def _ask(s, d, mode: str) -> DataFrame:
     return s.createDataFrame([(r["mode"], r["answer"], int(r["subgraph_size"]), r["anchor_entities"], int(r.get("communities_used", 0)))], "mode string, answer string, subgraph_size int, anchors array<string>, communities_used int")
 
 
-@q()
+_TOP = f"SELECT member_count FROM communities WHERE summary IS NOT NULL AND summary <> '' ORDER BY round({_SCORE}, 9) DESC, level, member_count DESC, community_id, summary LIMIT 20"
+
+
+@q(f"{_FOLLOWED} SELECT 'local' AS mode, 0 AS communities_used, (SELECT list(id ORDER BY pos) FROM n) AS anchors")
 def ask_local(s, d):
-    return _ask(s, d, "local")
+    return _ask(s, d, "local").select("mode", "communities_used", "anchors")
 
 
-@q()
+@q(f"SELECT 'global' AS mode, sum(member_count)::INT AS subgraph_size, count(*)::INT AS communities_used FROM ({_TOP})")
 def ask_global(s, d):
-    return _ask(s, d, "global")
+    return _ask(s, d, "global").select("mode", "subgraph_size", "communities_used")
 
 
-@q()
+@q(f"{_FOLLOWED} SELECT 'drift' AS mode, (SELECT count(*) FROM ({_TOP}))::INT AS communities_used, (SELECT list(id ORDER BY pos) FROM n) AS anchors")
 def ask_drift(s, d):
-    return _ask(s, d, "drift")
+    return _ask(s, d, "drift").select("mode", "communities_used", "anchors")
 
 
 @q("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
