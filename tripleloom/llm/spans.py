@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.session import materialise
+from tripleloom.session import discard, materialise
 
 RUN = 150
 PHRASE = 75
@@ -152,8 +152,8 @@ _BLOCKS = "gid long, h long, lo long, hi long, docs array<long>, lens array<int>
 
 
 def _fingerprints(run: int, phrase: int):
-    """Documents (doc, text) -> blocks: a row (gid, h, least and greatest document) for each gram that the
-    block selects, and a row with the block's documents."""
+    """Documents (doc, text) -> blocks: a row (gid, h, least document, greatest if it is another) for each
+    gram that the block selects, and a row with the block's documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, zstd = Hasher(CHUNK + run), pa.Codec("zstd")
@@ -176,7 +176,7 @@ def _fingerprints(run: int, phrase: int):
             n = int(first.sum())
             none = [pa.nulls(n, x) for x in (longs, ints, pa.binary(), pa.int64())]
             raw = "".join(t for _, t in docs).encode("utf-8", "surrogatepass")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gid)), pa.array(h[first].view(np.int64)), pa.array(d[first]), pa.array(d[last]), *none], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gid)), pa.array(h[first].view(np.int64)), pa.array(d[first]), pa.array(d[last], mask=d[last] == d[first]), *none], names=_NAMES)
             whole = [pa.array([[x for x, _ in docs]], longs), pa.array([[len(t) for _, t in docs]], ints), pa.array([zstd.compress(raw, asbytes=True)], pa.binary()), pa.array([len(raw)], pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), *[pa.nulls(1, pa.int64())] * 3, *whole], names=_NAMES)
 
@@ -379,10 +379,11 @@ def shared_spans(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     # a row a phrase and block: a phrase of very many documents is one of as many rows as there are blocks
     by = Window.partitionBy("h")
     prints = blocks.filter("h is not null").select("h", "gid", "lo", "hi")
-    recurring = prints.withColumn("l", F.min("lo").over(by)).withColumn("m", F.max("hi").over(by)).filter("l <> m").select("gid", "h")
+    recurring = prints.withColumn("l", F.min("lo").over(by)).withColumn("m", F.max(F.coalesce("hi", "lo")).over(by)).filter("l <> m").select("gid", "h")
     wanted = recurring.groupBy("gid").agg(F.collect_list("h").alias("hs"))  # bounded by the block
     told = blocks.filter("h is null").select("gid", "docs", "lens", "blob", "size").join(wanted, "gid").select("docs", "lens", "blob", "size", "hs")
     passages = materialise(told.mapInArrow(_located(run, phrase), _PASSAGES), "passages")
+    discard(blocks)
     kinds = passages.filter("passage is not null").select("h", "x", "y", "lo", "hi", "passage").repartition("h")  # a row a passage and block
     kinds = kinds.groupBy("h", "x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("passage").alias("passage"))
     lone = F.max((F.col("lo") == F.col("hi")).cast("int")).over(by)
