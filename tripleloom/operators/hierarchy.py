@@ -26,8 +26,8 @@ from tripleloom.functions.text import strip
 from tripleloom.operators.ordered import sequence
 from tripleloom.session import materialise
 
-#: Arcs that one task ranks at most: 2^18 arcs of 32 bytes, 8 MB.
-LOCAL_ARCS = 1 << 18
+#: Arcs that one task ranks at most, after splicing; the result does not depend on it.
+LOCAL_ARCS = 1 << 14
 #: Tour positions of one chunk of path building.
 CHUNK = 1 << 14
 

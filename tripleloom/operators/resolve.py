@@ -139,17 +139,20 @@ def canonical_map(aliases: DataFrame) -> DataFrame:
     """
     step = aliases.filter("alias_id is not null and canonical_id is not null and alias_id <> canonical_id").groupBy(F.col("alias_id").alias("id")).agg(F.min("canonical_id").alias("to"))
     step = materialise(step, "steps")
-    cur, left = step.withColumn("on", F.lit(True)), None
-    while True:
-        far = cur.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("on").alias("on2"))
-        cur = materialise(cur.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("on") & F.coalesce("on2", F.lit(False))).alias("on")), "chain")
-        before, left = left, cur.filter("on").count()
+    live, ended, left = step.select("id", "to", F.lit(True).alias("on")), None, None
+    while True:  # only ids still on their way are joined and written again; the others stay to be looked up
+        every = live if ended is None else live.union(ended)
+        far = every.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("on").alias("on2"))
+        now = materialise(live.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.coalesce("on2", F.lit(False)).alias("on")), "chain")
+        done, live = now.filter("not on"), now.filter("on")
+        ended = done if ended is None else ended.union(done)
+        before, left = left, live.count()
         if not left or left == before:  # nobody is on the way any more but those on loops
             break
-    ended = cur.filter("not on").select("id", F.col("to").alias("canonical"))
+    ended = ended.select("id", F.col("to").alias("canonical"))
     if not left:
         return ended
-    ring = sequence(cur.filter("on").select("id").join(step, "id"), [], ["id"], "id", "rings")
+    ring = sequence(live.select("id").join(step, "id"), [], ["id"], "id", "rings")
     ring = materialise(ring.select("id", "to", F.col("pos").alias("nid")), "ring")
     number = ring.select(F.col("id").alias("to"), F.col("nid").alias("parent"))
     loops = find_loops(ring.join(number, "to").select("nid", "parent"))

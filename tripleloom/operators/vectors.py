@@ -20,6 +20,8 @@ from tripleloom.session import materialise, shuffle_partitions
 
 #: Rows of a cell of a blocked search: data rows and query rows that one task multiplies.
 DATA_CELL, QUERY_CELL = 20_000, 2_000
+#: Inputs that pairs are told apart from, of which each pair gets some in each epoch.
+POOL = 256
 #: Walks dealt out to the nodes of a graph, and those of a node at most.
 WALKS, NODE_WALKS = 200, 50
 
@@ -166,16 +168,18 @@ def forward(concat: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return act / norm, pre, norm
 
 
-def gradient(u: np.ndarray, v: np.ndarray, n: np.ndarray, negatives: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float, float]:
+def gradient(u: np.ndarray, v: np.ndarray, n: np.ndarray, negatives: np.ndarray, w: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
     """Gradient, loss and weight of a batch of pairs: rows of u and v are inputs (own, mean), n their
-    counts, ``negatives`` inputs that every pair of the batch is told apart from."""
+    counts. ``apart`` (pairs x negatives) says how often a pair is told apart from each of the inputs
+    ``negatives``; None is once from all."""
     zu, pu, nu = forward(u, w)
     zv, pv, nv = forward(v, w)
     zn, pn, nn = forward(negatives, w)
     dot, off = (zu * zv).sum(1), zu @ zn.T
     sp, sn = 1 / (1 + np.exp(-dot)), 1 / (1 + np.exp(off))
-    loss = float((n * -np.log(sp + 1e-12)).sum() + (n[:, None] * -np.log(sn + 1e-12)).sum())
-    cp, cn = (-(1 - sp) * n)[:, None], (1 - sn) * n[:, None]
+    often = n[:, None] if apart is None else n[:, None] * apart
+    loss = float((n * -np.log(sp + 1e-12)).sum() + (often * -np.log(sn + 1e-12)).sum())
+    cp, cn = (-(1 - sp) * n)[:, None], (1 - sn) * often
     gu, gv, gn = cp * zv + cn @ zn, cp * zu, cn.T @ zu
     total = np.zeros(w.shape, np.float64)
     for g, z, p, norm, x in ((gu, zu, pu, nu, u), (gv, zv, pv, nv, v), (gn, zn, pn, nn, negatives)):
@@ -197,24 +201,32 @@ def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.5, negatives: int = 10, seed: int = 42) -> tuple[np.ndarray, list[float]]:
     """Aggregator weights and the loss of each epoch. The weights (dim x 2 dim) are the only thing the
-    driver holds; each epoch adds up gradients of the partitions in two steps on the executors. ``negatives`` vectors, chosen by
-    hash, serve the whole epoch."""
-    inputs = materialise(vectors.join(neighbour_means(vectors, adj), "id").select("id", F.concat(F.transform("vec", lambda x: x.cast("double")), "mean").alias("x")), "inputs")
+    driver holds; each epoch adds up gradients of the partitions in two steps on the executors. A pair is
+    told apart from ``negatives`` inputs, chosen anew each epoch by its hash out of ``POOL``. Where a step
+    made the loss larger, the next one starts from the best weights so far with half the rate; the best are returned."""
+    inputs = materialise(vectors.join(neighbour_means(vectors, adj), "id").select("id", F.concat("vec", F.transform("mean", lambda x: x.cast("float"))).cast("array<float>").alias("x")), "inputs")
     first = inputs.head(1)
     dim = len(vectors.head(1)[0]["vec"]) if first else 1
     w, losses = initial_weights(dim, seed), []
     if not first:
         return w, losses
     pairs = walk_pairs(adj, None, 5, seed)
-    rows = materialise(pairs.join(inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").join(inputs.select(F.col("id").alias("dst"), F.col("x").alias("v")), "dst").select("u", "v", "n"), "pairs")
+    rows = materialise(pairs.join(inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").join(inputs.select(F.col("id").alias("dst"), F.col("x").alias("v")), "dst").select("u", "v", "n", F.xxhash64(F.lit(seed), "src", "dst").alias("k")), "pairs")
+    pool = np.array([r["x"] for r in inputs.select("x", F.xxhash64(F.lit(seed), "id").alias("h"), "id").orderBy("h", "id").limit(POOL).collect()], np.float64)
+    best, held, step = math.inf, w, None
     for epoch in range(epochs):
-        noise = np.array([r["x"] for r in inputs.orderBy(F.xxhash64(F.lit(seed + epoch), "id")).limit(negatives).collect()])
 
-        def part(frames: Iterator[pd.DataFrame], w: np.ndarray = w, noise: np.ndarray = noise) -> Iterator[pd.DataFrame]:
+        def part(frames: Iterator[pd.DataFrame], w: np.ndarray = w, epoch: int = epoch) -> Iterator[pd.DataFrame]:
             total, loss, weight = np.zeros(w.shape), 0.0, 0.0
             for f in frames:
                 if len(f):
-                    g, x, n = gradient(np.stack(f["u"].to_numpy()), np.stack(f["v"].to_numpy()), f["n"].to_numpy(np.float64), noise, w)
+                    u, v = (np.stack(f[c].to_numpy()).astype(np.float64) for c in ("u", "v"))
+                    apart = np.zeros((len(f), len(pool)))
+                    k = f["k"].to_numpy(np.int64).view(np.uint64)
+                    for i in range(negatives):
+                        h = (k + np.uint64(epoch * negatives + i + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                        np.add.at(apart, (np.arange(len(f)), ((h >> np.uint64(33)) % np.uint64(len(pool))).astype(int)), 1)
+                    g, x, n = gradient(u, v, f["n"].to_numpy(np.float64), pool, w, apart)
                     total, loss, weight = total + g, loss + x, weight + n
             yield pd.DataFrame({"g": [total.ravel()], "loss": [loss], "n": [weight]})
 
@@ -223,9 +235,13 @@ def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.
         few = max(1, math.isqrt(shuffle_partitions(rows.sparkSession)))
         parts = parts.withColumn("at", F.spark_partition_id()).repartition(few, "at").sortWithinPartitions("at").mapInPandas(_added, shape).coalesce(1).mapInPandas(_added, shape).collect()  # one row
         n = sum(p["n"] for p in parts) or 1.0
-        w = (w - rate * np.sum([p["g"] for p in parts], axis=0).reshape(w.shape) / n).astype(np.float32)
         losses.append(sum(p["loss"] for p in parts) / n)
-    return w, losses
+        if losses[-1] < best:
+            best, held, step = losses[-1], w, np.sum([p["g"] for p in parts], axis=0).reshape(w.shape) / n
+        else:
+            rate /= 2
+        w = (held - rate * step).astype(np.float32) if step is not None else w
+    return held, losses
 
 
 def aggregate(vectors: DataFrame, adj: DataFrame, w: np.ndarray, layers: int = 2) -> DataFrame:

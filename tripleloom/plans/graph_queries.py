@@ -650,6 +650,19 @@ def walk_pairs_hold(s, d):
     return w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("steps")).withColumn("along_edges", F.lit(off == 0))
 
 
+@q("SELECT count(DISTINCT id) AS entities, true AS unit_length, true AS loss_fell FROM entities")
+def embed_entities(s, d):
+    """All entities: encoded, the aggregator trained for thirty epochs, applied twice."""
+    t, e = triples(s, d), table(s, d, "entities")
+    encoder = vectors.NGramEncoder()
+    base = materialise(vectors.encode(vectors.entity_texts(t, e), "text", encoder).select("id", "vec"), "base")
+    adj = materialise(vectors.adjacency(t, e), "adjacency")
+    w, losses = vectors.train(base, adj, 30)
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    unit = F.coalesce(F.sum(((norm < 0.999) | (norm > 1.001)).cast("long")), F.lit(0)) == 0
+    return vectors.aggregate(base, adj, w).agg(F.count(F.lit(1)).alias("entities"), unit.alias("unit_length")).withColumn("loss_fell", F.lit(not losses or min(losses) < losses[0]))
+
+
 @q("SELECT min(id) AS id, 1 AS rank, 1.0::DOUBLE AS score FROM entities")
 def text_search_self(s, d):
     """An entity's own text finds the entity."""
