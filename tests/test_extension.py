@@ -139,3 +139,16 @@ def test_discarded_tables_are_gone(spark):
     assert os.path.exists(path)
     session.discard(t, None, spark.range(1))
     assert not os.path.exists(path)
+
+
+def test_the_bound_before_python_loses_no_pair(spark):
+    import random
+
+    from tripleloom.functions.naming import jaro_winkler_value, may_reach
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(a, b, jaro_winkler_value(a, b)) for a in words for b in words], "a string, b string, jw double")
+    for floor in (0.5, 0.7):
+        assert df.filter((F.col("jw") >= floor) & (F.col("a") != F.col("b")) & ~may_reach(F.col("a"), F.col("b"), floor)).count() == 0
+        assert df.filter(~may_reach(F.col("a"), F.col("b"), floor)).count() > 100

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.functions.naming import initialism, jaro_winkler, normalise, phonetic_key
+from tripleloom.functions.naming import initialism, jaro_winkler, may_reach, normalise, phonetic_key
 from tripleloom.operators.graph import components, shortest_first
 from tripleloom.operators.hierarchy import find_loops
 from tripleloom.operators.ordered import sequence
@@ -78,11 +78,20 @@ def score(pairs: DataFrame, threshold: float = AUTO_MERGE, cosine: Column | None
     return p.withColumn("band", F.when(merges, "auto").when(F.col("score") >= FLAG_FLOOR, "flagged").otherwise("none")).drop("_jw")
 
 
+def _certain() -> Column:
+    return (F.col("norm_a") == F.col("norm_b")) | initialism(F.col("a"), F.col("b"))
+
+
+def _promising(pairs: DataFrame, floor: float) -> DataFrame:
+    """The pairs that can come to ``floor``, those certain without it included."""
+    return pairs.filter(_certain() | may_reach(F.col("norm_a"), F.col("norm_b"), floor))
+
+
 def with_cosine(pairs: DataFrame, reps: DataFrame, encoder) -> DataFrame:
     """``pairs`` with ``cos``, the cosine of the encoder's vectors of the two ids. Pairs that no cosine can
     bring to the flag floor are left out before vectors travel: a cosine adds 1 - STRING_WEIGHT at most."""
     least = (FLAG_FLOOR - (1 - STRING_WEIGHT)) / STRING_WEIGHT
-    near = pairs.filter((F.col("norm_a") == F.col("norm_b")) | initialism(F.col("a"), F.col("b")) | (jaro_winkler("norm_a", "norm_b") >= least))
+    near = _promising(pairs, least).filter(_certain() | (jaro_winkler("norm_a", "norm_b") >= least))
     v = materialise(encode(reps.select("id").distinct(), "id", encoder), "names")
     both = near.join(v.select(F.col("id").alias("a"), F.col("vec").alias("_va")), "a").join(v.select(F.col("id").alias("b"), F.col("vec").alias("_vb")), "b")
     dot = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -97,7 +106,7 @@ def matches(entities: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool =
         reps = materialise(reps, "classes")
     pairs = candidate_pairs(blocks(reps, phonetic, small))
     if encoder is None:
-        return score(pairs, threshold).filter("band <> 'none'")
+        return score(_promising(pairs, FLAG_FLOOR), threshold).filter("band <> 'none'")
     return score(with_cosine(pairs, reps, encoder), threshold, F.col("cos")).filter("band <> 'none'").drop("cos")
 
 
