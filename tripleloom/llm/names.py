@@ -348,6 +348,13 @@ def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | N
     return described.select("id", "sig").join(numbered.select("sig", "node"), "sig").join(clusters, "node").select("id", "cluster")
 
 
+def name_groups(entities: DataFrame, forms: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """(group_id, id): every name once, with the smallest name (by code points) of those that mean the same.
+    One row a name, however many belong together; names are those of ``name_clusters``."""
+    c = materialise(name_clusters(entities, forms, labelled), "clusters")
+    return c.join(c.groupBy("cluster").agg(F.min("id").alias("group_id")), "cluster").select("group_id", "id")
+
+
 def same_names(entities: DataFrame, forms: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b by code points: each pair of different ids that name the same.
 

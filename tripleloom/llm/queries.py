@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripleloom.llm.copies import collapse, consistent_survivors, fact_copies, survivors
 from tripleloom.llm.groups import match_groups
 from tripleloom.llm.mixing import mixture, mixture_shares, source_name
-from tripleloom.llm.names import same_names
+from tripleloom.llm.names import name_groups, same_names
 from tripleloom.llm.packing import fill_containers, fill_report
 from tripleloom.llm.sizes import with_tokens
 from tripleloom.llm.spans import shared_chars
@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return same_names(*(table(spark, d, t) for t in ("entities", "name_forms", "er_labelled_pairs")))
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return name_groups(*(table(spark, d, t) for t in ("entities", "name_forms", "er_labelled_pairs")))
+
+
 def p3_formatting(spark: SparkSession, d: str) -> DataFrame:
     """Checks p3: of its pairs, those of names that have the same letters and digits."""
     key = F.regexp_replace(F.lower("id_a"), r"[^\p{L}\p{N}]+", "") == F.regexp_replace(F.lower("id_b"), r"[^\p{L}\p{N}]+", "")
@@ -167,7 +171,7 @@ c AS (SELECT doc_id, i, coalesce(least(150, i - lag(i) OVER (PARTITION BY doc_id
 SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM c GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p3_found": p3_found, "p3_formatting": p3_formatting, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_bundles": p5_bundles,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p3_formatting": p3_formatting, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_bundles": p5_bundles,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_holds": p8_holds, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_holds": p9_holds, "p10_found": p10_found,
 }
 SQL: dict[str, str] = {
