@@ -36,3 +36,9 @@ def test_hardly_any_rows(spark, n):
     d = data(spark, 3).filter("id = 'v0'").limit(n)
     i = index.build(d)
     assert i.search(data(spark, 3).filter("id = 'v1'")).count() == n
+
+
+def test_sparse_cells_still_give_k_rows(spark):
+    d = data(spark, 40)
+    i = index.build(d, cells=20)
+    assert i.search(d.filter("id = 'v3'"), 15, 1).count() == 15

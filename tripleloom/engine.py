@@ -25,7 +25,9 @@ from tripleloom.sources import files
 class Adapter(Protocol):
     """What brings documents into the graph. ``scan`` lists the documents of a source (at least doc_id or
     relative_path), ``extract`` makes triples of them (columns as in ``schema.TRIPLES``; missing ones get
-    defaults), ``vocabulary`` says what the triples may hold. All are lazy DataFrames."""
+    defaults), ``vocabulary`` says what the triples may hold. All are lazy DataFrames. An adapter may also
+    split ``extract`` into ``texts`` (with relative_path and error, null where a document could be read) and
+    ``extract_texts``: then documents are read once and errors are reported one by one."""
 
     vocabulary: Vocabulary
 
@@ -47,8 +49,13 @@ class FileAdapter:
     def scan(self, spark: SparkSession, source: str, **filters) -> DataFrame:
         return files.scan(spark, source, self.name, **filters)
 
+    def texts(self, documents: DataFrame) -> DataFrame:
+        return files.read_texts(documents, self.limits)
+
     def extract(self, documents: DataFrame) -> DataFrame:
-        texts = files.read_texts(documents, self.limits)
+        return self.extract_texts(self.texts(documents))
+
+    def extract_texts(self, texts: DataFrame) -> DataFrame:
         return rules.extract(texts, self.name, structured="is_structured" if self.name == "universal" else None, max_facts=self.max_facts)
 
 
@@ -63,8 +70,13 @@ class ModelAdapter:
     def scan(self, spark: SparkSession, source: str, **filters) -> DataFrame:
         return files.scan(spark, source, "llm", **filters)
 
+    def texts(self, documents: DataFrame) -> DataFrame:
+        return files.read_texts(documents, files.Limits(None, None, None, None))
+
     def extract(self, documents: DataFrame) -> DataFrame:
-        texts = files.read_texts(documents, files.Limits(None, None, None, None))
+        return self.extract_texts(self.texts(documents))
+
+    def extract_texts(self, texts: DataFrame) -> DataFrame:
         return parse_replies(call(sections(texts, "relative_path", max_sections=self.max_sections), self.client), doc="doc_id")
 
 
@@ -128,14 +140,23 @@ class Engine:
         if dry_run:
             return result
         now = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-        return self._store(adapter.extract(found).withColumn("timestamp", now), adapter.vocabulary, strict, result)
+        if not hasattr(adapter, "extract_texts"):
+            return self._store(adapter.extract(found).withColumn("timestamp", now), adapter.vocabulary, strict, result)
+        texts = materialise(adapter.texts(found), "texts")
+        unread = texts.filter("error is not null").select(F.concat("relative_path", F.lit(": "), "error").alias("message"))
+        result = self._store(adapter.extract_texts(texts).withColumn("timestamp", now), adapter.vocabulary, strict, result)
+        result.messages = (self._said(unread) + result.messages)[: self.messages]
+        return result
+
+    def _said(self, messages: DataFrame) -> list[str]:
+        m = messages.orderBy("message")
+        return [r["message"] for r in (m if self.messages is None else m.limit(self.messages)).collect()]
 
     def _store(self, triples: DataFrame, vocabulary, strict: bool, result: IngestResult) -> IngestResult:
         checked = materialise(validate(triples, vocabulary, strict), "checked")
         result.extracted = checked.select("source_doc").distinct().count()
         result.rejected = checked.filter("not accepted").count()
-        said = checked.filter("message is not null").select("message").orderBy("message")
-        result.messages = [r["message"] for r in (said if self.messages is None else said.limit(self.messages)).collect()]
+        result.messages = self._said(checked.filter("message is not null").select("message"))
         result.added, result.skipped = self.store.add(checked.filter("accepted"), *(("place", "source_doc") if "place" in checked.columns else ()))
         return result
 
@@ -222,8 +243,24 @@ class Engine:
         return search_text(v, text, self.encoder, k, kind)
 
     def vectors_table(self) -> DataFrame | None:
+        """(id, vec, kind) of all entities that have a vector."""
         return self.table("vectors")
 
+    def vector(self, entity: str) -> list[float] | None:
+        v = self.table("vectors")
+        row = None if v is None else v.filter(F.col("id") == entity).select("vec").first()
+        return None if row is None else list(row["vec"])
+
+    def vector_count(self) -> int:
+        v = self.table("vectors")
+        return 0 if v is None else v.count()
+
+    def update_summaries(self, said: DataFrame) -> None:
+        """Replace the stored summaries of the communities that ``said`` (community_id, summary) names."""
+        c = self.table("communities")
+        if c is not None:
+            materialise(com.with_summaries(c, said), "communities").write.mode("overwrite").parquet(f"{self.path}/communities")
+
     def query(self, **kw) -> DataFrame:
         return query(self.store.triples(), **kw)
 

@@ -237,6 +237,12 @@ def summaries(communities: DataFrame) -> DataFrame:
     return s.orderBy("level", F.desc("member_count"), "community_id")
 
 
+def with_summaries(communities: DataFrame, said: DataFrame) -> DataFrame:
+    """``communities`` with the summaries of ``said`` (community_id, summary) where it has one that is not null."""
+    fresh = said.filter("summary is not null").groupBy("community_id").agg(F.max("summary").alias("_said"))
+    return communities.join(fresh, "community_id", "left").withColumn("summary", F.coalesce("_said", "summary")).select(*communities.columns)
+
+
 def summarise(facts: DataFrame, members: DataFrame, client) -> DataFrame:
     """(community_id, summary): ``client(prompt, system)`` over each community's facts, a call each on
     the executors; a failing call gives null, a community without facts ''."""

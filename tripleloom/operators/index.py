@@ -51,36 +51,49 @@ def _probes(x: np.ndarray, c: np.ndarray, k: int = 10) -> int:
 class VectorIndex:
     """``rows``: (cell, id, vec, more columns of the data); ``centroids`` (cells x dim); ``probes`` cells a search."""
 
-    def __init__(self, rows: DataFrame, centroids: np.ndarray, probes: int):
-        self.rows, self.centroids, self.probes = rows, centroids, probes
+    def __init__(self, rows: DataFrame, centroids: np.ndarray, probes: int, counts: np.ndarray | None = None):
+        self.rows, self.centroids, self.probes, self._counts = rows, centroids, probes, counts
+
+    @property
+    def counts(self) -> np.ndarray:
+        """Rows of each cell."""
+        if self._counts is None:
+            self._counts = np.zeros(len(self.centroids), np.int64)
+            for r in self.rows.groupBy("cell").count().collect():  # MOST_CELLS rows at most
+                self._counts[r["cell"]] = r["count"]
+        return self._counts
 
     def save(self, path: str) -> None:
         """A folder a cell, so that a search reads only what it probes."""
         self.rows.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-        c = [([float(v) for v in row], self.probes) for row in self.centroids]
-        self.rows.sparkSession.createDataFrame(c, "c array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        spark = self.rows.sparkSession
+        self.rows = spark.read.schema(self.rows.schema).parquet(f"{path}/cells")
+        c = [(i, [float(v) for v in row], self.probes, int(n)) for i, (row, n) in enumerate(zip(self.centroids, self.counts, strict=True))]
+        spark.createDataFrame(c, "cell int, c array<double>, probes int, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
-        c = spark.read.parquet(f"{path}/centroids").collect()  # MOST_CELLS rows at most
-        return cls(spark.read.parquet(f"{path}/cells"), np.array([r["c"] for r in c]), c[0]["probes"] if c else 1)
+        c = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r["cell"])  # MOST_CELLS rows at most
+        return cls(spark.read.parquet(f"{path}/cells"), np.array([r["c"] for r in c]), c[0]["probes"] if c else 1, np.array([r["n"] for r in c], np.int64))
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
         """(query, id, score, rank): the k best rows of the probed cells for each query (id, vec), itself left
-        out. Null vectors are left out; ties go to the smaller id. A large cell is cut into parts."""
+        out. Where the probed cells have no more than k rows, further cells are probed. Null vectors are left
+        out; ties go to the smaller id. A large cell is cut into parts."""
         d = self.rows.filter("vec is not null").select("cell", "id", "vec")
         kind = self.rows.schema["id"].dataType.simpleString()
         if not len(self.centroids):
             return d.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        c, n = self.centroids, min(probes or self.probes, len(self.centroids))
+        c, counts, n = self.centroids, self.counts, min(probes or self.probes, len(self.centroids))
 
         def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
                     x = _unit(np.stack(f["vec"].to_numpy()).astype(np.float64))
-                    top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
-                    at = np.repeat(np.arange(len(f)), n)
-                    yield pd.DataFrame({"q_id": f["id"].to_numpy()[at], "q_vec": list(x[at]), "cell": top.ravel().astype(np.int32)})
+                    order = np.argsort(-(x @ c.T), axis=1, kind="stable")
+                    held = np.cumsum(counts[order], axis=1) - counts[order]  # rows of the nearer cells
+                    at, place = np.nonzero((np.arange(len(c)) < n) | (held <= k))
+                    yield pd.DataFrame({"q_id": f["id"].to_numpy()[at], "q_vec": list(x[at]), "cell": order[at, place].astype(np.int32)})
 
         asked = materialise(queries.filter("vec is not null").select("id", "vec").mapInPandas(probe, f"q_id {kind}, q_vec array<double>, cell int"), "probes")
         met = d.join(F.broadcast(asked.select("cell").distinct()), "cell", "left_semi")  # MOST_CELLS rows at most

@@ -154,6 +154,16 @@ def engine_ingest(s, d):
     return s.createDataFrame([(n, r.scanned, r.extracted, r.added, r.skipped, r.rejected) for n, r in steps], "step string, scanned long, extracted long, added long, skipped long, rejected long")
 
 
+@q(f"SELECT 'first: ' || count(*) AS step, count(*) AS files FROM nation UNION ALL SELECT 'broken/n' || lpad(n_nationkey::VARCHAR, 2, '0') || '.docx: BadZipFile: File is not a zip file', 1 FROM nation UNION ALL SELECT 'triples', 5 * count(*) + count(*) FROM nation")
+def ingest_errors(s, d):
+    """Files that cannot be read are reported one by one and stop nothing; only the rest gives facts beyond its type."""
+    rows = nations(s, d)
+    found = {f"notes/n{k:02}.md": note(k, n, r) for k, n, r in rows} | {f"broken/n{k:02}.docx": "no archive" for k, _, _ in rows} | {f"plain/n{k:02}.txt": "words" for k, _, _ in rows}
+    e = Engine(s, scratch_folder(s, "graph"))
+    r = e.ingest(write_files(s, found, "broken"), "universal")
+    return s.createDataFrame([(f"first: {len(r.messages)}", r.scanned - 2 * len(rows)), *((m, 1) for m in r.messages), ("triples", r.added)], "step string, files long")
+
+
 _ENTITIES = f"SELECT 'doc:' || substr(sha256({_PATH}), 1, 16) AS id FROM nation UNION SELECT 'md' UNION SELECT n_name FROM nation UNION SELECT {_REGION} FROM nation UNION SELECT {_HOST} FROM nation UNION SELECT 'nation'"
 
 

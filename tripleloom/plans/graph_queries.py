@@ -741,6 +741,14 @@ def community_facts_top80(s, d):
     return com.community_facts(triples(s, d), table(s, d, "community_members"))
 
 
+@q("""WITH s AS (SELECT community_id, 'members: ' || count(DISTINCT entity_id) AS said FROM community_members GROUP BY 1)
+SELECT community_id, level, coalesce(said, summary) AS summary FROM communities LEFT JOIN s USING (community_id)""")
+def summaries_updated(s, d):
+    n = table(s, d, "community_members").groupBy("community_id").agg(F.countDistinct("entity_id").alias("n"))
+    said = n.select("community_id", F.concat(F.lit("members: "), F.col("n").cast("string")).alias("summary"))
+    return com.with_summaries(table(s, d, "communities"), said).select("community_id", "level", "summary")
+
+
 _RT = retrieval.ranking_terms(QUESTION)
 _AT = retrieval.anchor_terms(QUESTION)
 _SCORE = "(" + " + ".join(f"contains(lower(summary), '{t}')::INT" for t in sorted(set(_RT))) + f")::DOUBLE / {len(set(_RT))}"
