@@ -32,6 +32,12 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--threshold", type=float, default=0.85)
     v = sub.add_parser("provenance")
     v.add_argument("entity")
+    v.add_argument("--limit", type=int, default=1000, help="triples shown at most; 0 is all")
+    n = sub.add_parser("aliases")
+    n.add_argument("entity")
+    g = sub.add_parser("purge")
+    g.add_argument("layer")
+    sub.add_parser("compact")
     s = sub.add_parser("similar")
     s.add_argument("entity")
     s.add_argument("-k", type=int, default=10)
@@ -72,7 +78,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         "embed": lambda: e.embed(),
         "community": lambda: e.communities(),
         "resolve": lambda: e.resolve(a.threshold),
-        "provenance": lambda: [r.asDict() for r in e.provenance(a.entity).limit(1000).collect()],
+        "provenance": lambda: [r.asDict() for r in (e.provenance(a.entity).limit(a.limit) if a.limit else e.provenance(a.entity)).collect()],
+        "aliases": lambda: e.aliases_for(a.entity),
+        "purge": lambda: {"deleted": e.store.purge(a.layer)},
+        "compact": lambda: e.store.compact() or {"batches": len(e.store.batches())},
         "similar": lambda: [r.asDict() for r in e.similar(a.entity, a.k, a.kind).collect()],
         "path": lambda: e.path_between(a.start, a.end),
         "query": lambda: e.ask(a.question, a.mode, a.hops),

@@ -5,14 +5,17 @@ The files are written from the table ``nation`` (all its rows) into the shared s
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
+import re
 import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom import cli
 from tripleloom.engine import Engine, FileAdapter
 from tripleloom.operators import rules
 from tripleloom.operators.store import TripleStore
@@ -191,6 +194,25 @@ def rest_routes(s, d):
     return s.createDataFrame([*rows, ("triples", triples), ("provenance of the tag", len(found))], "path string, status int")
 
 
+@q(f"""SELECT 'ingest' AS command, 5 * count(*) AS n FROM nation UNION ALL SELECT 'stats', 5 * count(*) FROM nation UNION ALL SELECT 'path', 2 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 'provenance', count(*) FROM nation
+UNION ALL SELECT 'provenance, five', 5 UNION ALL SELECT 'aliases', 0 UNION ALL SELECT 'compact', 1 UNION ALL SELECT 'purge', 5 * count(*) FROM nation UNION ALL SELECT 'stats after', 0""")
+def cli_commands(s, d):
+    """Commands one after another; what each prints, as one number."""
+    kg, root, name = scratch_folder(s, "graph"), tree(s, d), nations(s, d)[0][1]
+
+    def run(*args: str) -> str:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            cli.main(["--path", kg, *args], s)
+        return out.getvalue()
+
+    added = int(re.search(r"(\d+) added", run("ingest", root, "--adapter", "vault"))[1])
+    size = lambda *args: len(json.loads(run(*args)))
+    rows = [("ingest", added), ("stats", json.loads(run("stats"))["triples"]), ("path", size("path", name, "nation")), ("provenance", size("provenance", "nation")), ("provenance, five", size("provenance", "nation", "--limit", "5")), ("aliases", size("aliases", "nation"))]
+    rows += [("compact", json.loads(run("compact"))["batches"]), ("purge", json.loads(run("purge", "source_facts"))["deleted"]), ("stats after", json.loads(run("stats"))["triples"])]
+    return s.createDataFrame(rows, "command string, n long")
+
+
 @q("SELECT 'first' AS step, 5 * count(*) AS triples, 1::BIGINT AS batches FROM nation UNION ALL SELECT 'same texts again', 5 * count(*), 1 FROM nation")
 def stream_ingest(s, d):
     """A stream of notes, then the same notes again: nothing is added, nothing is written."""

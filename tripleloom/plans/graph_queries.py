@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripleloom.engine import Engine
+from tripleloom.functions import naming
 from tripleloom.functions.naming import initials, normalise
 from tripleloom.operators import communities as com
 from tripleloom.operators import extraction, graph, index, resolve, retrieval, rules, store, validate, vectors
@@ -509,6 +511,14 @@ def er_resolve_aliases(s, d):
     return resolve.resolve(names(s, d), triples(s, d))["aliases"].withColumn("confidence", F.round("confidence", 6))
 
 
+@q("SELECT DISTINCT id, round(jaro_winkler_similarity(regexp_replace(lower(id), '[^a-z0-9]+', '', 'g'), 'graphindex'), 6) AS similarity FROM entities WHERE id IS NOT NULL")
+def sql_functions(s, d):
+    """The registered functions in SQL text."""
+    naming.register(s)
+    table(s, d, "entities").createOrReplaceTempView("_entities")
+    return s.sql("SELECT DISTINCT id, round(jaro_winkler(regexp_replace(lower(id), '[^a-z0-9]+', ''), 'graphindex'), 6) AS similarity FROM _entities WHERE id IS NOT NULL AND metaphone(id) IS NOT NULL")
+
+
 @q("SELECT DISTINCT alias_id FROM entity_aliases WHERE alias_id IS NOT NULL AND canonical_id = (SELECT canonical_id FROM entity_aliases WHERE canonical_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
 def aliases_of_popular(s, d):
     a = table(s, d, "entity_aliases")
@@ -663,6 +673,15 @@ def embed_entities(s, d):
     return vectors.aggregate(base, adj, w).agg(F.count(F.lit(1)).alias("entities"), unit.alias("unit_length")).withColumn("loss_fell", F.lit(not losses or min(losses) < losses[0]))
 
 
+@q("SELECT 64 AS rows, 128 AS cols, true AS same")
+def weights_kept(s, d):
+    w, path = vectors.initial_weights(64), scratch_folder(s, "weights")
+    vectors.save_weights(s, path, w)
+    back = vectors.load_weights(s, path, 64)
+    same = back is not None and bool((back == w).all()) and vectors.load_weights(s, path, 32) is None and vectors.load_weights(s, path + "-none", 64) is None
+    return s.createDataFrame([(*back.shape, same)], "rows int, cols int, same boolean")
+
+
 @q("SELECT min(id) AS id, 1 AS rank, 1.0::DOUBLE AS score FROM entities")
 def text_search_self(s, d):
     """An entity's own text finds the entity."""
@@ -728,6 +747,35 @@ def community_stats(s, d):
     return com.community_stats(table(s, d, "communities"))
 
 
+_REGIONS = "WITH a AS (SELECT n_regionkey AS r, min(n_name) AS head FROM nation GROUP BY 1)"
+
+
+def _neighbours(s, d) -> DataFrame:
+    """Nations: strong links within a region, and one from each region's first nation to the next region's."""
+    n = table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("r"))
+    m = n.select(F.col("name").alias("other"), "r")
+    inner = n.join(m, "r").filter("name < other").select(F.col("name").alias("a"), F.col("other").alias("b"), F.lit(2.0).alias("weight"))
+    heads = n.groupBy("r").agg(F.min("name").alias("h"))
+    bridges = heads.join(heads.select((F.col("r") - 1).alias("r"), F.col("h").alias("g")), "r").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"), F.lit(1.0).alias("weight"))
+    return inner.union(bridges)
+
+
+@q(f"{_REGIONS} SELECT n_name AS v, head AS c FROM nation JOIN a ON n_regionkey = r")
+def communities_of_regions(s, d):
+    """The communities of a graph in which they are known."""
+    return com.partition(_neighbours(s, d).select(F.lit("").alias("scope"), "a", "b", "weight")).select("v", "c")
+
+
+@q(f"{_REGIONS}, n AS (SELECT head, count(*) AS n FROM nation JOIN a ON n_regionkey = r GROUP BY 1) SELECT 0 AS level, 'L0:' || head AS community_id, n AS member_count, NULL::VARCHAR AS parent_community_id, 'Community L0:' || head || ', ' || n || ' entities: ' || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM nation JOIN a ON n_regionkey = r WHERE a.head = n.head) AS summary FROM n")
+def communities_stored(s, d):
+    """Detected, summarised and stored by the engine."""
+    e = Engine(s, scratch_folder(s, "graph"))
+    fact = _neighbours(s, d).select(F.col("a").alias("subject"), F.when(F.col("weight") > 1, "SIMILAR_TO").otherwise("LINKS_TO").alias("predicate"), F.col("b").alias("object"), F.lit("k").alias("source_kind"), F.lit("k").alias("target_kind"), F.lit(0.9).alias("confidence"))
+    e.store.add(fact)
+    e.communities(_first_line, max_levels=0)
+    return e.table("communities").select("level", "community_id", "member_count", "parent_community_id", "summary")
+
+
 @q("SELECT community_id, level, member_count, summary, row_number() OVER (PARTITION BY level ORDER BY member_count DESC, community_id, created_at) AS place FROM communities WHERE summary IS NOT NULL AND summary <> ''")
 def summaries_order(s, d):
     c = com.summaries(table(s, d, "communities"))
@@ -759,6 +807,13 @@ def rank_communities_keyword(s, d):
     return retrieval.rank_communities(table(s, d, "communities"), QUESTION).select("community_id", "level", "member_count", "summary", F.round("score", 6).alias("score"))
 
 
+@q(f"""WITH t AS (SELECT community_id, row_number() OVER (ORDER BY round({_SCORE}, 9) DESC, level, member_count DESC, community_id, summary) AS pos FROM communities WHERE summary IS NOT NULL AND summary <> '' QUALIFY pos <= 3),
+m AS (SELECT DISTINCT pos, entity_id AS id FROM community_members JOIN t USING (community_id) WHERE entity_id IS NOT NULL)
+SELECT pos::INT AS pos, row_number() OVER (PARTITION BY pos ORDER BY id)::INT AS rn, id FROM m QUALIFY rn <= 10""")
+def member_anchors_top(s, d):
+    return retrieval.member_anchors(retrieval.rank_communities(table(s, d, "communities"), QUESTION), table(s, d, "community_members"))
+
+
 _TERMS = "w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_AT)) + ") AS v(term_no, term))"
 _ANCHORS = f"""WITH {_TERMS}, x AS (SELECT DISTINCT term_no, 0 AS side, id FROM entities JOIN w ON contains(lower(id), term) UNION ALL SELECT DISTINCT term_no, 1, subject FROM triples JOIN w ON contains(lower(object), term) WHERE {_T}),
 a AS (SELECT term_no, side, id, row_number() OVER (PARTITION BY term_no, side ORDER BY id) AS rn FROM x QUALIFY rn <= 10)"""
