@@ -17,7 +17,10 @@ class CommandClient:
     timeout: float = 120.0
 
     def __call__(self, prompt: str, system: str) -> str:
-        r = subprocess.run(list(self.argv), input=f"<system>\n{system}\n</system>\n\n{prompt}", capture_output=True, text=True, encoding="utf-8", errors="replace", timeout=self.timeout, check=False)
+        r = subprocess.run(
+            list(self.argv), input=f"<system>\n{system}\n</system>\n\n{prompt}", capture_output=True, text=True, encoding="utf-8", errors="replace",
+            timeout=self.timeout, check=False,
+        )
         if r.returncode:
             raise RuntimeError(f"command failed: {r.stderr[:200]}")
         return r.stdout.strip()

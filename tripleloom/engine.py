@@ -123,7 +123,10 @@ class Engine:
         except Exception:  # noqa: BLE001  not built yet
             return None
 
-    def ingest(self, source: str, adapter: str | Adapter = "universal", dry_run: bool = False, strict: bool = False, max_facts: int | None = None, timestamp: str | None = None, client=None, **filters) -> IngestResult:
+    def ingest(
+        self, source: str, adapter: str | Adapter = "universal", dry_run: bool = False, strict: bool = False, max_facts: int | None = None,
+        timestamp: str | None = None, client=None, **filters,
+    ) -> IngestResult:
         """Scan a source, extract, validate and store; a dry run only counts the documents. ``adapter`` is a
         registered name, "llm" (with a client), or an adapter itself."""
         if isinstance(adapter, str):
@@ -220,7 +223,10 @@ class Engine:
 
     def retriever(self, **kw) -> Retriever:
         v = self.table("vectors")
-        return Retriever(self.store.triples(), self.store.entities(), self.table("communities"), self.table("community_members"), self.table("aliases"), v, self.encoder if v is not None else None, **({"client": self.client} if self.client else {}), **kw)
+        return Retriever(
+            self.store.triples(), self.store.entities(), self.table("communities"), self.table("community_members"), self.table("aliases"), v,
+            self.encoder if v is not None else None, **({"client": self.client} if self.client else {}), **kw,
+        )
 
     def ask(self, question: str, mode: str = "local", hops: int = 2) -> dict:
         return self.retriever(hops=hops).ask(question, mode)

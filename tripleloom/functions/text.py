@@ -11,7 +11,10 @@ SPACE = r"[\s\x1c-\x1f]"
 
 def nfc(c: Column) -> Column:
     """Unicode NFC by the ICU library that Spark ships; plain ASCII skips the call. Null stays null."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))).otherwise(c)
+    return (
+        F.when(c.rlike(r"[^\x00-\x7f]"), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
+        .otherwise(c)
+    )
 
 
 def letters_digits(c: Column) -> Column:
@@ -35,7 +38,11 @@ def iso_micros(c: Column) -> Column:
     Null for null and for text that is no time. Independent of the session's time zone.
     """
     s = strip(c)
-    zoned = F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(s, F.lit("T00:00:00Z"))).when(s.rlike(r"(?i)(Z|[+-]\d\d:?\d\d)$"), s).otherwise(F.concat(s, F.lit("Z")))
+    zoned = (
+        F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(s, F.lit("T00:00:00Z")))
+        .when(s.rlike(r"(?i)(Z|[+-]\d\d:?\d\d)$"), s)
+        .otherwise(F.concat(s, F.lit("Z")))
+    )
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 

@@ -48,13 +48,25 @@ def _moves(edges: DataFrame, resolution: float, rounds: int, level: int) -> Data
     while True:
         size = place.groupBy("scope", "c").agg(F.sum("d").alias("s"))
         at = place.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
-        to = edges.filter("a <> b").join(at, ["scope", "b"]).groupBy("scope", F.col("a").alias("v"), F.col("cb").alias("target")).agg(F.sum("weight").alias("k"))
+        to = (
+            edges.filter("a <> b")
+            .join(at, ["scope", "b"])
+            .groupBy("scope", F.col("a").alias("v"), F.col("cb").alias("target"))
+            .agg(F.sum("weight").alias("k"))
+        )
         own = place.select("scope", "v", F.col("c").alias("target"), F.lit(0.0).alias("k"))
         options = to.union(own).groupBy("scope", "v", "target").agg(F.sum("k").alias("k"))
-        options = options.join(place.select("scope", "v", "c", "d"), ["scope", "v"]).join(size.withColumnRenamed("c", "target"), ["scope", "target"]).join(total, "scope")
+        options = (
+            options.join(place.select("scope", "v", "c", "d"), ["scope", "v"])
+            .join(size.withColumnRenamed("c", "target"), ["scope", "target"])
+            .join(total, "scope")
+        )
         others = F.col("s") - F.when(F.col("target") == F.col("c"), F.col("d")).otherwise(0.0)
         gain = F.floor((F.col("k") - F.lit(resolution) * F.col("d") * others / F.col("m2")) * 1e9 + 0.5)
-        best = options.groupBy("scope", "v").agg(F.max(F.struct(gain.alias("g"), (F.col("target") == F.col("c")).alias("stay"), F.col("target").alias("t"))).alias("x"), F.max(F.when(F.col("target") == F.col("c"), gain)).alias("here"), F.first("c").alias("c"), F.first("d").alias("d"))
+        best = (
+            options.groupBy("scope", "v")
+            .agg(F.max(F.struct(gain.alias("g"), (F.col("target") == F.col("c")).alias("stay"), F.col("target").alias("t"))).alias("x"), F.max(F.when(F.col("target") == F.col("c"), gain)).alias("here"), F.first("c").alias("c"), F.first("d").alias("d"))
+        )
         best = materialise(best.select("scope", "v", "c", "d", F.col("x.t").alias("t"), (F.col("x.g") - F.col("here")).alias("more")), "best")
         wants = best.filter("t <> c")
         if not wants.head(1):
@@ -144,7 +156,10 @@ def partition(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, local
     done, so the result is the same (for weights whose sums are exact, as whole and half numbers are).
     Communities are connected and named by their least vertex; the result depends on no order of rows.
     """
-    both = edges.select("scope", F.explode(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))).alias("e")).select("scope", "e.*")
+    both = (
+        edges.select("scope", F.explode(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))).alias("e"))
+        .select("scope", "e.*")
+    )
     live = materialise(both, "edges")
     member, level, before = None, 0, None
     while True:
@@ -163,20 +178,30 @@ def partition(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, local
         level, before = level + 1, large[1]
         x = c.select("scope", F.col("v").alias("a"), F.col("c").alias("ca"))
         y = c.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
-        after = materialise(live.join(x, ["scope", "a"]).join(y, ["scope", "b"]).groupBy("scope", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "edges")
+        after = materialise(
+            live.join(x, ["scope", "a"]).join(y, ["scope", "b"]).groupBy("scope", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")),
+            "edges",
+        )
         discard(live)
         live = after
     # connected pieces within each community
     va = member.select("scope", F.col("v").alias("a"), F.col("c").alias("ca"))
     vb = member.select("scope", F.col("v").alias("b"), F.col("c").alias("cb"))
     sep = F.lit("\x1f")
-    inside = edges.join(va, ["scope", "a"]).join(vb, ["scope", "b"]).filter("ca = cb").select(F.concat(F.col("scope"), sep, "a").alias("a"), F.concat(F.col("scope"), sep, "b").alias("b"))
+    inside = (
+        edges.join(va, ["scope", "a"])
+        .join(vb, ["scope", "b"])
+        .filter("ca = cb")
+        .select(F.concat(F.col("scope"), sep, "a").alias("a"), F.concat(F.col("scope"), sep, "b").alias("b"))
+    )
     pieces = components(inside)
     named = member.withColumn("key", F.concat(F.col("scope"), sep, "v")).join(pieces.withColumnRenamed("id", "key"), "key", "left")
     return named.select("scope", "v", F.coalesce(F.element_at(F.split("root", "\x1f"), -1), F.col("v")).alias("c"))
 
 
-def hierarchy_levels(edges: DataFrame, min_size: int = 3, max_levels: int = 2, split_over: int | None = None, base: float = 1.0, step: float = 2.0) -> DataFrame:
+def hierarchy_levels(
+    edges: DataFrame, min_size: int = 3, max_levels: int = 2, split_over: int | None = None, base: float = 1.0, step: float = 2.0,
+) -> DataFrame:
     """(level, parent, community, entity): level 0 partitions the graph, each larger community is
     partitioned again at a higher resolution while that splits it, down to ``max_levels``.
 
@@ -191,7 +216,9 @@ def hierarchy_levels(edges: DataFrame, min_size: int = 3, max_levels: int = 2, s
         if level:  # only where it really splits
             part = part.join(parts.filter("k > 1").select("scope"), "scope", "left_semi")
         name = F.concat(F.lit(f"L{level}:"), F.col("c"))
-        here = part.select(F.lit(level).alias("level"), F.when(F.col("scope") != "", F.col("scope")).alias("parent"), name.alias("community"), F.col("v").alias("entity"))
+        here = part.select(
+            F.lit(level).alias("level"), F.when(F.col("scope") != "", F.col("scope")).alias("parent"), name.alias("community"), F.col("v").alias("entity"),
+        )
         here = materialise(here, "communities")
         out = here if out is None else out.union(here)
         if level == max_levels:
@@ -228,7 +255,10 @@ def community_stats(communities: DataFrame) -> DataFrame:
 
 def detection_stats(levels: DataFrame) -> DataFrame:
     """levels, communities, covered entities of a detection; zeros for an empty one."""
-    return levels.agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("levels"), F.countDistinct("community").alias("communities"), F.countDistinct("entity").alias("covered"))
+    return levels.agg(
+        F.coalesce(F.max("level") + 1, F.lit(0)).alias("levels"), F.countDistinct("community").alias("communities"),
+        F.countDistinct("entity").alias("covered"),
+    )
 
 
 def summaries(communities: DataFrame) -> DataFrame:
@@ -246,7 +276,11 @@ def with_summaries(communities: DataFrame, said: DataFrame) -> DataFrame:
 def summarise(facts: DataFrame, members: DataFrame, client) -> DataFrame:
     """(community_id, summary): ``client(prompt, system)`` over each community's facts, a call each on
     the executors; a failing call gives null, a community without facts ''."""
-    names = top_per_key(members.select("community_id", "entity_id").distinct(), ["community_id"], ["entity_id"], 20).groupBy("community_id").agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ", ").alias("names"))
+    names = (
+        top_per_key(members.select("community_id", "entity_id").distinct(), ["community_id"], ["entity_id"], 20)
+        .groupBy("community_id")
+        .agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ", ").alias("names"))
+    )
     sizes = members.select("community_id", "entity_id").distinct().groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
     line = F.concat(F.lit("("), "subject", F.lit(")-["), "predicate", F.lit("]->("), "object", F.lit(")"))
     text = facts.groupBy("community_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("facts"))

@@ -24,7 +24,12 @@ def sections(texts: DataFrame, doc: str = "doc_id", text: str = "text", max_sect
     several, each with a number of its own; ``max_sections`` counts it once."""
     body = F.regexp_replace(F.regexp_replace(F.col(text), r"(?s)^---\n.*?\n---\n", ""), r"(?m)^```[^\n]*\n?", "")
     parts = F.split(body, r"(?m)(?=^#{1,3}\s+.+$)")
-    cut = texts.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(parts).alias("n", "section")).withColumn("section", strip(F.col("section"))).filter(F.length("section") >= MIN_SECTION)
+    cut = (
+        texts.filter(F.col(text).isNotNull())
+        .select(F.col(doc).alias("doc_id"), F.posexplode(parts).alias("n", "section"))
+        .withColumn("section", strip(F.col("section")))
+        .filter(F.length("section") >= MIN_SECTION)
+    )
     if max_sections is not None:
         cut = cut.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).filter(F.col("k") <= max_sections)
     starts = F.sequence(F.lit(1), F.length("section"), F.lit(CALL_CHARS))
@@ -45,7 +50,9 @@ def call(parts: DataFrame, client: Callable[[str, str], str]) -> DataFrame:
                     replies.append(None)
             yield f.assign(reply=replies)
 
-    return parts.mapInPandas(run, parts.select("doc_id", "section_no", "section").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", reply string")
+    return parts.mapInPandas(
+        run, parts.select("doc_id", "section_no", "section").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", reply string",
+    )
 
 
 def parse_replies(replies: DataFrame, reply: str = "reply", doc: str = "doc_id") -> DataFrame:
@@ -54,7 +61,10 @@ def parse_replies(replies: DataFrame, reply: str = "reply", doc: str = "doc_id")
     missing confidence is 0.8, one outside 0..1 is clamped; under 0.75 the layer is llm_hypotheses.
     """
     bare = F.regexp_replace(F.regexp_replace(F.col(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    items = replies.select(F.col(doc).cast("string").alias("source_doc"), F.explode(F.from_json(bare, _REPLY)["triples"]).alias("t")).select("source_doc", "t.*")
+    items = (
+        replies.select(F.col(doc).cast("string").alias("source_doc"), F.explode(F.from_json(bare, _REPLY)["triples"]).alias("t"))
+        .select("source_doc", "t.*")
+    )
     conf = F.when(F.col("confidence").isNull(), F.lit(0.8)).otherwise(F.col("confidence").try_cast("double"))
     ok = items.withColumn("c", conf).filter("subject is not null and predicate is not null and object is not null and c is not null")
     entity = F.lit("Entity")

@@ -16,7 +16,13 @@ from tripleloom.session import discard, materialise
 def symmetric(triples: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(node, other, *keep): each triple seen from both ends, a loop once."""
     keep = keep or []
-    return triples.select(F.explode(F.array_distinct(F.array(F.struct(F.col("subject").alias("node"), F.col("object").alias("other")), F.struct(F.col("object").alias("node"), F.col("subject").alias("other"))))).alias("e"), *keep).select("e.node", "e.other", *keep)
+    return (
+        triples.select(
+            F.explode(F.array_distinct(F.array(F.struct(F.col("subject").alias("node"), F.col("object").alias("other")), F.struct(F.col("object").alias("node"), F.col("subject").alias("other"))))).alias("e"),
+            *keep,
+        )
+        .select("e.node", "e.other", *keep)
+    )
 
 
 def hop_distances(triples: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -36,7 +42,12 @@ def hop_distances(triples: DataFrame, start: DataFrame, depth: int) -> DataFrame
 def touching(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct triples with an end in ``nodes`` (node): two equi-joins, no OR."""
     n = nodes.select("node").distinct()
-    ids = triples.join(n, triples["subject"] == n["node"], "left_semi").select("row_id").union(triples.join(n, triples["object"] == n["node"], "left_semi").select("row_id")).distinct()
+    ids = (
+        triples.join(n, triples["subject"] == n["node"], "left_semi")
+        .select("row_id")
+        .union(triples.join(n, triples["object"] == n["node"], "left_semi").select("row_id"))
+        .distinct()
+    )
     return triples.join(ids, "row_id", "left_semi")
 
 
@@ -99,11 +110,21 @@ def shortest_path(triples: DataFrame, a: str, b: str, max_depth: int = 4) -> lis
         return []
     spark = triples.sparkSession
     edges = symmetric(triples, ["subject", "predicate", "object"]).filter("node <> other")
-    seen = materialise(spark.createDataFrame([(a, 0, None)], "node string, depth int, via struct<prev:string,subject:string,predicate:string,object:string>"), "path")
+    seen = materialise(
+        spark.createDataFrame([(a, 0, None)], "node string, depth int, via struct<prev:string,subject:string,predicate:string,object:string>"), "path",
+    )
     for d in range(max_depth):
         front = seen.filter(F.col("depth") == d).select("node")
-        step = edges.join(front, "node").select(F.col("other").alias("to"), F.struct(F.col("node").alias("prev"), "subject", "predicate", "object").alias("via"))
-        fresh = step.groupBy("to").agg(F.min("via").alias("via")).select(F.col("to").alias("node"), F.lit(d + 1).alias("depth"), "via").join(seen, "node", "left_anti")
+        step = (
+            edges.join(front, "node")
+            .select(F.col("other").alias("to"), F.struct(F.col("node").alias("prev"), "subject", "predicate", "object").alias("via"))
+        )
+        fresh = (
+            step.groupBy("to")
+            .agg(F.min("via").alias("via"))
+            .select(F.col("to").alias("node"), F.lit(d + 1).alias("depth"), "via")
+            .join(seen, "node", "left_anti")
+        )
         fresh = materialise(fresh, "path")
         seen = seen.union(fresh)
         if fresh.filter(F.col("node") == b).head(1):
@@ -136,13 +157,21 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", least=None) -> Data
         large = materialise(large.groupBy("u", "v").agg(F.max("moved").alias("moved")), "large")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"), (F.count(F.lit(1)) > 1).alias("several"))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
-        small = large.join(low2, "u").select(F.explode(ends).alias("e"), (F.col("moved") | F.col("several")).alias("moved")).select("e.u", "e.v", "moved").filter("u <> v")
+        small = (
+            large.join(low2, "u")
+            .select(F.explode(ends).alias("e"), (F.col("moved") | F.col("several")).alias("moved"))
+            .select("e.u", "e.v", "moved")
+            .filter("u <> v")
+        )
         after = materialise(small.groupBy("u", "v").agg(F.max("moved").alias("moved")), "edges")
         discard(edges, large)
         edges = after
         if not edges.filter("moved").head(1):  # every link is one of a vertex to its root
             break
-    return alone.join(edges.select("u", F.col("v").alias("r")), "u", "left").select(F.col("u.id").alias("id"), F.coalesce(F.col("r.id"), F.col("u.id")).alias("root"))
+    return (
+        alone.join(edges.select("u", F.col("v").alias("r")), "u", "left")
+        .select(F.col("u.id").alias("id"), F.coalesce(F.col("r.id"), F.col("u.id")).alias("root"))
+    )
 
 
 def shortest_first(c):

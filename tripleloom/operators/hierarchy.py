@@ -41,7 +41,9 @@ def list_rank(arcs: DataFrame, local_max: int = LOCAL_ARCS) -> DataFrame:
     so any number of lists comes to an end.
     """
     one = F.lit(1).cast("long")
-    live = materialise(arcs.select("id", "next", one.alias("c"), F.col("w").cast("long").alias("w"), F.when(F.col("next").isNull(), F.col("id")).alias("tail")), "arcs")
+    live = materialise(
+        arcs.select("id", "next", one.alias("c"), F.col("w").cast("long").alias("w"), F.when(F.col("next").isNull(), F.col("id")).alias("tail")), "arcs",
+    )
     spliced: list[DataFrame] = []
     while live.filter("next is not null").count() > local_max:
         coin = F.xxhash64(F.lit(len(spliced)), "id").bitwiseAND(F.lit(1))
@@ -50,7 +52,10 @@ def list_rank(arcs: DataFrame, local_max: int = LOCAL_ARCS) -> DataFrame:
         joined = materialise(tossed.filter("coin = 0").join(out, F.col("next") == F.col("x_id"), "left"), "spliced")
         took = F.col("x_id").isNotNull()
         gone = joined.filter(took).select(*[F.col(f"x_{c}").alias(c) for c in ("id", "next", "c", "w", "tail")])
-        kept = joined.select("id", F.when(took, F.col("x_next")).otherwise(F.col("next")).alias("next"), (F.col("c") + F.coalesce("x_c", F.lit(0))).alias("c"), (F.col("w") + F.coalesce("x_w", F.lit(0))).alias("w"), F.when(took, F.col("x_tail")).otherwise(F.col("tail")).alias("tail"))
+        kept = joined.select(
+            "id", F.when(took, F.col("x_next")).otherwise(F.col("next")).alias("next"), (F.col("c") + F.coalesce("x_c", F.lit(0))).alias("c"),
+            (F.col("w") + F.coalesce("x_w", F.lit(0))).alias("w"), F.when(took, F.col("x_tail")).otherwise(F.col("tail")).alias("tail"),
+        )
         stay = tossed.filter("coin = 1").drop("coin").join(gone.select("id"), "id", "left_anti")
         spliced.append(gone)
         live = materialise(kept.union(stay.select("id", "next", "c", "w", "tail")), "arcs")
@@ -112,7 +117,9 @@ def find_loops(nodes: DataFrame) -> DataFrame | None:
     ring = materialise(on_loop.join(nodes, "nid").select("nid", F.col("parent").alias("j"), F.least("nid", "parent").alias("m")), "loop")
     while True:  # the minimum over 2, 4, 8, ... steps along the loop
         far = ring.select(F.col("nid").alias("j"), F.col("j").alias("j2"), F.col("m").alias("m2"))
-        ring = materialise(ring.join(far, "j").select("nid", F.col("j2").alias("j"), F.least("m", "m2").alias("m"), (F.col("m2") < F.col("m")).alias("changed")), "loop")
+        ring = materialise(
+            ring.join(far, "j").select("nid", F.col("j2").alias("j"), F.least("m", "m2").alias("m"), (F.col("m2") < F.col("m")).alias("changed")), "loop",
+        )
         if not ring.filter("changed").head(1):
             break
         ring = ring.drop("changed")
@@ -144,7 +151,12 @@ def hierarchy(links: DataFrame, node: str, parent: str, version: str, local_max:
     depth -1, path '', the rest null. u is an ancestor of v iff both have one root_id and
     u.entry < v.entry <= v.exit < u.exit. Other columns do not matter; an empty table gives no row.
     """
-    held = links.filter(F.col(node).isNotNull()).select(F.col(node).alias("id"), strip(F.col(parent)).alias("p"), F.col(version).alias("v")).groupBy("id").agg(F.max(F.struct("v", "p")).alias("r"))
+    held = (
+        links.filter(F.col(node).isNotNull())
+        .select(F.col(node).alias("id"), strip(F.col(parent)).alias("p"), F.col(version).alias("v"))
+        .groupBy("id")
+        .agg(F.max(F.struct("v", "p")).alias("r"))
+    )
     # dense numbers in the order of code points, so the smallest number is the smallest id
     numbered = materialise(sequence(held.select("id", F.col("r.p").alias("p")), [], ["id"], "id", "ids").select(F.col("pos").alias("nid"), "id", "p"), "nodes")
     known = numbered.select(F.col("id").alias("p"), F.col("nid").alias("parent"))
@@ -154,7 +166,11 @@ def hierarchy(links: DataFrame, node: str, parent: str, version: str, local_max:
     # next sibling of each child, first child of each parent
     kids = sequence(trees.filter("parent is not null").select("parent", "nid"), ["parent"], ["nid"], "nid", "siblings")
     first = trees.filter("parent is not null").groupBy("parent").agg(F.min("nid").alias("child"))
-    t = trees.select("nid", "parent").join(first.select(F.col("parent").alias("nid"), "child"), "nid", "left").join(kids.select("nid", F.col("next_nid").alias("sibling")), "nid", "left")
+    t = (
+        trees.select("nid", "parent")
+        .join(first.select(F.col("parent").alias("nid"), "child"), "nid", "left")
+        .join(kids.select("nid", F.col("next_nid").alias("sibling")), "nid", "left")
+    )
     down, up = F.col("nid") * 2, F.col("nid") * 2 + 1
     arcs = t.select(
         F.explode(
@@ -165,18 +181,37 @@ def hierarchy(links: DataFrame, node: str, parent: str, version: str, local_max:
         ).alias("a")
     ).select("a.*")
     ranked = materialise(list_rank(arcs, local_max), "tour")
-    half = ranked.select(F.floor(F.col("id") / 2).cast("long").alias("nid"), (F.col("id") % 2).alias("side"), F.floor(F.col("tail") / 2).cast("long").alias("root"), "after", "total")
-    per = half.groupBy("nid").agg(F.max("root").alias("root"), F.max(F.when(F.col("side") == 0, F.col("after"))).alias("a_in"), F.max(F.when(F.col("side") == 1, F.col("after"))).alias("a_out"), F.max(F.when(F.col("side") == 0, F.col("total"))).alias("s"))
+    half = ranked.select(
+        F.floor(F.col("id") / 2).cast("long").alias("nid"), (F.col("id") % 2).alias("side"), F.floor(F.col("tail") / 2).cast("long").alias("root"), "after",
+        "total",
+    )
+    per = (
+        half.groupBy("nid")
+        .agg(F.max("root").alias("root"), F.max(F.when(F.col("side") == 0, F.col("after"))).alias("a_in"), F.max(F.when(F.col("side") == 1, F.col("after"))).alias("a_out"), F.max(F.when(F.col("side") == 0, F.col("total"))).alias("s"))
+    )
     length = per.filter("nid = root").select("root", (F.col("a_in") + 1).alias("n"))
     tour = materialise(
         per.join(length, "root").join(trees.select("nid", "id"), "nid").select("nid", "id", "root", (F.col("n") - 1 - F.col("a_in")).alias("entry"), (F.col("n") - 1 - F.col("a_out")).alias("exit"), (-F.col("s")).cast("int").alias("depth")),
         "intervals",
     )
     c_in, c_out = F.floor(F.col("entry") / chunk), F.floor(F.col("exit") / chunk)
-    rows = tour.select("nid", "root", "id", "entry", "depth", F.explode(F.sequence(c_in, c_out)).alias("chunk"), c_in.alias("c0")).withColumn("own", F.col("chunk") == F.col("c0"))
-    paths = rows.drop("c0").repartition("root", "chunk").sortWithinPartitions("root", "chunk", "entry").select("nid", "root", "chunk", "depth", "own", "id").mapInPandas(_paths, "nid long, path string")
+    rows = (
+        tour.select("nid", "root", "id", "entry", "depth", F.explode(F.sequence(c_in, c_out)).alias("chunk"), c_in.alias("c0"))
+        .withColumn("own", F.col("chunk") == F.col("c0"))
+    )
+    paths = (
+        rows.drop("c0")
+        .repartition("root", "chunk")
+        .sortWithinPartitions("root", "chunk", "entry")
+        .select("nid", "root", "chunk", "depth", "own", "id")
+        .mapInPandas(_paths, "nid long, path string")
+    )
     root_names = numbered.select(F.col("nid").alias("root"), F.col("id").alias("root_id"))
-    out = tour.join(paths, "nid").join(root_names, "root").select("id", "root_id", "depth", "path", "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"))
+    out = (
+        tour.join(paths, "nid")
+        .join(root_names, "root")
+        .select("id", "root_id", "depth", "path", "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"))
+    )
     if loops is not None:
         none = F.lit(None).cast("long")
         looped = loops.join(numbered.select("nid", "id"), "nid").join(root_names.withColumnRenamed("root", "loop"), "loop")
@@ -187,12 +222,23 @@ def hierarchy(links: DataFrame, node: str, parent: str, version: str, local_max:
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance): all pairs, from ``hierarchy``'s paths, whose total length they are."""
     t = tree.filter("depth > 0").select("id", "root_id", "depth", "entry")
-    up = tree.filter("depth >= 0").select(F.col("id").alias("ancestor"), "root_id", F.col("depth").alias("d"), F.col("entry").alias("lo"), F.col("exit").alias("hi"))
+    up = (
+        tree.filter("depth >= 0")
+        .select(F.col("id").alias("ancestor"), "root_id", F.col("depth").alias("d"), F.col("entry").alias("lo"), F.col("exit").alias("hi"))
+    )
     # meet in blocks of the tour: an ancestor's interval is listed once for each block it reaches into
     block = F.floor(F.col("entry") / CHUNK)
     up = up.filter("hi > lo + 1").withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / CHUNK), F.floor(F.col("hi") / CHUNK))))
-    return t.withColumn("block", block).join(up, ["root_id", "block"]).filter("lo < entry and entry < hi").select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("d")).alias("distance"))
+    return (
+        t.withColumn("block", block)
+        .join(up, ["root_id", "block"])
+        .filter("lo < entry and entry < hi")
+        .select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("d")).alias("distance"))
+    )
 
 
 def hierarchy_found(communities: DataFrame, **kw) -> DataFrame:
-    return hierarchy(communities, "community_id", "parent_community_id", "created_at", **kw).select(F.col("id").alias("community_id"), "root_id", F.col("depth").cast("int").alias("depth"), "path")
+    return (
+        hierarchy(communities, "community_id", "parent_community_id", "created_at", **kw)
+        .select(F.col("id").alias("community_id"), "root_id", F.col("depth").cast("int").alias("depth"), "path")
+    )

@@ -41,7 +41,9 @@ def snapshots(triples: DataFrame, predicates: list[str] = ATTRIBUTES) -> DataFra
         iso_micros(F.col("valid_to")).alias("until"),
     )
     held = rows.filter(F.col("start").isNotNull()).groupBy("subject", "predicate", "start").agg(F.max(F.struct("seen", "row_id", "value", "until")).alias("r"))
-    return held.select("subject", "predicate", "start", F.col("r.value").alias("value"), F.when(F.col("r.until") > F.col("start"), F.col("r.until")).alias("until"))
+    return held.select(
+        "subject", "predicate", "start", F.col("r.value").alias("value"), F.when(F.col("r.until") > F.col("start"), F.col("r.until")).alias("until"),
+    )
 
 
 def bit_runs(bits: DataFrame, key: list[str], bit: str) -> DataFrame:
@@ -71,7 +73,10 @@ def bit_runs(bits: DataFrame, key: list[str], bit: str) -> DataFrame:
     def set_bits(w):
         return F.filter(numbers, lambda i: F.call_function("shiftrightunsigned", w, i).bitwiseAND(F.lit(1).cast("long")) != 0)
 
-    edges = marked.select(*key, "word", F.explode(F.concat(F.transform(set_bits(opening), lambda i: F.struct(i.alias("i"), F.lit(0).alias("kind"))), F.transform(set_bits(closing), lambda i: F.struct(i.alias("i"), F.lit(1).alias("kind"))))).alias("e"))
+    edges = marked.select(
+        *key, "word",
+        F.explode(F.concat(F.transform(set_bits(opening), lambda i: F.struct(i.alias("i"), F.lit(0).alias("kind"))), F.transform(set_bits(closing), lambda i: F.struct(i.alias("i"), F.lit(1).alias("kind"))))).alias("e"),
+    )
     return edges.select(*key, (F.col("word") * 64 + F.col("e.i")).alias("bit"), F.col("e.kind").alias("kind"))
 
 
@@ -85,18 +90,30 @@ def attribute_history(triples: DataFrame, predicates: list[str] = ATTRIBUTES) ->
     stays = F.col("until").isNull() | F.col("next_start").isNull() | (F.col("until") > F.col("next_start"))
     # pos is unique over all subjects, so the hash only has to keep neighbouring values apart; the position itself settles the subject.
     value_hash = F.xxhash64("subject", "predicate", F.coalesce(F.concat(F.lit("v"), F.col("value")), F.lit("n")))
-    bits = seq.select(value_hash.alias("vh"), F.explode(F.when(stays & F.col("next_start").isNotNull(), F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).otherwise(F.array(F.col("pos") * 2))).alias("bit"))
+    bits = seq.select(
+        value_hash.alias("vh"),
+        F.explode(F.when(stays & F.col("next_start").isNotNull(), F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).otherwise(F.array(F.col("pos") * 2))).alias("bit"),
+    )
     edges = bit_runs(bits, ["vh"], "bit")
     opens = edges.filter("kind = 0").select((F.col("bit") / 2).cast("long").alias("pos"), F.lit(True).alias("opens"))
     closes = edges.filter("kind = 1").select((F.floor(F.col("bit") / 2)).cast("long").alias("pos"), F.lit(True).alias("closes"))
     marked = seq.join(opens, "pos", "left").join(closes, "pos", "left").filter("opens or closes")
     end = F.when(F.col("closes"), F.least("until", "next_start"))
     # Openings and closings alternate in the order of pos; the closing of an opening is the next marked row's.
-    ordered = sequence(marked.select("pos", "subject", "predicate", "value", "start", F.coalesce("opens", F.lit(False)).alias("opens"), F.coalesce("closes", F.lit(False)).alias("closes"), F.struct(end.alias("end")).alias("fin")).withColumnRenamed("pos", "at"), ["subject", "predicate"], ["at"], "fin", "versions")
-    return ordered.filter("opens").select("subject", "predicate", "value", F.col("start").alias("version_from"), F.when(F.col("closes"), F.col("fin.end")).otherwise(F.col("next_fin.end")).alias("version_to"))
+    ordered = sequence(
+        marked.select("pos", "subject", "predicate", "value", "start", F.coalesce("opens", F.lit(False)).alias("opens"), F.coalesce("closes", F.lit(False)).alias("closes"), F.struct(end.alias("end")).alias("fin")).withColumnRenamed("pos", "at"),
+        ["subject", "predicate"], ["at"], "fin", "versions",
+    )
+    return (
+        ordered.filter("opens")
+        .select("subject", "predicate", "value", F.col("start").alias("version_from"), F.when(F.col("closes"), F.col("fin.end")).otherwise(F.col("next_fin.end")).alias("version_to"))
+    )
 
 
 def history_found(triples: DataFrame) -> DataFrame:
     """Versions with both times as text, open ends as 9999."""
     h = attribute_history(triples)
-    return h.select("subject", "predicate", utc_text(F.col("version_from"), _STAMP).alias("version_from"), F.coalesce(utc_text(F.col("version_to"), _STAMP), F.lit(OPEN_END)).alias("version_to"))
+    return h.select(
+        "subject", "predicate", utc_text(F.col("version_from"), _STAMP).alias("version_from"),
+        F.coalesce(utc_text(F.col("version_to"), _STAMP), F.lit(OPEN_END)).alias("version_to"),
+    )

@@ -75,14 +75,21 @@ def sequence(df: DataFrame, key: list[str], order: list[str], following: str, la
 
     rows = materialise(sort_globally(df, key + order, n).mapInArrow(scan, schema), label)
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in key]), 256) if key else F.lit("")
-    ends = rows.filter((F.col("_idx") == 0) | F.col("_last")).select("_pid", "_idx", "_last", digest.alias("k"), F.col(following).alias("v")).collect()  # two rows a partition
+    ends = (  # two rows a partition
+        rows.filter((F.col("_idx") == 0) | F.col("_last"))
+        .select("_pid", "_idx", "_last", digest.alias("k"), F.col(following).alias("v"))
+        .collect()
+    )
     firsts, lasts = {r["_pid"]: r for r in ends if r["_idx"] == 0}, {r["_pid"]: r for r in ends if r["_last"]}
     offsets, total, pids = [], 0, sorted(firsts)
     for i, p in enumerate(pids):
         after = firsts[pids[i + 1]] if i + 1 < len(pids) else None
         offsets.append((p, total, after["v"] if after is not None and after["k"] == lasts[p]["k"] else None))
         total += lasts[p]["_idx"] + 1
-    small = df.sparkSession.createDataFrame(offsets, T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_offset", T.LongType()), T.StructField("_after", df.schema[following].dataType)]))
+    small = df.sparkSession.createDataFrame(
+        offsets,
+        T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_offset", T.LongType()), T.StructField("_after", df.schema[following].dataType)]),
+    )
     return (
         rows.join(F.broadcast(small), "_pid")
         .withColumn(f"next_{following}", F.when(F.col("_last"), F.col("_after")).otherwise(F.col(f"next_{following}")))

@@ -37,10 +37,21 @@ def references(triples: DataFrame, aliases: DataFrame, members: DataFrame, commu
     seen = month_number(iso_micros(F.col("timestamp")))
     # one scan of triples, two references a row
     objects = F.when(~F.coalesce("object_is_literal", F.lit(False)), F.col("object"))
-    t = triples.select(seen.alias("period"), F.explode(F.array(F.struct(F.lit(0).alias("ref"), F.col("subject").alias("id")), F.struct(F.lit(1).alias("ref"), objects.alias("id")))).alias("r")).select("r.ref", "period", "r.id")
+    t = (
+        triples.select(
+            seen.alias("period"),
+            F.explode(F.array(F.struct(F.lit(0).alias("ref"), F.col("subject").alias("id")), F.struct(F.lit(1).alias("ref"), objects.alias("id")))).alias("r"),
+        )
+        .select("r.ref", "period", "r.id")
+    )
     a = aliases.select(F.lit(2).alias("ref"), month_number(ntz_micros(F.col("resolved_at"))).alias("period"), F.col("alias_id").alias("id"))
     born = communities.groupBy("community_id").agg(F.min("created_at").alias("created_at"))
-    m = members.select("community_id", "entity_id").distinct().join(born, "community_id", "left").select(F.lit(3).alias("ref"), month_number(ntz_micros(F.col("created_at"))).alias("period"), F.col("entity_id").alias("id"))
+    m = (
+        members.select("community_id", "entity_id")
+        .distinct()
+        .join(born, "community_id", "left")
+        .select(F.lit(3).alias("ref"), month_number(ntz_micros(F.col("created_at"))).alias("period"), F.col("entity_id").alias("id"))
+    )
     raw = t.union(a).union(m).filter("id is not null").distinct()  # as written, before the costlier normal form
     return raw.select("ref", "period", letters_digits(F.col("id")).alias("key")).distinct()
 

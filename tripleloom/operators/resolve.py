@@ -53,13 +53,21 @@ def candidate_pairs(blocked: DataFrame, cell: int = CELL) -> DataFrame:
     b = b.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_c")))
     # a member is sent to the cells (i, j) of its row and its column; each pair meets in exactly one
     left = b.select("kind", "block", F.col("id").alias("x"), F.col("norm").alias("nx"), "_i", F.explode(F.sequence(F.col("_i"), F.col("_c") - 1)).alias("_j"))
-    right = b.select(F.col("kind").alias("_k"), F.col("block").alias("_b"), F.col("id").alias("y"), F.col("norm").alias("ny"), F.col("_i").alias("_jj"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_i"))).alias("_ii"))
-    p = left.join(right, F.col("kind").eqNullSafe(F.col("_k")) & (F.col("block") == F.col("_b")) & (F.col("_i") == F.col("_ii")) & (F.col("_j") == F.col("_jj")))
+    right = b.select(
+        F.col("kind").alias("_k"), F.col("block").alias("_b"), F.col("id").alias("y"), F.col("norm").alias("ny"), F.col("_i").alias("_jj"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_i"))).alias("_ii"),
+    )
+    p = left.join(
+        right, F.col("kind").eqNullSafe(F.col("_k")) & (F.col("block") == F.col("_b")) & (F.col("_i") == F.col("_ii")) & (F.col("_j") == F.col("_jj")),
+    )
     p = p.filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
     # names of one prefix met in its block, so that no pair is made twice and large blocks need no shuffle of pairs
     p = p.filter(~F.col("block").startswith("m:") | (F.substring("nx", 1, 2) != F.substring("ny", 1, 2)))
     swap = F.col("x") > F.col("y")
-    return p.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("norm_a"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("norm_b"))
+    return p.select(
+        "kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("norm_a"),
+        F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("norm_b"),
+    )
 
 
 def score(pairs: DataFrame, threshold: float = AUTO_MERGE, cosine: Column | None = None) -> DataFrame:
@@ -73,7 +81,10 @@ def score(pairs: DataFrame, threshold: float = AUTO_MERGE, cosine: Column | None
     p = pairs.withColumn("_jw", jaro_winkler("norm_a", "norm_b"))
     combined = F.col("_jw") if cosine is None else F.col("_jw") * STRING_WEIGHT + cosine * (1 - STRING_WEIGHT)
     sure = F.lit(True) if cosine is None else cosine >= SEMANTIC_FLOOR
-    p = p.withColumn("score", F.when(exact, 1.0).when(short, 0.97).otherwise(combined)).withColumn("method", F.when(exact, "exact_normalised").when(short, "initialism").otherwise("jaro_winkler" if cosine is None else "string_embedding"))
+    p = (
+        p.withColumn("score", F.when(exact, 1.0).when(short, 0.97).otherwise(combined))
+        .withColumn("method", F.when(exact, "exact_normalised").when(short, "initialism").otherwise("jaro_winkler" if cosine is None else "string_embedding"))
+    )
     merges = exact | short | ((F.col("score") >= auto) & sure)
     return p.withColumn("band", F.when(merges, "auto").when(F.col("score") >= FLAG_FLOOR, "flagged").otherwise("none")).drop("_jw")
 
@@ -110,27 +121,48 @@ def matches(entities: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool =
     return score(with_cosine(pairs, reps, encoder), threshold, F.col("cos")).filter("band <> 'none'").drop("cos")
 
 
-def resolve(entities: DataFrame, triples: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool = True, encoder=None, small: int = SMALL_KIND) -> dict[str, DataFrame]:
+def resolve(
+    entities: DataFrame, triples: DataFrame, threshold: float = AUTO_MERGE, phonetic: bool = True, encoder=None, small: int = SMALL_KIND,
+) -> dict[str, DataFrame]:
     """All three phases: ``canonical`` (id, canonical), ``aliases`` (alias rows), ``flagged`` pairs.
 
     The canonical id of a group is its shortest, then least id. Alias rows are a star: each member
     with its canonical id and the best evidence that touches it (lowest phase, highest score).
     """
     scored = materialise(matches(entities, threshold, phonetic, encoder, small), "scored")
-    one = exact_groups(entities).filter("id <> canonical").select(F.col("canonical").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(1).alias("phase"), F.lit("exact_normalised").alias("method"))
+    one = (
+        exact_groups(entities)
+        .filter("id <> canonical")
+        .select(F.col("canonical").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(1).alias("phase"), F.lit("exact_normalised").alias("method"))
+    )
     two = scored.filter("band = 'auto'").select("a", "b", "score", F.lit(2).alias("phase"), "method")
-    three = triples.filter("predicate = 'SIMILAR_TO' and subject is not null and object is not null and subject <> object").select(F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(0.80).alias("score"), F.lit(3).alias("phase"), F.lit("structural_wcc").alias("method")).distinct()
+    three = (
+        triples.filter("predicate = 'SIMILAR_TO' and subject is not null and object is not null and subject <> object")
+        .select(F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(0.80).alias("score"), F.lit(3).alias("phase"), F.lit("structural_wcc").alias("method"))
+        .distinct()
+    )
     links = materialise(one.union(two).union(three), "links")
     canonical = materialise(components(links, "a", "b", shortest_first), "canonical").select("id", F.col("root").alias("canonical"))
-    touch = links.select(F.explode(F.array("a", "b")).alias("id"), F.struct("phase", (-F.col("score")).alias("worse"), "method").alias("e")).groupBy("id").agg(F.min("e").alias("e"))
-    aliases = canonical.filter("id <> canonical").join(touch, "id").select(F.col("canonical").alias("canonical_id"), F.col("id").alias("alias_id"), (-F.col("e.worse")).alias("confidence"), F.col("e.phase").alias("phase"), F.col("e.method").alias("method"))
+    touch = (
+        links.select(F.explode(F.array("a", "b")).alias("id"), F.struct("phase", (-F.col("score")).alias("worse"), "method").alias("e"))
+        .groupBy("id")
+        .agg(F.min("e").alias("e"))
+    )
+    aliases = (
+        canonical.filter("id <> canonical")
+        .join(touch, "id")
+        .select(F.col("canonical").alias("canonical_id"), F.col("id").alias("alias_id"), (-F.col("e.worse")).alias("confidence"), F.col("e.phase").alias("phase"), F.col("e.method").alias("method"))
+    )
     return {"canonical": canonical, "aliases": aliases, "flagged": scored.filter("band = 'flagged'").select("a", "b", "score", "method")}
 
 
 def same_as_edges(aliases: DataFrame, entities: DataFrame, timestamp: str) -> DataFrame:
     """SAME_AS triples alias -> canonical of alias rows; kinds default to concept, confidence is clamped."""
     kinds = entities.groupBy("id").agg(F.min("kind").alias("kind"))
-    a = aliases.join(kinds.select(F.col("id").alias("alias_id"), F.col("kind").alias("sk")), "alias_id", "left").join(kinds.select(F.col("id").alias("canonical_id"), F.col("kind").alias("tk")), "canonical_id", "left")
+    a = (
+        aliases.join(kinds.select(F.col("id").alias("alias_id"), F.col("kind").alias("sk")), "alias_id", "left")
+        .join(kinds.select(F.col("id").alias("canonical_id"), F.col("kind").alias("tk")), "canonical_id", "left")
+    )
     concept = F.lit("concept")
     out = a.select(
         F.col("alias_id").alias("subject"), F.lit("SAME_AS").alias("predicate"), F.col("canonical_id").alias("object"), F.coalesce("sk", concept).alias("source_kind"), F.coalesce("tk", concept).alias("target_kind"),
@@ -146,7 +178,11 @@ def canonical_map(aliases: DataFrame) -> DataFrame:
     Of several rows of an alias the least canonical id holds; null ids and ids linked to themselves do
     not count. Where a chain runs into a loop of aliases, the least id on the loop is canonical.
     """
-    step = aliases.filter("alias_id is not null and canonical_id is not null and alias_id <> canonical_id").groupBy(F.col("alias_id").alias("id")).agg(F.min("canonical_id").alias("to"))
+    step = (
+        aliases.filter("alias_id is not null and canonical_id is not null and alias_id <> canonical_id")
+        .groupBy(F.col("alias_id").alias("id"))
+        .agg(F.min("canonical_id").alias("to"))
+    )
     step = materialise(step, "steps")
     live, ended, left = step.select("id", "to", F.lit(True).alias("on")), None, None
     while True:  # only ids still on their way are joined and written again; the others stay to be looked up
@@ -187,8 +223,14 @@ def alias_stats(aliases: DataFrame) -> DataFrame:
 def pair_quality(labelled: DataFrame, canonical: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall, f1 of groups over labelled pairs; null labels do not count."""
     c = canonical
-    g = labelled.filter("same is not null and id_a is not null and id_b is not null").join(c.select(F.col("id").alias("id_a"), F.col("canonical").alias("ca")), "id_a", "left").join(c.select(F.col("id").alias("id_b"), F.col("canonical").alias("cb")), "id_b", "left")
+    g = (
+        labelled.filter("same is not null and id_a is not null and id_b is not null")
+        .join(c.select(F.col("id").alias("id_a"), F.col("canonical").alias("ca")), "id_a", "left")
+        .join(c.select(F.col("id").alias("id_b"), F.col("canonical").alias("cb")), "id_b", "left")
+    )
     said = F.coalesce("ca", "id_a") == F.coalesce("cb", "id_b")
     n = g.agg(*[F.sum(x.cast("long")).alias(a) for x, a in ((F.col("same") & said, "tp"), (~F.col("same") & said, "fp"), (F.col("same") & ~said, "fn"))])
     p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
-    return n.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 6).alias("f1"))
+    return n.select(
+        "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 6).alias("f1"),
+    )

@@ -50,7 +50,10 @@ def _facts(values: Column, make) -> Column:
 
     def one(v, i):
         p, o, k, e, c = make(v)
-        return F.struct(i.alias("match"), F.lit(p).alias("predicate"), o.alias("object"), (F.lit(k) if isinstance(k, str) else k).alias("kind"), e.alias("evidence"), F.lit(c).alias("confidence"))
+        return F.struct(
+            i.alias("match"), F.lit(p).alias("predicate"), o.alias("object"), (F.lit(k) if isinstance(k, str) else k).alias("kind"), e.alias("evidence"),
+            F.lit(c).alias("confidence"),
+        )
 
     return F.transform(values, one)
 
@@ -63,10 +66,16 @@ def _rules(adapter: str) -> list[Column]:
     one = F.array(x)
     none = F.filter(one, lambda v: F.lit(False))
     n = F.length(level).cast("string")
-    heading = _facts(F.when(is_heading, one).otherwise(none), lambda v: ("CONTAINS_HEADING", strip(text), F.concat(F.lit("heading:h"), n), F.concat(F.lit("H"), n, F.lit(": "), strip(text)), 0.90))
+    heading = _facts(
+        F.when(is_heading, one).otherwise(none),
+        lambda v: ("CONTAINS_HEADING", strip(text), F.concat(F.lit("heading:h"), n), F.concat(F.lit("H"), n, F.lit(": "), strip(text)), 0.90),
+    )
     caps = _facts(F.when(~is_heading & is_caps_heading(x), one).otherwise(none), lambda v: ("CONTAINS_HEADING", title(x), "heading", x, 0.70))
     wiki = _facts(F.regexp_extract_all(x, F.lit(WIKI_LINK), F.lit(1)), lambda v: ("LINKS_TO", strip(v), "vault_link", x, 0.86))
-    links = F.transform(F.regexp_extract_all(x, F.lit(MARKDOWN_LINK), F.lit(0)), lambda m: F.struct(strip(F.regexp_extract(m, MARKDOWN_LINK, 1)).alias("label"), strip(F.regexp_extract(m, MARKDOWN_LINK, 2)).alias("url")))
+    links = F.transform(
+        F.regexp_extract_all(x, F.lit(MARKDOWN_LINK), F.lit(0)),
+        lambda m: F.struct(strip(F.regexp_extract(m, MARKDOWN_LINK, 1)).alias("label"), strip(F.regexp_extract(m, MARKDOWN_LINK, 2)).alias("url")),
+    )
     web = F.filter(links, lambda m: m["url"].rlike(WEB))
 
     def host(m):
@@ -115,7 +124,9 @@ def candidates(texts: DataFrame, doc: str, text: str, rules: list[Column], *keep
     """(doc_id, line_no, rule, match, predicate, object, kind, evidence, confidence, *keep)."""
 
     def number(rule: Column, no: int) -> Column:
-        return F.transform(rule, lambda f: F.struct(F.lit(no).alias("rule"), *[f[c].alias(c) for c in ("match", "predicate", "object", "kind", "evidence", "confidence")]))
+        return F.transform(
+            rule, lambda f: F.struct(F.lit(no).alias("rule"), *[f[c].alias(c) for c in ("match", "predicate", "object", "kind", "evidence", "confidence")]),
+        )
 
     numbered = F.concat(*[number(r, base + i) for i, r in enumerate(rules)])
     got = lines(texts, doc, text, *keep).select("doc_id", "line_no", *keep, F.explode(numbered).alias("f")).select("doc_id", "line_no", *keep, "f.*")
@@ -140,7 +151,10 @@ def first_facts(found: DataFrame, max_facts: int | None = None, cut: int | None
     return placed if max_facts is None else placed.filter(F.col("place") <= max_facts)
 
 
-def extract(texts: DataFrame, adapter: str = "universal", doc: str = "doc_id", text: str = "text", path: str = "relative_path", structured: str | None = None, max_facts: int | None = None) -> DataFrame:
+def extract(
+    texts: DataFrame, adapter: str = "universal", doc: str = "doc_id", text: str = "text", path: str = "relative_path", structured: str | None = None,
+    max_facts: int | None = None,
+) -> DataFrame:
     """Triples of texts: subject doc_id, in the adapter's vocabulary, with ``place`` in their document.
 
     ``structured`` names a boolean column: such texts give columns and keys up to their first blank
@@ -167,7 +181,15 @@ def extract(texts: DataFrame, adapter: str = "universal", doc: str = "doc_id", t
     if cap is not None:
         facts = facts.filter(F.col("place") <= cap)
     kind = F.when(F.col("_suffix") != "", F.col("_suffix")).otherwise(F.lit("text"))
-    types = given.select(F.col(doc).alias("doc_id"), "_path", F.lit(1).alias("place"), F.lit("HAS_FILE_TYPE").alias("predicate"), kind.alias("object"), F.lit("file_type").alias("kind"), F.concat(F.lit("File: "), "_path").alias("evidence"), F.lit(0.95).alias("confidence"), F.lit("rule").alias("method"))
+    types = given.select(
+        F.col(doc).alias("doc_id"), "_path", F.lit(1).alias("place"), F.lit("HAS_FILE_TYPE").alias("predicate"), kind.alias("object"),
+        F.lit("file_type").alias("kind"), F.concat(F.lit("File: "), "_path").alias("evidence"), F.lit(0.95).alias("confidence"),
+        F.lit("rule").alias("method"),
+    )
     every = types.unionByName(facts.select("doc_id", "_path", "place", "predicate", "object", "kind", "evidence", "confidence", "method"))
-    out = every.select(F.col("doc_id").cast("string").alias("subject"), "predicate", F.substring("object", 1, 240).alias("object"), F.lit("document").alias("source_kind"), F.col("kind").alias("target_kind"), F.substring("evidence", 1, 700).alias("evidence"), "confidence", F.col("_path").alias("source_doc"), F.col("method").alias("extraction_method"), F.lit(adapter).alias("adapter"), F.lit("source_facts").alias("layer"), "place")
+    out = every.select(
+        F.col("doc_id").cast("string").alias("subject"), "predicate", F.substring("object", 1, 240).alias("object"), F.lit("document").alias("source_kind"),
+        F.col("kind").alias("target_kind"), F.substring("evidence", 1, 700).alias("evidence"), "confidence", F.col("_path").alias("source_doc"),
+        F.col("method").alias("extraction_method"), F.lit(adapter).alias("adapter"), F.lit("source_facts").alias("layer"), "place",
+    )
     return out.withColumn("triple_id", triple_id())

@@ -24,7 +24,10 @@ def insert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """(added, skipped) of an insert-if-absent by triple_id, in one pass over the incoming ids."""
     ids = incoming.groupBy("triple_id").agg(F.count(F.lit(1)).alias("n"))
     fresh = ids.join(existing.select("triple_id").distinct().withColumn("there", F.lit(True)), "triple_id", "left")
-    return fresh.agg(F.coalesce(F.sum(F.when(F.col("there").isNull(), 1).otherwise(0)), F.lit(0)).alias("added"), F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("skipped"))
+    return fresh.agg(
+        F.coalesce(F.sum(F.when(F.col("there").isNull(), 1).otherwise(0)), F.lit(0)).alias("added"),
+        F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("skipped"),
+    )
 
 
 def endpoints(triples: DataFrame, order: str) -> DataFrame:
@@ -48,7 +51,9 @@ def kind_conflicts(triples: DataFrame, order: str) -> DataFrame:
     return seen.join(first, "id").filter(~F.col("kind").eqNullSafe(F.col("won"))).select("id", F.col("won").alias("kind"), F.col("kind").alias("other"))
 
 
-def query(triples: DataFrame, subject: str | None = None, predicate: str | None = None, obj: str | None = None, layer: str | None = None, limit: int | None = 100) -> DataFrame:
+def query(
+    triples: DataFrame, subject: str | None = None, predicate: str | None = None, obj: str | None = None, layer: str | None = None, limit: int | None = 100,
+) -> DataFrame:
     """Conjunctive equality filter; empty text is no filter; the first ``limit`` by triple_id."""
     out = triples
     for c, v in (("subject", subject), ("predicate", predicate), ("object", obj), ("layer", layer)):
@@ -180,7 +185,10 @@ class TripleStore:
         if bad:
             raise ValueError("a triple's confidence is outside 0..1 or its layer is unknown")
         old, known, batches = self.triples(), self.entities(), self.batches()
-        first = incoming.groupBy("triple_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_at", *[c for c in TRIPLES.names if c != "triple_id"])).alias("r"))
+        first = (
+            incoming.groupBy("triple_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_at", *[c for c in TRIPLES.names if c != "triple_id"])).alias("r"))
+        )
         fresh = materialise(first.join(old.select("triple_id"), "triple_id", "left_anti").select("triple_id", "n", "r.*"), "fresh")
         total, added = incoming.count(), fresh.count()
         if added:

@@ -51,7 +51,10 @@ def message() -> Column:
     severities = F.transform("findings", lambda f: f["severity"])
     worst = F.when(F.array_contains(severities, "Violation"), "VIOLATION").when(F.array_contains(severities, "Warning"), "WARNING").otherwise("INFO")
     details = F.array_join(F.transform("findings", lambda f: F.concat(F.lit("["), f["severity"], F.lit("] "), f["detail"])), "; ")
-    return F.when(F.size("findings") > 0, F.concat(F.lit("SCHEMA "), worst, F.lit(" ("), F.coalesce("subject", F.lit("")), F.lit(" -"), F.coalesce("predicate", F.lit("")), F.lit("-> "), F.coalesce("object", F.lit("")), F.lit("): "), details))
+    return F.when(
+        F.size("findings") > 0,
+        F.concat(F.lit("SCHEMA "), worst, F.lit(" ("), F.coalesce("subject", F.lit("")), F.lit(" -"), F.coalesce("predicate", F.lit("")), F.lit("-> "), F.coalesce("object", F.lit("")), F.lit("): "), details),
+    )
 
 
 def validate(triples: DataFrame, vocabulary: Vocabulary, strict: bool = False, doc: str = "source_doc") -> DataFrame:

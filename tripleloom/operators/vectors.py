@@ -63,10 +63,20 @@ def encode(df: DataFrame, text: str, encoder, out: str = "vec") -> DataFrame:
 
 def entity_texts(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, text): the id, then its eight most confident facts with their evidence, joined by ' | '."""
-    top = top_per_key(triples.select("subject", "predicate", "object", "evidence", "confidence", "triple_id", *[c for c in ("row_id",) if c in triples.columns]), ["subject"], [F.desc_nulls_last("confidence"), F.col("triple_id"), *[F.col(c) for c in ("row_id",) if c in triples.columns]], 8)
+    top = top_per_key(
+        triples.select("subject", "predicate", "object", "evidence", "confidence", "triple_id", *[c for c in ("row_id",) if c in triples.columns]),
+        ["subject"], [F.desc_nulls_last("confidence"), F.col("triple_id"), *[F.col(c) for c in ("row_id",) if c in triples.columns]], 8,
+    )
     rank = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("c"), F.col("triple_id"), *[F.col(c) for c in ("row_id",) if c in triples.columns])
-    parts = F.when(F.col("predicate").isin(UNSERIALISED), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.concat(F.col("predicate"), F.lit(": "), F.col("object")), F.when(F.length("evidence") > 10, F.substring("evidence", 1, 120)))))
-    texts = top.select("subject", F.struct(rank.alias("r"), parts.alias("p")).alias("x")).groupBy("subject").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # eight at most
+    parts = (
+        F.when(F.col("predicate").isin(UNSERIALISED), F.array().cast("array<string>"))
+        .otherwise(F.array_compact(F.array(F.concat(F.col("predicate"), F.lit(": "), F.col("object")), F.when(F.length("evidence") > 10, F.substring("evidence", 1, 120)))))
+    )
+    texts = (  # eight at most
+        top.select("subject", F.struct(rank.alias("r"), parts.alias("p")).alias("x"))
+        .groupBy("subject")
+        .agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    )
     joined = texts.select(F.col("subject").alias("id"), F.flatten(F.transform("xs", lambda x: x["p"])).alias("ps"))
     ids = entities.select("id").filter("id is not null").distinct()
     return ids.join(joined, "id", "left").select("id", F.concat_ws(" | ", "id", F.coalesce("ps", F.array().cast("array<string>"))).alias("text"))
@@ -74,10 +84,18 @@ def entity_texts(triples: DataFrame, entities: DataFrame) -> DataFrame:
 
 def adjacency(triples: DataFrame, ids: DataFrame, noise: list[str] = NOISE_PREDICATES) -> DataFrame:
     """(src, dst), both directions, distinct, no loops: edges between given ids (id) of predicates that are no noise."""
-    e = triples.filter(~F.col("predicate").isin(noise)).filter("subject <> object").select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).distinct()
+    e = (
+        triples.filter(~F.col("predicate").isin(noise))
+        .filter("subject <> object")
+        .select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b"))
+        .distinct()
+    )
     have = ids.select("id").distinct()
     e = e.join(have.withColumnRenamed("id", "a"), "a", "left_semi").join(have.withColumnRenamed("id", "b"), "b", "left_semi")
-    return e.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.src", "e.dst")
+    return (
+        e.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
+        .select("e.src", "e.dst")
+    )
 
 
 def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +186,9 @@ def forward(concat: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return act / norm, pre, norm
 
 
-def gradient(u: np.ndarray, v: np.ndarray, n: np.ndarray, negatives: np.ndarray, w: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
+def gradient(
+    u: np.ndarray, v: np.ndarray, n: np.ndarray, negatives: np.ndarray, w: np.ndarray, apart: np.ndarray | None = None,
+) -> tuple[np.ndarray, float, float]:
     """Gradient, loss and weight of a batch of pairs: rows of u and v are inputs (own, mean), n their
     counts. ``apart`` (pairs x negatives) says how often a pair is told apart from each of the inputs
     ``negatives``; None is once from all."""
@@ -204,14 +224,20 @@ def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.
     driver holds; each epoch adds up gradients of the partitions in two steps on the executors. A pair is
     told apart from ``negatives`` inputs, chosen anew each epoch by its hash out of ``POOL``. Where a step
     made the loss larger, the next one starts from the best weights so far with half the rate; the best are returned."""
-    inputs = materialise(vectors.join(neighbour_means(vectors, adj), "id").select("id", F.concat("vec", F.transform("mean", lambda x: x.cast("float"))).cast("array<float>").alias("x")), "inputs")
+    inputs = materialise(
+        vectors.join(neighbour_means(vectors, adj), "id").select("id", F.concat("vec", F.transform("mean", lambda x: x.cast("float"))).cast("array<float>").alias("x")),
+        "inputs",
+    )
     first = inputs.head(1)
     dim = len(vectors.head(1)[0]["vec"]) if first else 1
     w, losses = initial_weights(dim, seed), []
     if not first:
         return w, losses
     pairs = walk_pairs(adj, None, 5, seed)
-    rows = materialise(pairs.join(inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").join(inputs.select(F.col("id").alias("dst"), F.col("x").alias("v")), "dst").select("u", "v", "n", F.xxhash64(F.lit(seed), "src", "dst").alias("k")), "pairs")
+    rows = materialise(
+        pairs.join(inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").join(inputs.select(F.col("id").alias("dst"), F.col("x").alias("v")), "dst").select("u", "v", "n", F.xxhash64(F.lit(seed), "src", "dst").alias("k")),
+        "pairs",
+    )
     pool = np.array([r["x"] for r in inputs.select("x", F.xxhash64(F.lit(seed), "id").alias("h"), "id").orderBy("h", "id").limit(POOL).collect()], np.float64)
     best, held, step = math.inf, w, None
     for epoch in range(epochs):
@@ -233,7 +259,15 @@ def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.
         shape = "g array<double>, loss double, n double"
         parts = rows.mapInPandas(part, shape)  # one gradient a partition
         few = max(1, math.isqrt(shuffle_partitions(rows.sparkSession)))
-        parts = parts.withColumn("at", F.spark_partition_id()).repartition(few, "at").sortWithinPartitions("at").mapInPandas(_added, shape).coalesce(1).mapInPandas(_added, shape).collect()  # one row
+        parts = (  # one row
+            parts.withColumn("at", F.spark_partition_id())
+            .repartition(few, "at")
+            .sortWithinPartitions("at")
+            .mapInPandas(_added, shape)
+            .coalesce(1)
+            .mapInPandas(_added, shape)
+            .collect()
+        )
         n = sum(p["n"] for p in parts) or 1.0
         losses.append(sum(p["loss"] for p in parts) / n)
         if losses[-1] < best:
@@ -260,7 +294,10 @@ def aggregate(vectors: DataFrame, adj: DataFrame, w: np.ndarray, layers: int = 2
             yield pd.DataFrame({"id": f["id"], "vec": list(out.astype(np.float32))})
 
     for _ in range(layers):
-        vectors = materialise(vectors.join(neighbour_means(vectors, adj), "id", "left").select("id", "vec", "mean").mapInPandas(layer, "id string, vec array<float>"), "layer")
+        vectors = materialise(
+            vectors.join(neighbour_means(vectors, adj), "id", "left").select("id", "vec", "mean").mapInPandas(layer, "id string, vec array<float>"),
+            "layer",
+        )
     return vectors
 
 
@@ -291,7 +328,10 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 10, same_group: bool =
     dc = d.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # other names than the data's: queries are mostly rows of the same table
     q = q.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), *[F.col(g).alias(f"q_{g}") for g in group])
-    qc = q.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    qc = (
+        q.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
+        .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    )
     wide = 4 * k if quantised else k
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -61,7 +61,10 @@ def note(k: int, name: str, r: int) -> str:
     return f"# {name}\nLies in [[Region {r}]] and [map](https://www.map{k}.example.org/at) #nation\n"
 
 
-_NOTE = "'# ' || n_name || chr(10) || 'Lies in [[Region ' || n_regionkey || ']] and [map](https://www.map' || n_nationkey || '.example.org/at) #nation' || chr(10)"
+_NOTE = (
+    "'# ' || n_name || chr(10) || 'Lies in [[Region ' || n_regionkey || ']] and [map](https://www.map' || n_nationkey || '.example.org/at) #nation' || "
+    "chr(10)"
+)
 
 
 def tree(spark: SparkSession, d: str) -> str:
@@ -75,7 +78,11 @@ def tree(spark: SparkSession, d: str) -> str:
 _PATH = "'notes/n' || lpad(n_nationkey::VARCHAR, 2, '0') || '.md'"
 
 
-@q(f"SELECT adapter, {_PATH} AS relative_path, 'doc:' || substr(sha256({_PATH}), 1, 16) AS doc_id, octet_length(encode({_NOTE}))::BIGINT AS size_bytes, row_number() OVER (PARTITION BY adapter ORDER BY {_PATH}) AS place FROM nation, (VALUES ('universal'), ('vault'), ('vault, notes only')) AS a(adapter)")
+@q(
+    f"SELECT adapter, {_PATH} AS relative_path, 'doc:' || substr(sha256({_PATH}), 1, 16) AS doc_id, octet_length(encode({_NOTE}))::BIGINT AS size_bytes, "
+    f"row_number() OVER (PARTITION BY adapter ORDER BY {_PATH}) AS place FROM nation, (VALUES ('universal'), ('vault'), ('vault, notes only')) AS "
+    f"a(adapter)"
+)
 def files_scanned(s, d):
     root = tree(s, d)
     both = files.scan(s, root, "universal").withColumn("adapter", F.lit("universal")).union(files.scan(s, root, "vault").withColumn("adapter", F.lit("vault")))
@@ -150,27 +157,45 @@ def files_extracted(s, d):
     return notes.union(csv).select("source_doc", "predicate", "object", "target_kind", "place")
 
 
-@q("SELECT 'dry run' AS step, count(*) AS scanned, 0::BIGINT AS extracted, 0::BIGINT AS added, 0::BIGINT AS skipped, 0::BIGINT AS rejected FROM nation UNION ALL SELECT 'first', count(*), count(*), 5 * count(*), 0, 0 FROM nation UNION ALL SELECT 'again', count(*), count(*), 0, 5 * count(*), 0 FROM nation")
+@q(
+    "SELECT 'dry run' AS step, count(*) AS scanned, 0::BIGINT AS extracted, 0::BIGINT AS added, 0::BIGINT AS skipped, 0::BIGINT AS rejected FROM nation "
+    "UNION ALL SELECT 'first', count(*), count(*), 5 * count(*), 0, 0 FROM nation UNION ALL SELECT 'again', count(*), count(*), 0, 5 * count(*), 0 FROM "
+    "nation"
+)
 def engine_ingest(s, d):
     e, root = Engine(s, scratch_folder(s, "graph")), tree(s, d)
     steps = [("dry run", e.ingest(root, "vault", dry_run=True)), ("first", e.ingest(root, "vault")), ("again", e.ingest(root, "vault"))]
-    return s.createDataFrame([(n, r.scanned, r.extracted, r.added, r.skipped, r.rejected) for n, r in steps], "step string, scanned long, extracted long, added long, skipped long, rejected long")
+    return s.createDataFrame(
+        [(n, r.scanned, r.extracted, r.added, r.skipped, r.rejected) for n, r in steps],
+        "step string, scanned long, extracted long, added long, skipped long, rejected long",
+    )
 
 
-@q(f"SELECT 'first: ' || count(*) AS step, count(*) AS files FROM nation UNION ALL SELECT 'broken/n' || lpad(n_nationkey::VARCHAR, 2, '0') || '.docx: BadZipFile: File is not a zip file', 1 FROM nation UNION ALL SELECT 'triples', 5 * count(*) + count(*) FROM nation")
+@q(
+    f"SELECT 'first: ' || count(*) AS step, count(*) AS files FROM nation UNION ALL SELECT 'broken/n' || lpad(n_nationkey::VARCHAR, 2, '0') || '.docx: "
+    f"BadZipFile: File is not a zip file', 1 FROM nation UNION ALL SELECT 'triples', 5 * count(*) + count(*) FROM nation"
+)
 def ingest_errors(s, d):
     """Files that cannot be read are reported one by one and stop nothing; only the rest gives facts beyond its type."""
     rows = nations(s, d)
     found = {f"notes/n{k:02}.md": note(k, n, r) for k, n, r in rows} | {f"broken/n{k:02}.docx": "no archive" for k, _, _ in rows} | {f"plain/n{k:02}.txt": "words" for k, _, _ in rows}
     e = Engine(s, scratch_folder(s, "graph"))
     r = e.ingest(write_files(s, found, "broken"), "universal")
-    return s.createDataFrame([(f"first: {len(r.messages)}", r.scanned - 2 * len(rows)), *((m, 1) for m in r.messages), ("triples", r.added)], "step string, files long")
+    return s.createDataFrame(
+        [(f"first: {len(r.messages)}", r.scanned - 2 * len(rows)), *((m, 1) for m in r.messages), ("triples", r.added)], "step string, files long",
+    )
 
 
-_ENTITIES = f"SELECT 'doc:' || substr(sha256({_PATH}), 1, 16) AS id FROM nation UNION SELECT 'md' UNION SELECT n_name FROM nation UNION SELECT {_REGION} FROM nation UNION SELECT {_HOST} FROM nation UNION SELECT 'nation'"
+_ENTITIES = (
+    f"SELECT 'doc:' || substr(sha256({_PATH}), 1, 16) AS id FROM nation UNION SELECT 'md' UNION SELECT n_name FROM nation UNION SELECT {_REGION} FROM "
+    f"nation UNION SELECT {_HOST} FROM nation UNION SELECT 'nation'"
+)
 
 
-@q(f"WITH e AS ({_ENTITIES}), n AS (SELECT count(*) AS n FROM e) SELECT 'first' AS step, n AS encoded, 0::BIGINT AS skipped, n AS stored FROM n UNION ALL SELECT 'again', 0, n, n FROM n UNION ALL SELECT 'one more note', 3, n, n + 3 FROM n")
+@q(
+    f"WITH e AS ({_ENTITIES}), n AS (SELECT count(*) AS n FROM e) SELECT 'first' AS step, n AS encoded, 0::BIGINT AS skipped, n AS stored FROM n UNION ALL "
+    f"SELECT 'again', 0, n, n FROM n UNION ALL SELECT 'one more note', 3, n, n + 3 FROM n"
+)
 def embed_incremental(s, d):
     """Vectors are made for entities without one: a further note brings its id, its heading and a link."""
     e = Engine(s, scratch_folder(s, "graph"), encoder=NGramEncoder(32))
@@ -181,7 +206,11 @@ def embed_incremental(s, d):
     return s.createDataFrame([(n, r["entities"], r.get("skipped", 0), c) for n, r, c in steps], "step string, encoded long, skipped long, stored long")
 
 
-@q("SELECT path, status FROM (VALUES ('GET /health', 200), ('GET /graph/stats', 200), ('GET /graph/path', 200), ('GET /graph/node', 200), ('GET /graph/provenance', 200), ('GET /none', 404)) AS v(path, status) UNION ALL SELECT 'triples', (5 * count(*))::INT FROM nation UNION ALL SELECT 'provenance of the tag', count(*)::INT FROM nation")
+@q(
+    "SELECT path, status FROM (VALUES ('GET /health', 200), ('GET /graph/stats', 200), ('GET /graph/path', 200), ('GET /graph/node', 200), ('GET "
+    "/graph/provenance', 200), ('GET /none', 404)) AS v(path, status) UNION ALL SELECT 'triples', (5 * count(*))::INT FROM nation UNION ALL SELECT "
+    "'provenance of the tag', count(*)::INT FROM nation"
+)
 def rest_routes(s, d):
     e = Engine(s, scratch_folder(s, "graph"))
     e.ingest(tree(s, d), "vault")
@@ -228,12 +257,19 @@ def stream_ingest(s, d):
 
 # --- the store over the triples ----------------------------------------------------------------
 
-_GOOD = "subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND confidence BETWEEN 0 AND 1 AND layer IN ('source_facts', 'normalised_triples', 'inferred_relations', 'llm_hypotheses')"
+_GOOD = (
+    "subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND confidence BETWEEN 0 AND 1 AND layer IN ('source_facts', "
+    "'normalised_triples', 'inferred_relations', 'llm_hypotheses')"
+)
 
 
 def good(s: SparkSession, d: str) -> DataFrame:
     """The rows that a store with checks takes."""
-    return table(s, d, "triples").filter("subject is not null and predicate is not null and object is not null").filter(F.col("confidence").between(0, 1) & F.col("layer").isin(LAYERS))
+    return (
+        table(s, d, "triples")
+        .filter("subject is not null and predicate is not null and object is not null")
+        .filter(F.col("confidence").between(0, 1) & F.col("layer").isin(LAYERS))
+    )
 
 
 def filled(s: SparkSession, d: str) -> tuple[TripleStore, list[tuple[str, int, int]]]:
@@ -245,13 +281,22 @@ def filled(s: SparkSession, d: str) -> tuple[TripleStore, list[tuple[str, int, i
 _G = f"g AS (SELECT * FROM triples WHERE {_GOOD}), a AS (SELECT DISTINCT triple_id FROM g WHERE layer = 'source_facts')"
 
 
-@q(f"WITH {_G}, n AS (SELECT count(DISTINCT triple_id) AS d, count(*) AS n FROM g), m AS (SELECT count(DISTINCT triple_id) AS d, count(*) AS n FROM g WHERE layer = 'source_facts') SELECT 'source facts' AS step, m.d AS added, m.n - m.d AS skipped FROM m UNION ALL SELECT 'all', n.d - m.d, n.n - n.d + m.d FROM n, m UNION ALL SELECT 'again', 0, n.n FROM n")
+@q(
+    f"WITH {_G}, n AS (SELECT count(DISTINCT triple_id) AS d, count(*) AS n FROM g), m AS (SELECT count(DISTINCT triple_id) AS d, count(*) AS n FROM g "
+    f"WHERE layer = 'source_facts') SELECT 'source facts' AS step, m.d AS added, m.n - m.d AS skipped FROM m UNION ALL SELECT 'all', n.d - m.d, n.n - n.d "
+    f"+ m.d FROM n, m UNION ALL SELECT 'again', 0, n.n FROM n"
+)
 def store_inserts(s, d):
     return s.createDataFrame(filled(s, d)[1], "step string, added long, skipped long")
 
 
 # rows in the store: the first of each triple_id, source facts before all others
-_STORED = f"{_G}, r AS (SELECT *, CASE WHEN triple_id IN (SELECT triple_id FROM a) THEN 0 ELSE 1 END AS b FROM g), k AS (SELECT * FROM r WHERE b = 1 OR layer = 'source_facts' QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY row_id) = 1), e AS (SELECT subject AS id, source_kind AS kind, b, row_id * 2 AS seq FROM k UNION ALL SELECT object, target_kind, b, row_id * 2 + 1 FROM k), f AS (SELECT id, kind FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY b, seq) = 1)"
+_STORED = (
+    f"{_G}, r AS (SELECT *, CASE WHEN triple_id IN (SELECT triple_id FROM a) THEN 0 ELSE 1 END AS b FROM g), k AS (SELECT * FROM r WHERE b = 1 OR layer = "
+    f"'source_facts' QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY row_id) = 1), e AS (SELECT subject AS id, source_kind AS kind, b, row_id * "
+    f"2 AS seq FROM k UNION ALL SELECT object, target_kind, b, row_id * 2 + 1 FROM k), f AS (SELECT id, kind FROM e QUALIFY row_number() OVER (PARTITION "
+    f"BY id ORDER BY b, seq) = 1)"
+)
 
 
 @q(f"WITH {_STORED} SELECT triple_id, subject, predicate, object, layer FROM k")
@@ -269,9 +314,15 @@ def store_kind_conflicts(s, d):
     return filled(s, d)[0].kind_conflicts()
 
 
-@q(f"WITH {_STORED}, x AS (SELECT * FROM k WHERE layer <> 'llm_hypotheses') SELECT 'triples' AS what, count(*) AS n FROM x UNION ALL SELECT 'purged', count(*) FROM k WHERE layer = 'llm_hypotheses' UNION ALL SELECT 'entities', count(*) FROM (SELECT subject FROM x UNION SELECT object FROM x) UNION ALL SELECT 'batches', 1")
+@q(
+    f"WITH {_STORED}, x AS (SELECT * FROM k WHERE layer <> 'llm_hypotheses') SELECT 'triples' AS what, count(*) AS n FROM x UNION ALL SELECT 'purged', "
+    f"count(*) FROM k WHERE layer = 'llm_hypotheses' UNION ALL SELECT 'entities', count(*) FROM (SELECT subject FROM x UNION SELECT object FROM x) UNION "
+    f"ALL SELECT 'batches', 1"
+)
 def store_purge(s, d):
     store = filled(s, d)[0]
     gone = store.purge("llm_hypotheses")
     st = store.stats()
-    return s.createDataFrame([("triples", st["triples"]), ("purged", gone), ("entities", st["entities"]), ("batches", len(store.batches()))], "what string, n long")
+    return s.createDataFrame(
+        [("triples", st["triples"]), ("purged", gone), ("entities", st["entities"]), ("batches", len(store.batches()))], "what string, n long",
+    )

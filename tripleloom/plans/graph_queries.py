@@ -59,14 +59,22 @@ def one(spark: SparkSession, value: str) -> DataFrame:
 # --- store -------------------------------------------------------------------------------------
 
 
-@q("SELECT row_id, substr(sha256(coalesce(subject, '') || '|' || coalesce(predicate, '') || '|' || coalesce(object, '') || '|' || coalesce(source_doc, '') || '|' || coalesce(layer, '')), 1, 24) AS computed_id FROM triples")
+@q(
+    "SELECT row_id, substr(sha256(coalesce(subject, '') || '|' || coalesce(predicate, '') || '|' || coalesce(object, '') || '|' || coalesce(source_doc, "
+    "'') || '|' || coalesce(layer, '')), 1, 24) AS computed_id FROM triples"
+)
 def triple_ids(s, d):
     return store.with_triple_ids(triples(s, d)).select("row_id", "computed_id")
 
 
 @q("SELECT 'entities' AS what, count(DISTINCT id) AS n FROM entities UNION ALL SELECT 'triples', count(*) FROM triples")
 def stats_totals(s, d):
-    return table(s, d, "entities").agg(F.countDistinct("id").alias("n")).select(F.lit("entities").alias("what"), "n").union(triples(s, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("triples").alias("what"), "n"))
+    return (
+        table(s, d, "entities")
+        .agg(F.countDistinct("id").alias("n"))
+        .select(F.lit("entities").alias("what"), "n")
+        .union(triples(s, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("triples").alias("what"), "n"))
+    )
 
 
 @q("SELECT layer, count(*) AS n FROM triples GROUP BY 1")
@@ -84,17 +92,29 @@ def store_query_filter(s, d):
     return store.query(triples(s, d), predicate="LINKS_TO", layer="source_facts").select("row_id", "triple_id", "subject", "object")
 
 
-@q(f"WITH {_FOCUS}, k AS (SELECT id, min(kind) AS subject_kind FROM entities GROUP BY 1) SELECT row_id, triple_id, subject, predicate, object, timestamp, subject_kind FROM triples JOIN k ON subject = id WHERE subject = (SELECT s FROM f) OR object = (SELECT s FROM f)")
+@q(
+    f"WITH {_FOCUS}, k AS (SELECT id, min(kind) AS subject_kind FROM entities GROUP BY 1) SELECT row_id, triple_id, subject, predicate, object, timestamp, "
+    f"subject_kind FROM triples JOIN k ON subject = id WHERE subject = (SELECT s FROM f) OR object = (SELECT s FROM f)"
+)
 def provenance_lookup(s, d):
-    return store.provenance(triples(s, d), table(s, d, "entities"), focus(s, d)).select("row_id", "triple_id", "subject", "predicate", "object", "timestamp", "subject_kind")
+    return (
+        store.provenance(triples(s, d), table(s, d, "entities"), focus(s, d))
+        .select("row_id", "triple_id", "subject", "predicate", "object", "timestamp", "subject_kind")
+    )
 
 
-@q(f"WITH {_FOCUS} (SELECT row_id, triple_id, 'out' AS direction FROM triples WHERE subject = (SELECT s FROM f) ORDER BY triple_id, row_id LIMIT 25) UNION ALL (SELECT row_id, triple_id, 'in' FROM triples WHERE object = (SELECT s FROM f) ORDER BY triple_id, row_id LIMIT 25)")
+@q(
+    f"WITH {_FOCUS} (SELECT row_id, triple_id, 'out' AS direction FROM triples WHERE subject = (SELECT s FROM f) ORDER BY triple_id, row_id LIMIT 25) "
+    f"UNION ALL (SELECT row_id, triple_id, 'in' FROM triples WHERE object = (SELECT s FROM f) ORDER BY triple_id, row_id LIMIT 25)"
+)
 def node_view(s, d):
     return store.node_view(triples(s, d), focus(s, d), 25).select("row_id", "triple_id", "direction")
 
 
-_ENDS = "e AS (SELECT subject AS id, source_kind AS kind, row_id * 2 AS seq FROM triples UNION ALL SELECT object, target_kind, row_id * 2 + 1 FROM triples), k AS (SELECT id, kind FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
+_ENDS = (
+    "e AS (SELECT subject AS id, source_kind AS kind, row_id * 2 AS seq FROM triples UNION ALL SELECT object, target_kind, row_id * 2 + 1 FROM triples), "
+    "k AS (SELECT id, kind FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
+)
 
 
 @q(f"WITH {_ENDS} SELECT id, kind FROM k")
@@ -107,19 +127,29 @@ def kind_conflicts(s, d):
     return store.kind_conflicts(triples(s, d), "row_id")
 
 
-@q("WITH i AS (SELECT triple_id, count(*) AS n FROM triples GROUP BY 1), o AS (SELECT DISTINCT triple_id FROM triples WHERE layer = 'source_facts') SELECT sum(CASE WHEN o.triple_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS added, sum(CASE WHEN o.triple_id IS NULL THEN n - 1 ELSE n END)::BIGINT AS skipped FROM i LEFT JOIN o ON i.triple_id = o.triple_id")
+@q(
+    "WITH i AS (SELECT triple_id, count(*) AS n FROM triples GROUP BY 1), o AS (SELECT DISTINCT triple_id FROM triples WHERE layer = 'source_facts') "
+    "SELECT sum(CASE WHEN o.triple_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS added, sum(CASE WHEN o.triple_id IS NULL THEN n - 1 ELSE n END)::BIGINT AS "
+    "skipped FROM i LEFT JOIN o ON i.triple_id = o.triple_id"
+)
 def upsert_counts(s, d):
     t = triples(s, d)
     return store.insert_counts(t.filter("layer = 'source_facts'"), t)
 
 
-@q("SELECT min(row_id) AS row_id, triple_id FROM triples WHERE triple_id NOT IN (SELECT triple_id FROM triples WHERE layer = 'source_facts') GROUP BY triple_id")
+@q(
+    "SELECT min(row_id) AS row_id, triple_id FROM triples WHERE triple_id NOT IN (SELECT triple_id FROM triples WHERE layer = 'source_facts') GROUP BY "
+    "triple_id"
+)
 def upsert_new_rows(s, d):
     t = triples(s, d)
     return store.new_triples(t.filter("layer = 'source_facts'"), t, "row_id").select("row_id", "triple_id")
 
 
-@q("WITH a AS (SELECT subject AS id FROM triples UNION SELECT object FROM triples), k AS (SELECT subject AS id FROM triples WHERE layer IS DISTINCT FROM 'source_facts' UNION SELECT object FROM triples WHERE layer IS DISTINCT FROM 'source_facts') SELECT id FROM a EXCEPT SELECT id FROM k")
+@q(
+    "WITH a AS (SELECT subject AS id FROM triples UNION SELECT object FROM triples), k AS (SELECT subject AS id FROM triples WHERE layer IS DISTINCT FROM "
+    "'source_facts' UNION SELECT object FROM triples WHERE layer IS DISTINCT FROM 'source_facts') SELECT id FROM a EXCEPT SELECT id FROM k"
+)
 def purge_layer_orphans(s, d):
     t = triples(s, d)
     ents = store.first_kinds(t, "row_id")
@@ -127,7 +157,10 @@ def purge_layer_orphans(s, d):
     return ents.join(kept.select("id"), "id", "left_anti").select("id")
 
 
-@q("SELECT row_id, 'confidence' AS reason FROM triples WHERE NOT coalesce(confidence BETWEEN 0 AND 1, false) UNION ALL SELECT row_id, 'layer' FROM triples WHERE coalesce(layer, '') NOT IN ('source_facts', 'normalised_triples', 'inferred_relations', 'llm_hypotheses')")
+@q(
+    "SELECT row_id, 'confidence' AS reason FROM triples WHERE NOT coalesce(confidence BETWEEN 0 AND 1, false) UNION ALL SELECT row_id, 'layer' FROM "
+    "triples WHERE coalesce(layer, '') NOT IN ('source_facts', 'normalised_triples', 'inferred_relations', 'llm_hypotheses')"
+)
 def row_checks(s, d):
     return store.row_checks(triples(s, d))
 
@@ -178,10 +211,16 @@ def expand_capped_holds(s, d):
     rows = graph.expand_capped(triples(s, d), [focus(s, d)], 2)
     ids = [r["triple_id"] for r in rows]
     near = {r["node"] for r in graph.hop_distances(triples(s, d).filter(F.col("layer").isin(TRUSTED)), one(s, focus(s, d)), 2).collect()} if len(rows) <= 550 else set()
-    return s.createDataFrame([(len(ids) <= 550, len(ids) == len(set(ids)), all(r["subject"] in near or r["object"] in near for r in rows))], "within_caps boolean, once boolean, within_reach boolean")
+    return s.createDataFrame(
+        [(len(ids) <= 550, len(ids) == len(set(ids)), all(r["subject"] in near or r["object"] in near for r in rows))],
+        "within_caps boolean, once boolean, within_reach boolean",
+    )
 
 
-@q(f"WITH RECURSIVE {_FOCUS}, {_reach('true', 3)}, n AS (SELECT n, min(d) AS d FROM r GROUP BY 1) SELECT max(d)::INT AS steps, true AS joined, true AS known FROM n")
+@q(
+    f"WITH RECURSIVE {_FOCUS}, {_reach('true', 3)}, n AS (SELECT n, min(d) AS d FROM r GROUP BY 1) SELECT max(d)::INT AS steps, true AS joined, true AS "
+    f"known FROM n"
+)
 def path_holds(s, d):
     """A shortest path to one of the farthest nodes: as many edges as hops, each meets the next, all are triples."""
     t, a = triples(s, d), focus(s, d)
@@ -196,7 +235,10 @@ def path_holds(s, d):
     return s.createDataFrame([(len(p), joined and at == far["node"], known)], "steps int, joined boolean, known boolean")
 
 
-_NOISE = f"SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM triples WHERE predicate NOT IN {_in(NOISE_PREDICATES)} AND subject <> object AND subject IN (SELECT id FROM entities) AND object IN (SELECT id FROM entities)"
+_NOISE = (
+    f"SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM triples WHERE predicate NOT IN {_in(NOISE_PREDICATES)} AND subject "
+    f"<> object AND subject IN (SELECT id FROM entities) AND object IN (SELECT id FROM entities)"
+)
 
 
 @q(f"WITH e AS ({_NOISE}), s AS (SELECT a AS id FROM e UNION ALL SELECT b FROM e) SELECT id, count(*) AS degree FROM s GROUP BY 1")
@@ -204,7 +246,10 @@ def adjacency_degree(s, d):
     return vectors.adjacency(triples(s, d), table(s, d, "entities")).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-_COMPONENTS = "WITH RECURSIVE e AS (SELECT subject AS a, object AS b FROM triples WHERE predicate IN ('SIMILAR_TO', 'SAME_AS')), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS seen FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.seen = s.a)"
+_COMPONENTS = (
+    "WITH RECURSIVE e AS (SELECT subject AS a, object AS b FROM triples WHERE predicate IN ('SIMILAR_TO', 'SAME_AS')), s AS (SELECT a, b FROM e UNION "
+    "SELECT b, a FROM e), r AS (SELECT a AS id, a AS seen FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.seen = s.a)"
+)
 
 
 @q(f"{_COMPONENTS} SELECT id, arg_min(seen, (length(seen), seen)) AS root FROM r GROUP BY 1")
@@ -229,23 +274,41 @@ _NOTES = """documents AS (SELECT p_partkey AS doc_id, '# ' || p_name || chr(10)
 
 def notes(s, d) -> DataFrame:
     """Texts rendered from parts, so that every rule has input."""
-    text = "concat('# ', p_name, '\\n', upper(p_name), '\\n', 'See [[', p_type, '#top|it]] and [', p_name, '](HTTPS://Host', p_size, '.Example.org/a?b=', p_partkey, ') #', replace(p_brand, '#', '-'), ', or http://www', p_size, '.example.com/x', '\\r\\n', '  ## ', p_brand, '  ')"
+    text = (
+        "concat('# ', p_name, '\\n', upper(p_name), '\\n', 'See [[', p_type, '#top|it]] and [', p_name, '](HTTPS://Host', p_size, '.Example.org/a?b=', "
+        "p_partkey, ') #', replace(p_brand, '#', '-'), ', or http://www', p_size, '.example.com/x', '\\r\\n', '  ## ', p_brand, '  ')"
+    )
     return table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(text).alias("text"))
 
 
 def _rule(s, d, no: int, adapter: str = "universal", rendered: bool = False) -> DataFrame:
-    return rules.candidates(notes(s, d) if rendered else table(s, d, "documents"), "doc_id", "text", rules._rules(adapter)).filter(F.col("rule") == no).select("doc_id", "line_no", "match", "object")
+    return (
+        rules.candidates(notes(s, d) if rendered else table(s, d, "documents"), "doc_id", "text", rules._rules(adapter))
+        .filter(F.col("rule") == no)
+        .select("doc_id", "line_no", "match", "object")
+    )
 
 
 _HEAD = rf"^(#{{1,6}}){_W}+(.+?){_W}*$"
 
 
-@q(f"WITH {_LINES} SELECT doc_id, line_no, {_strip(f'''regexp_extract(line, '{_HEAD}', 2)''')} AS object, 'heading:h' || length(regexp_extract(line, '{_HEAD}', 1)) AS kind FROM t WHERE regexp_matches(line, '{_HEAD}')")
+@q(
+    f"WITH {_LINES} SELECT doc_id, line_no, {_strip(f'''regexp_extract(line, '{_HEAD}', 2)''')} AS object, 'heading:h' || length(regexp_extract(line, "
+    f"'{_HEAD}', 1)) AS kind FROM t WHERE regexp_matches(line, '{_HEAD}')"
+)
 def rule_heading(s, d):
-    return rules.candidates(table(s, d, "documents"), "doc_id", "text", rules._rules("universal")).filter("rule = 0").select("doc_id", "line_no", "object", "kind")
+    return (
+        rules.candidates(table(s, d, "documents"), "doc_id", "text", rules._rules("universal"))
+        .filter("rule = 0")
+        .select("doc_id", "line_no", "object", "kind")
+    )
 
 
-@q(rf"WITH {_NOTES}, {_LINES} SELECT doc_id, line_no, array_to_string(list_transform(regexp_extract_all(line, '\p{{L}}+|\P{{L}}+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS object FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, '{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')")
+@q(
+    rf"WITH {_NOTES}, {_LINES} SELECT doc_id, line_no, array_to_string(list_transform(regexp_extract_all(line, '\p{{L}}+|\P{{L}}+'), lambda p: upper(p[1]) "
+    rf"|| lower(p[2:])), '') AS object FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, "
+    rf"'{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')"
+)
 def notes_caps_heading(s, d):
     return _rule(s, d, 1, rendered=True).drop("match")
 
@@ -267,7 +330,10 @@ def rule_wiki_link(s, d):
 _MD = r"\[([^\]]{1,160})\]\(([^)]+)\)"
 
 
-@q(rf"WITH {_NOTES}, {_LINES} SELECT doc_id, line_no, lower(regexp_extract(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)', 1)) AS object FROM ({_matches(_MD, 2, True)}) WHERE regexp_matches(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)')")
+@q(
+    rf"WITH {_NOTES}, {_LINES} SELECT doc_id, line_no, lower(regexp_extract(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)', 1)) AS object FROM "
+    rf"({_matches(_MD, 2, True)}) WHERE regexp_matches(object, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)')"
+)
 def notes_markdown_link(s, d):
     return _rule(s, d, 3, rendered=True).drop("match")
 
@@ -277,17 +343,28 @@ def notes_url_host(s, d):
     return _rule(s, d, 4, rendered=True)
 
 
-@q(rf"WITH {_NOTES}, {_LINES} SELECT * FROM ({_matches(r'(?:^|[^\p{L}\p{N}\p{M}_/])#([A-Za-z][A-Za-z0-9_-]{1,60})' + chr(92) + 'b')}) WHERE (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM t WHERE line LIKE '#%')")
+@q(
+    rf"WITH {_NOTES}, {_LINES} SELECT * FROM ({_matches(r'(?:^|[^\p{L}\p{N}\p{M}_/])#([A-Za-z][A-Za-z0-9_-]{1,60})' + chr(92) + 'b')}) WHERE (doc_id, "
+    rf"line_no) NOT IN (SELECT doc_id, line_no FROM t WHERE line LIKE '#%')"
+)
 def notes_hashtag(s, d):
     return _rule(s, d, 5, rendered=True)
 
 
-@q(rf"WITH {_LINES}, k AS (SELECT doc_id, line_no, ltrim({_strip('''substr(line, 1, instr(line, ': ') - 1)''')}, '.') AS k, {_strip('''substr(line, instr(line, ': ') + 2)''')} AS v FROM t WHERE contains(line, ': ') AND NOT starts_with(line, '-') AND NOT starts_with(line, 'Columns:')) SELECT doc_id, line_no, k || '=' || v AS object FROM k WHERE k <> '' AND v <> '' AND length(v) < 200")
+@q(
+    rf"WITH {_LINES}, k AS (SELECT doc_id, line_no, ltrim({_strip('''substr(line, 1, instr(line, ': ') - 1)''')}, '.') AS k, {_strip('''substr(line, instr(line, ': ') + 2)''')} "
+    rf"AS v FROM t WHERE contains(line, ': ') AND NOT starts_with(line, '-') AND NOT starts_with(line, 'Columns:')) SELECT doc_id, line_no, k || '=' || v "
+    rf"AS object FROM k WHERE k <> '' AND v <> '' AND length(v) < 200"
+)
 def rule_key_value(s, d):
     return rules.candidates(table(s, d, "documents"), "doc_id", "text", rules._structured_rules()).filter("rule = 1").select("doc_id", "line_no", "object")
 
 
-@q(rf"WITH {_LINES}, c AS ({_matches(_WIKI, 1, True)}), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, object[:240] ORDER BY line_no, match) AS a FROM c WHERE object <> ''), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, match) AS place FROM x WHERE a = 1) SELECT doc_id, object, place FROM y WHERE place <= 40")
+@q(
+    rf"WITH {_LINES}, c AS ({_matches(_WIKI, 1, True)}), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, object[:240] ORDER BY line_no, match) AS a "
+    rf"FROM c WHERE object <> ''), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, match) AS place FROM x WHERE a = 1) SELECT "
+    rf"doc_id, object, place FROM y WHERE place <= 40"
+)
 def first_facts_links(s, d):
     found = rules.candidates(table(s, d, "documents"), "doc_id", "text", [rules._rules("universal")[2]])
     return rules.first_facts(found, 40).select("doc_id", "object", F.col("place").cast("long").alias("place"))
@@ -312,7 +389,10 @@ _TITLE = r"array_to_string(list_transform(regexp_extract_all(line, '\p{L}+|\P{L}
 _TAGRE = r"(?:^|[^\p{L}\p{N}\p{M}_/])#([A-Za-z][A-Za-z0-9_-]{1,60})" + chr(92) + "b"
 _LINKED = f"SELECT doc_id, line_no, {_strip('label')} AS label, {_strip('url')} AS url, match FROM ({_found(_MD, {'label': 1, 'url': 2})})"
 _HEADS = f"SELECT doc_id, line_no, line, 0 AS match, length(regexp_extract(line, '{_HEAD}', 1)) AS n, {_strip(f"""regexp_extract(line, '{_HEAD}', 2)""")} AS v FROM t WHERE regexp_matches(line, '{_HEAD}')"
-_CAPS = rf"SELECT doc_id, line_no, line, 0 AS match FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, '{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')"
+_CAPS = (
+    rf"SELECT doc_id, line_no, line, 0 AS match FROM t WHERE length(line) < 80 AND upper(line) = line AND lower(line) <> line AND "
+    rf"len(regexp_split_to_array(line, '{_W}+')) <= 8 AND NOT regexp_matches(line, '{_HEAD}')"
+)
 _UNIVERSAL = [
     _cand(0, "'CONTAINS_HEADING'", "v", "'heading:h' || n", "'H' || n || ': ' || v", 0.90, _HEADS),
     _cand(1, "'CONTAINS_HEADING'", _TITLE, "'heading'", "line", 0.70, _CAPS),
@@ -382,7 +462,11 @@ def _measure(text: str, system: str) -> str:
     return json.dumps({"triples": [{"subject": text[:20], "subject_type": "Concept", "predicate": "DEFINED_AS", "object": str(len(text)), "object_type": "Value", "confidence": 0.6 if len(text) > 500 else 0.9}]})
 
 
-@q(f"WITH {_SECTIONS} SELECT doc_id::VARCHAR AS source_doc, substr(section, 1, 20) AS subject, length(section)::VARCHAR AS object, CASE WHEN length(section) > 500 THEN 'llm_hypotheses' ELSE 'source_facts' END AS layer, CASE WHEN length(section) > 500 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM s WHERE NOT starts_with(section, '## ')")
+@q(
+    f"WITH {_SECTIONS} SELECT doc_id::VARCHAR AS source_doc, substr(section, 1, 20) AS subject, length(section)::VARCHAR AS object, CASE WHEN "
+    f"length(section) > 500 THEN 'llm_hypotheses' ELSE 'source_facts' END AS layer, CASE WHEN length(section) > 500 THEN 0.6 ELSE 0.9 END::DOUBLE AS "
+    f"confidence FROM s WHERE NOT starts_with(section, '## ')"
+)
 def llm_extraction(s, d):
     """Sections of all documents through a client and the reader of its replies; failed calls give nothing."""
     replies = extraction.call(extraction.sections(table(s, d, "documents")), _measure)
@@ -394,10 +478,20 @@ def json_flatten(s, d):
     return flatten_json_column(table(s, d, "events"), "event_id", "props")
 
 
-@q("SELECT subject, predicate, object, CASE WHEN coalesce(confidence, 0.8) < 0.75 THEN 'llm_hypotheses' ELSE 'source_facts' END AS layer, coalesce(confidence, 0.8) AS confidence FROM (SELECT substr(subject, 1, 240) AS subject, substr(predicate, 1, 80) AS predicate, substr(object, 1, 240) AS object, CASE WHEN confidence IS NOT NULL THEN least(1.0, greatest(0.0, confidence)) END AS confidence FROM triples WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)")
+@q(
+    "SELECT subject, predicate, object, CASE WHEN coalesce(confidence, 0.8) < 0.75 THEN 'llm_hypotheses' ELSE 'source_facts' END AS layer, "
+    "coalesce(confidence, 0.8) AS confidence FROM (SELECT substr(subject, 1, 240) AS subject, substr(predicate, 1, 80) AS predicate, substr(object, 1, "
+    "240) AS object, CASE WHEN confidence IS NOT NULL THEN least(1.0, greatest(0.0, confidence)) END AS confidence FROM triples WHERE subject IS NOT NULL "
+    "AND predicate IS NOT NULL AND object IS NOT NULL)"
+)
 def llm_reply_parse(s, d):
-    item = F.struct("subject", F.col("source_kind").alias("subject_type"), "predicate", "object", F.col("target_kind").alias("object_type"), "evidence", "confidence")
-    replies = triples(s, d).select(F.col("source_doc").alias("doc_id"), F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("triples"))), F.lit("\n```")).alias("reply"))
+    item = F.struct(
+        "subject", F.col("source_kind").alias("subject_type"), "predicate", "object", F.col("target_kind").alias("object_type"), "evidence", "confidence",
+    )
+    replies = (
+        triples(s, d)
+        .select(F.col("source_doc").alias("doc_id"), F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("triples"))), F.lit("\n```")).alias("reply"))
+    )
     return extraction.parse_replies(replies).select("subject", "predicate", "object", "layer", "confidence")
 
 
@@ -457,18 +551,35 @@ def names(s, d) -> DataFrame:
 _NORM = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 _NAMES = "e AS (SELECT id, kind FROM entities WHERE id IS NOT NULL)"
 _CLASSES = f"{_NAMES}, c AS (SELECT kind, {_NORM.format('id')} AS norm, min(id) AS id FROM e GROUP BY 1, 2 HAVING {_NORM.format('min(id)')} <> '')"
-_INITIALS = "CASE WHEN len(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> '')) >= 2 THEN lower(array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: w[1]), '')) END"
-_PAIRS = f"{_CLASSES}, z AS (SELECT kind, count(*) AS m FROM c GROUP BY 1), b AS (SELECT c.*, CASE WHEN m <= 256 THEN '*' ELSE 'p:' || norm[:2] END AS block FROM c JOIN z ON c.kind IS NOT DISTINCT FROM z.kind), p AS (SELECT x.kind, x.id AS a, y.id AS b, x.norm AS na, y.norm AS nb FROM b x JOIN b y ON x.kind IS NOT DISTINCT FROM y.kind AND x.block = y.block AND x.id < y.id)"
+_INITIALS = (
+    "CASE WHEN len(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> '')) >= 2 THEN "
+    "lower(array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: w[1]), '')) END"
+)
+_PAIRS = (
+    f"{_CLASSES}, z AS (SELECT kind, count(*) AS m FROM c GROUP BY 1), b AS (SELECT c.*, CASE WHEN m <= 256 THEN '*' ELSE 'p:' || norm[:2] END AS block "
+    f"FROM c JOIN z ON c.kind IS NOT DISTINCT FROM z.kind), p AS (SELECT x.kind, x.id AS a, y.id AS b, x.norm AS na, y.norm AS nb FROM b x JOIN b y ON "
+    f"x.kind IS NOT DISTINCT FROM y.kind AND x.block = y.block AND x.id < y.id)"
+)
 _SHORT = f"(coalesce(na = {_INITIALS.format('b')}, false) OR coalesce(nb = {_INITIALS.format('a')}, false))"
-_SCORED = f"{_PAIRS}, j AS (SELECT *, {_SHORT} AS short, jaro_winkler_similarity(na, nb) AS jw FROM p), m AS (SELECT kind, a, b, CASE WHEN short THEN 0.97 ELSE jw END AS score, CASE WHEN short THEN 'initialism' ELSE 'jaro_winkler' END AS method, CASE WHEN short OR jw >= 0.85 THEN 'auto' WHEN jw >= 0.70 THEN 'flagged' ELSE 'none' END AS band FROM j)"
+_SCORED = (
+    f"{_PAIRS}, j AS (SELECT *, {_SHORT} AS short, jaro_winkler_similarity(na, nb) AS jw FROM p), m AS (SELECT kind, a, b, CASE WHEN short THEN 0.97 ELSE "
+    f"jw END AS score, CASE WHEN short THEN 'initialism' ELSE 'jaro_winkler' END AS method, CASE WHEN short OR jw >= 0.85 THEN 'auto' WHEN jw >= 0.70 THEN "
+    f"'flagged' ELSE 'none' END AS band FROM j)"
+)
 
 
-@q(f"WITH {_NAMES}, n AS (SELECT DISTINCT kind, {_NORM.format('id')} AS norm, id FROM e), g AS (SELECT kind, norm, min(id) AS canonical FROM n WHERE norm <> '' GROUP BY 1, 2 HAVING count(*) > 1) SELECT g.kind, g.norm, g.canonical, n.id FROM g JOIN n ON g.kind = n.kind AND g.norm = n.norm")
+@q(
+    f"WITH {_NAMES}, n AS (SELECT DISTINCT kind, {_NORM.format('id')} AS norm, id FROM e), g AS (SELECT kind, norm, min(id) AS canonical FROM n WHERE norm "
+    f"<> '' GROUP BY 1, 2 HAVING count(*) > 1) SELECT g.kind, g.norm, g.canonical, n.id FROM g JOIN n ON g.kind = n.kind AND g.norm = n.norm"
+)
 def er_exact_groups(s, d):
     return resolve.exact_groups(names(s, d))
 
 
-@q(f"WITH {_NAMES}, i AS (SELECT DISTINCT id FROM e) SELECT DISTINCT x.id AS short_id, y.id AS long_id FROM i x JOIN i y ON {_NORM.format('x.id')} = {_INITIALS.format('y.id')} WHERE {_NORM.format('x.id')} <> ''")
+@q(
+    f"WITH {_NAMES}, i AS (SELECT DISTINCT id FROM e) SELECT DISTINCT x.id AS short_id, y.id AS long_id FROM i x JOIN i y ON {_NORM.format('x.id')} = "
+    f"{_INITIALS.format('y.id')} WHERE {_NORM.format('x.id')} <> ''"
+)
 def er_initialisms(s, d):
     n = names(s, d).select("id").distinct()
     a = n.select(F.col("id").alias("short_id"), normalise(F.col("id")).alias("k")).filter("k <> ''")
@@ -511,7 +622,10 @@ def er_resolve_aliases(s, d):
     return resolve.resolve(names(s, d), triples(s, d))["aliases"].withColumn("confidence", F.round("confidence", 6))
 
 
-@q("SELECT DISTINCT id, round(jaro_winkler_similarity(regexp_replace(lower(id), '[^a-z0-9]+', '', 'g'), 'graphindex'), 6) AS similarity FROM entities WHERE id IS NOT NULL")
+@q(
+    "SELECT DISTINCT id, round(jaro_winkler_similarity(regexp_replace(lower(id), '[^a-z0-9]+', '', 'g'), 'graphindex'), 6) AS similarity FROM entities "
+    "WHERE id IS NOT NULL"
+)
 def sql_functions(s, d):
     """The registered functions in SQL text."""
     naming.register(s)
@@ -519,22 +633,37 @@ def sql_functions(s, d):
     return s.sql("SELECT DISTINCT id, round(jaro_winkler(regexp_replace(lower(id), '[^a-z0-9]+', ''), 'graphindex'), 6) AS similarity FROM _entities WHERE id IS NOT NULL AND metaphone(id) IS NOT NULL")
 
 
-@q("SELECT DISTINCT alias_id FROM entity_aliases WHERE alias_id IS NOT NULL AND canonical_id = (SELECT canonical_id FROM entity_aliases WHERE canonical_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+@q(
+    "SELECT DISTINCT alias_id FROM entity_aliases WHERE alias_id IS NOT NULL AND canonical_id = (SELECT canonical_id FROM entity_aliases WHERE "
+    "canonical_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+)
 def aliases_of_popular(s, d):
     a = table(s, d, "entity_aliases")
     popular = a.filter("canonical_id is not null").groupBy("canonical_id").count().orderBy(F.desc("count"), "canonical_id").first()
     return resolve.aliases_of(a, popular["canonical_id"] if popular else "")
 
 
-@q("SELECT canonical_id, alias_id, phase::INT AS phase FROM entity_aliases a WHERE NOT EXISTS (SELECT 1 FROM entity_aliases b WHERE b.phase = 1 AND a.canonical_id = b.canonical_id AND a.alias_id = b.alias_id)")
+@q(
+    "SELECT canonical_id, alias_id, phase::INT AS phase FROM entity_aliases a WHERE NOT EXISTS (SELECT 1 FROM entity_aliases b WHERE b.phase = 1 AND "
+    "a.canonical_id = b.canonical_id AND a.alias_id = b.alias_id)"
+)
 def alias_append(s, d):
     a = table(s, d, "entity_aliases")
     return resolve.new_aliases(a.filter("phase = 1"), a).select("canonical_id", "alias_id", "phase")
 
 
-@q("WITH k AS (SELECT id, min(kind) AS kind FROM entities GROUP BY 1) SELECT alias_id AS subject, canonical_id AS object, coalesce(x.kind, 'concept') AS source_kind, coalesce(y.kind, 'concept') AS target_kind, 'entity resolution merge via ' || coalesce(method, 'null') || ' (confidence=' || CASE WHEN confidence IS NULL THEN 'null' ELSE CAST(CAST(CAST(confidence AS VARCHAR) AS DECIMAL(18, 3)) AS VARCHAR) END || ')' AS evidence, CASE WHEN confidence IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, confidence)) END AS confidence FROM entity_aliases LEFT JOIN k x ON x.id = alias_id LEFT JOIN k y ON y.id = canonical_id")
+@q(
+    "WITH k AS (SELECT id, min(kind) AS kind FROM entities GROUP BY 1) SELECT alias_id AS subject, canonical_id AS object, coalesce(x.kind, 'concept') AS "
+    "source_kind, coalesce(y.kind, 'concept') AS target_kind, 'entity resolution merge via ' || coalesce(method, 'null') || ' (confidence=' || CASE WHEN "
+    "confidence IS NULL THEN 'null' ELSE CAST(CAST(CAST(confidence AS VARCHAR) AS DECIMAL(18, 3)) AS VARCHAR) END || ')' AS evidence, CASE WHEN "
+    "confidence IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, confidence)) END AS confidence FROM entity_aliases LEFT JOIN k x ON x.id = alias_id LEFT "
+    "JOIN k y ON y.id = canonical_id"
+)
 def same_as_edges(s, d):
-    return resolve.same_as_edges(table(s, d, "entity_aliases"), table(s, d, "entities"), "2026-01-01T00:00:00+00:00").select("subject", "object", "source_kind", "target_kind", "evidence", "confidence")
+    return (
+        resolve.same_as_edges(table(s, d, "entity_aliases"), table(s, d, "entities"), "2026-01-01T00:00:00+00:00")
+        .select("subject", "object", "source_kind", "target_kind", "evidence", "confidence")
+    )
 
 
 @q("SELECT phase::INT AS phase, count(*) AS n FROM entity_aliases GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM entity_aliases")
@@ -617,7 +746,12 @@ def knn_index_holds(s, d):
 
 def _chain(s, d) -> DataFrame:
     """A graph over the vectors: a chain, and hubs (each vector with the one whose number is its label)."""
-    e = table(s, d, "embeddings").select(F.explode(F.array(F.struct(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b")), F.struct(F.col("vec_id").alias("a"), F.col("label").cast("long").alias("b")))).alias("e")).select("e.*").filter("a <> b")
+    e = (
+        table(s, d, "embeddings")
+        .select(F.explode(F.array(F.struct(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b")), F.struct(F.col("vec_id").alias("a"), F.col("label").cast("long").alias("b")))).alias("e"))
+        .select("e.*")
+        .filter("a <> b")
+    )
     ids = table(s, d, "embeddings").select(F.col("vec_id").alias("b"))
     e = e.join(ids, "b", "left_semi").select(F.least("a", "b").cast("string").alias("a"), F.greatest("a", "b").cast("string").alias("b")).distinct()
     return e.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(e.select("b", "a"))
@@ -631,7 +765,11 @@ def _text_vectors(s, d) -> DataFrame:
 s AS (SELECT a AS id, b AS o FROM g UNION ALL SELECT b, a FROM g), x AS (SELECT id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM s JOIN embeddings ON o = vec_id)
 SELECT id::VARCHAR AS id, i::INT AS i, round(avg(v), 6) AS mean FROM x GROUP BY 1, 2""")
 def neighbour_mean(s, d):
-    return vectors.neighbour_means(_text_vectors(s, d), _chain(s, d)).select("id", F.posexplode("mean").alias("i", "mean")).withColumn("mean", F.round("mean", 6))
+    return (
+        vectors.neighbour_means(_text_vectors(s, d), _chain(s, d))
+        .select("id", F.posexplode("mean").alias("i", "mean"))
+        .withColumn("mean", F.round("mean", 6))
+    )
 
 
 _GRAPH = """e AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings), g AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b AND b IN (SELECT vec_id FROM embeddings)),
@@ -651,7 +789,10 @@ def sage_layer(s, d):
     return out.select("id", F.posexplode("vec").alias("i", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
-@q(f"WITH e AS ({_NOISE}), n AS (SELECT count(*) AS n FROM (SELECT a FROM e UNION SELECT b FROM e)) SELECT (n * greatest(1, least(50, 200 // greatest(n, 1))) * 5)::BIGINT AS steps, true AS along_edges FROM n")
+@q(
+    f"WITH e AS ({_NOISE}), n AS (SELECT count(*) AS n FROM (SELECT a FROM e UNION SELECT b FROM e)) SELECT (n * greatest(1, least(50, 200 // greatest(n, "
+    f"1))) * 5)::BIGINT AS steps, true AS along_edges FROM n"
+)
 def walk_pairs_hold(s, d):
     """Walks of five steps from every node, each along an edge."""
     adj = materialise(vectors.adjacency(triples(s, d), table(s, d, "entities")), "adjacency")
@@ -670,7 +811,11 @@ def embed_entities(s, d):
     w, losses = vectors.train(base, adj, 30)
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     unit = F.coalesce(F.sum(((norm < 0.999) | (norm > 1.001)).cast("long")), F.lit(0)) == 0
-    return vectors.aggregate(base, adj, w).agg(F.count(F.lit(1)).alias("entities"), unit.alias("unit_length")).withColumn("loss_fell", F.lit(not losses or min(losses) < losses[0]))
+    return (
+        vectors.aggregate(base, adj, w)
+        .agg(F.count(F.lit(1)).alias("entities"), unit.alias("unit_length"))
+        .withColumn("loss_fell", F.lit(not losses or min(losses) < losses[0]))
+    )
 
 
 @q("SELECT 64 AS rows, 128 AS cols, true AS same")
@@ -695,7 +840,11 @@ def text_search_self(s, d):
 # --- communities and retrieval -----------------------------------------------------------------
 
 
-@q(f"SELECT least(subject, object) AS a, greatest(subject, object) AS b, sum(CASE WHEN predicate IN {_in(STRONG_PREDICATES)} THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight FROM triples WHERE predicate IN {_in(SEMANTIC_PREDICATES)} AND subject <> object AND subject <> '' AND object <> '' GROUP BY 1, 2")
+@q(
+    f"SELECT least(subject, object) AS a, greatest(subject, object) AS b, sum(CASE WHEN predicate IN {_in(STRONG_PREDICATES)} THEN 2.0 ELSE 1.0 "
+    f"END)::DOUBLE AS weight FROM triples WHERE predicate IN {_in(SEMANTIC_PREDICATES)} AND subject <> object AND subject <> '' AND object <> '' GROUP BY "
+    f"1, 2"
+)
 def semantic_edge_weights(s, d):
     return com.semantic_edges(triples(s, d))
 
@@ -714,18 +863,32 @@ def communities_hold(s, d):
     place = found.filter("level = 0").select(F.col("entity").alias("v"), F.col("community").alias("c"))
     pa, pb = place.select(F.col("v").alias("a"), F.col("c").alias("ca")), place.select(F.col("v").alias("b"), F.col("c").alias("cb"))
     placed = materialise(edges.join(pa, "a").join(pb, "b"), "placed")
-    pieces = graph.components(placed.filter("ca = cb")).join(place.withColumnRenamed("v", "id"), "id").groupBy("c").agg(F.countDistinct("root").alias("n")).filter("n > 1").count()
+    pieces = (
+        graph.components(placed.filter("ca = cb"))
+        .join(place.withColumnRenamed("v", "id"), "id")
+        .groupBy("c")
+        .agg(F.countDistinct("root").alias("n"))
+        .filter("n > 1")
+        .count()
+    )
     both = placed.select(F.col("a").alias("v"), F.col("ca").alias("own"), F.col("cb").alias("to"), "weight").union(placed.select("b", "cb", "ca", "weight"))
     links = both.groupBy("v", "own", "to").agg(F.sum("weight").alias("k"))
     degree = both.groupBy("v", "own").agg(F.sum("weight").alias("d"))
     total = degree.groupBy(F.col("own").alias("to")).agg(F.sum("d").alias("s"))
     m2 = degree.agg(F.sum("d")).first()[0] or 1.0
     here = links.filter("own = to").select("v", F.col("k").alias("kept"))
-    mine = degree.join(total.select(F.col("to").alias("own"), F.col("s").alias("own_s")), "own").join(here, "v", "left").select("v", "d", (F.coalesce("kept", F.lit(0.0)) - F.col("d") * (F.col("own_s") - F.col("d")) / m2).alias("g0"))
+    mine = (
+        degree.join(total.select(F.col("to").alias("own"), F.col("s").alias("own_s")), "own")
+        .join(here, "v", "left")
+        .select("v", "d", (F.coalesce("kept", F.lit(0.0)) - F.col("d") * (F.col("own_s") - F.col("d")) / m2).alias("g0"))
+    )
     better = links.filter("own <> to").join(total, "to").join(mine, "v").filter(F.col("k") - F.col("d") * F.col("s") / m2 > F.col("g0") + 1e-6)
     # communities that contracted levels joined keep every entity's gain only as a whole, so few may be left
     gains = better.select("v").distinct().count() <= 0.05 * place.count()
-    return s.createDataFrame([((sizes[1] or 0) > 0, (sizes[0] or 0) >= 3, twice == 0, outside == 0, pieces == 0, gains)], "found boolean, large_enough boolean, one_place_a_level boolean, within_parent boolean, connected boolean, no_gain_left boolean")
+    return s.createDataFrame(
+        [((sizes[1] or 0) > 0, (sizes[0] or 0) >= 3, twice == 0, outside == 0, pieces == 0, gains)],
+        "found boolean, large_enough boolean, one_place_a_level boolean, within_parent boolean, connected boolean, no_gain_left boolean",
+    )
 
 
 def _first_line(prompt: str, system: str) -> str:
@@ -756,7 +919,10 @@ def _neighbours(s, d) -> DataFrame:
     m = n.select(F.col("name").alias("other"), "r")
     inner = n.join(m, "r").filter("name < other").select(F.col("name").alias("a"), F.col("other").alias("b"), F.lit(2.0).alias("weight"))
     heads = n.groupBy("r").agg(F.min("name").alias("h"))
-    bridges = heads.join(heads.select((F.col("r") - 1).alias("r"), F.col("h").alias("g")), "r").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"), F.lit(1.0).alias("weight"))
+    bridges = (
+        heads.join(heads.select((F.col("r") - 1).alias("r"), F.col("h").alias("g")), "r")
+        .select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"), F.lit(1.0).alias("weight"))
+    )
     return inner.union(bridges)
 
 
@@ -766,20 +932,33 @@ def communities_of_regions(s, d):
     return com.partition(_neighbours(s, d).select(F.lit("").alias("scope"), "a", "b", "weight")).select("v", "c")
 
 
-@q(f"{_REGIONS}, n AS (SELECT head, count(*) AS n FROM nation JOIN a ON n_regionkey = r GROUP BY 1) SELECT 0 AS level, 'L0:' || head AS community_id, n AS member_count, NULL::VARCHAR AS parent_community_id, 'Community L0:' || head || ', ' || n || ' entities: ' || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM nation JOIN a ON n_regionkey = r WHERE a.head = n.head) AS summary FROM n")
+@q(
+    f"{_REGIONS}, n AS (SELECT head, count(*) AS n FROM nation JOIN a ON n_regionkey = r GROUP BY 1) SELECT 0 AS level, 'L0:' || head AS community_id, n "
+    f"AS member_count, NULL::VARCHAR AS parent_community_id, 'Community L0:' || head || ', ' || n || ' entities: ' || (SELECT string_agg(n_name, ', ' "
+    f"ORDER BY n_name) FROM nation JOIN a ON n_regionkey = r WHERE a.head = n.head) AS summary FROM n"
+)
 def communities_stored(s, d):
     """Detected, summarised and stored by the engine."""
     e = Engine(s, scratch_folder(s, "graph"))
-    fact = _neighbours(s, d).select(F.col("a").alias("subject"), F.when(F.col("weight") > 1, "SIMILAR_TO").otherwise("LINKS_TO").alias("predicate"), F.col("b").alias("object"), F.lit("k").alias("source_kind"), F.lit("k").alias("target_kind"), F.lit(0.9).alias("confidence"))
+    fact = (
+        _neighbours(s, d)
+        .select(F.col("a").alias("subject"), F.when(F.col("weight") > 1, "SIMILAR_TO").otherwise("LINKS_TO").alias("predicate"), F.col("b").alias("object"), F.lit("k").alias("source_kind"), F.lit("k").alias("target_kind"), F.lit(0.9).alias("confidence"))
+    )
     e.store.add(fact)
     e.communities(_first_line, max_levels=0)
     return e.table("communities").select("level", "community_id", "member_count", "parent_community_id", "summary")
 
 
-@q("SELECT community_id, level, member_count, summary, row_number() OVER (PARTITION BY level ORDER BY member_count DESC, community_id, created_at) AS place FROM communities WHERE summary IS NOT NULL AND summary <> ''")
+@q(
+    "SELECT community_id, level, member_count, summary, row_number() OVER (PARTITION BY level ORDER BY member_count DESC, community_id, created_at) AS "
+    "place FROM communities WHERE summary IS NOT NULL AND summary <> ''"
+)
 def summaries_order(s, d):
     c = com.summaries(table(s, d, "communities"))
-    return c.select("community_id", "level", "member_count", "summary", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("member_count"), "community_id", "created_at")).cast("long").alias("place"))
+    return c.select(
+        "community_id", "level", "member_count", "summary",
+        F.row_number().over(Window.partitionBy("level").orderBy(F.desc("member_count"), "community_id", "created_at")).cast("long").alias("place"),
+    )
 
 
 @q(f"""WITH t AS (SELECT DISTINCT subject, predicate, object FROM triples WHERE predicate NOT IN {_in(NOISE_PREDICATES)}), m AS (SELECT DISTINCT community_id, entity_id FROM community_members WHERE entity_id IS NOT NULL),
@@ -802,9 +981,15 @@ _AT = retrieval.anchor_terms(QUESTION)
 _SCORE = "(" + " + ".join(f"contains(lower(summary), '{t}')::INT" for t in sorted(set(_RT))) + f")::DOUBLE / {len(set(_RT))}"
 
 
-@q(f"SELECT community_id, level, member_count, summary, round({_SCORE}, 6) AS score FROM communities WHERE summary IS NOT NULL AND summary <> '' ORDER BY round({_SCORE}, 9) DESC, level, member_count DESC, community_id, summary LIMIT 20")
+@q(
+    f"SELECT community_id, level, member_count, summary, round({_SCORE}, 6) AS score FROM communities WHERE summary IS NOT NULL AND summary <> '' ORDER BY "
+    f"round({_SCORE}, 9) DESC, level, member_count DESC, community_id, summary LIMIT 20"
+)
 def rank_communities_keyword(s, d):
-    return retrieval.rank_communities(table(s, d, "communities"), QUESTION).select("community_id", "level", "member_count", "summary", F.round("score", 6).alias("score"))
+    return (
+        retrieval.rank_communities(table(s, d, "communities"), QUESTION)
+        .select("community_id", "level", "member_count", "summary", F.round("score", 6).alias("score"))
+    )
 
 
 @q(f"""WITH t AS (SELECT community_id, row_number() OVER (ORDER BY round({_SCORE}, 9) DESC, level, member_count DESC, community_id, summary) AS pos FROM communities WHERE summary IS NOT NULL AND summary <> '' QUALIFY pos <= 3),
@@ -824,7 +1009,10 @@ def anchors_lexical(s, d):
     return retrieval.lexical_anchors(table(s, d, "entities"), triples(s, d), _AT)
 
 
-@q(f"{_ANCHORS}, o AS (SELECT id, min((term_no, side, rn)) AS o FROM a GROUP BY 1) SELECT id, (row_number() OVER (ORDER BY o) - 1)::INT AS pos FROM o ORDER BY o LIMIT 20")
+@q(
+    f"{_ANCHORS}, o AS (SELECT id, min((term_no, side, rn)) AS o FROM a GROUP BY 1) SELECT id, (row_number() OVER (ORDER BY o) - 1)::INT AS pos FROM o "
+    f"ORDER BY o LIMIT 20"
+)
 def anchors_merged(s, d):
     return retrieval.anchors(table(s, d, "entities"), triples(s, d), QUESTION)
 
@@ -841,20 +1029,35 @@ def anchors_canonical(s, d):
     return retrieval.anchors(table(s, d, "entities"), triples(s, d), QUESTION, table(s, d, "entity_aliases"))
 
 
-_FACT = "'(' || subject || ')-[' || predicate || ']->(' || object || ')' || CASE WHEN confidence < 0.9 THEN ' [conf=' || CAST(CAST(CAST(confidence AS VARCHAR) AS DECIMAL(18, 2)) AS VARCHAR) || ']' ELSE '' END || CASE WHEN evidence <> '' THEN '  // ' || evidence[:80] ELSE '' END"
+_FACT = (
+    "'(' || subject || ')-[' || predicate || ']->(' || object || ')' || CASE WHEN confidence < 0.9 THEN ' [conf=' || CAST(CAST(CAST(confidence AS "
+    "VARCHAR) AS DECIMAL(18, 2)) AS VARCHAR) || ']' ELSE '' END || CASE WHEN evidence <> '' THEN '  // ' || evidence[:80] ELSE '' END"
+)
 
 
-@q(f"SELECT row_number() OVER (ORDER BY confidence DESC NULLS LAST, predicate, subject, object, triple_id, evidence)::INT AS place, {_FACT} AS fact FROM triples WHERE coalesce(predicate, '') NOT IN {_in(UNSERIALISED)} ORDER BY place LIMIT 200")
+@q(
+    f"SELECT row_number() OVER (ORDER BY confidence DESC NULLS LAST, predicate, subject, object, triple_id, evidence)::INT AS place, {_FACT} AS fact FROM "
+    f"triples WHERE coalesce(predicate, '') NOT IN {_in(UNSERIALISED)} ORDER BY place LIMIT 200"
+)
 def serialise_facts(s, d):
     return retrieval.serialise(triples(s, d))
 
 
 def _ask(s, d, mode: str) -> DataFrame:
-    r = retrieval.Retriever(triples(s, d), table(s, d, "entities"), table(s, d, "communities"), table(s, d, "community_members"), table(s, d, "entity_aliases")).ask(QUESTION, mode)
-    return s.createDataFrame([(r["mode"], r["answer"], int(r["subgraph_size"]), r["anchor_entities"], int(r.get("communities_used", 0)))], "mode string, answer string, subgraph_size int, anchors array<string>, communities_used int")
-
-
-_TOP = f"SELECT member_count FROM communities WHERE summary IS NOT NULL AND summary <> '' ORDER BY round({_SCORE}, 9) DESC, level, member_count DESC, community_id, summary LIMIT 20"
+    r = (
+        retrieval.Retriever(triples(s, d), table(s, d, "entities"), table(s, d, "communities"), table(s, d, "community_members"), table(s, d, "entity_aliases"))
+        .ask(QUESTION, mode)
+    )
+    return s.createDataFrame(
+        [(r["mode"], r["answer"], int(r["subgraph_size"]), r["anchor_entities"], int(r.get("communities_used", 0)))],
+        "mode string, answer string, subgraph_size int, anchors array<string>, communities_used int",
+    )
+
+
+_TOP = (
+    f"SELECT member_count FROM communities WHERE summary IS NOT NULL AND summary <> '' ORDER BY round({_SCORE}, 9) DESC, level, member_count DESC, "
+    f"community_id, summary LIMIT 20"
+)
 
 
 @q(f"{_FOLLOWED} SELECT 'local' AS mode, 0 AS communities_used, (SELECT list(id ORDER BY pos) FROM n) AS anchors")

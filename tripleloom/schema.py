@@ -55,8 +55,14 @@ class Vocabulary:
 
 
 HEADINGS = tuple(f"heading:h{i}" for i in range(1, 7))
-UNIVERSAL = Vocabulary("universal", ("HAS_FILE_TYPE", "CONTAINS_HEADING", "LINKS_TO", "REFERENCES_URL", "HAS_TAG", "CONTAINS_KEY", "HAS_COLUMN"), ("document",), ("file_type", "heading", *HEADINGS, "vault_link", "url_host", "tag", "key", "column"))
-VAULT = Vocabulary("vault", ("HAS_FILE_TYPE", "CONTAINS_HEADING", "LINKS_TO", "REFERENCES_URL_HOST", "HAS_TAG"), ("document",), ("file_type", *HEADINGS, "vault_link", "local_link", "url_host", "tag"))
+UNIVERSAL = Vocabulary(
+    "universal", ("HAS_FILE_TYPE", "CONTAINS_HEADING", "LINKS_TO", "REFERENCES_URL", "HAS_TAG", "CONTAINS_KEY", "HAS_COLUMN"), ("document",),
+    ("file_type", "heading", *HEADINGS, "vault_link", "url_host", "tag", "key", "column"),
+)
+VAULT = Vocabulary(
+    "vault", ("HAS_FILE_TYPE", "CONTAINS_HEADING", "LINKS_TO", "REFERENCES_URL_HOST", "HAS_TAG"), ("document",),
+    ("file_type", *HEADINGS, "vault_link", "local_link", "url_host", "tag"),
+)
 EXTRACTOR = Vocabulary("llm", tuple(EXTRACTED_PREDICATES), tuple(EXTRACTED_KINDS), tuple(EXTRACTED_KINDS))
 
 

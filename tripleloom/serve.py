@@ -69,7 +69,9 @@ class App:
     def __init__(self, engine: Engine, api_key: str | None = None, rate_limit: int | None = None):
         self.engine, self.api_key, self.rate = engine, api_key, RateLimit(rate_limit)
 
-    def handle(self, method: str, url: str, body: dict | None = None, headers: dict[str, str] | None = None, client: str = "local") -> tuple[int, object, dict[str, str]]:
+    def handle(
+        self, method: str, url: str, body: dict | None = None, headers: dict[str, str] | None = None, client: str = "local",
+    ) -> tuple[int, object, dict[str, str]]:
         """(status, data, headers) of one request, logged as one JSON line."""
         given = {k.lower(): v for k, v in (headers or {}).items()}
         rid, began = given.get("x-request-id") or str(uuid.uuid4()), time.perf_counter()
@@ -105,7 +107,10 @@ class App:
     def ingest(self, q, body):
         if body.get("adapter", "universal") not in ("universal", "vault"):
             raise Refused(400, f"Unknown adapter: {body['adapter']}")
-        r = self.engine.ingest(body.get("source") or "", body.get("adapter", "universal"), bool(body.get("dry_run")), max_facts=_number(body.get("max_facts", 40), 1, 500, "max_facts"))
+        r = self.engine.ingest(
+            body.get("source") or "", body.get("adapter", "universal"), bool(body.get("dry_run")),
+            max_facts=_number(body.get("max_facts", 40), 1, 500, "max_facts"),
+        )
         return {"adapter": r.adapter, "source": r.source, "documents_scanned": r.scanned, "documents_extracted": r.extracted, "triples_added": r.added, "triples_skipped": r.skipped, "errors": r.messages}
 
     def ask(self, q, body):

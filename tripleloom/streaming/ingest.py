@@ -10,7 +10,10 @@ from tripleloom.operators.rules import extract
 from tripleloom.operators.store import TripleStore
 
 
-def ingest_stream(texts: DataFrame, store: TripleStore, checkpoint: str, timestamp: str, adapter: str = "universal", doc: str = "doc_id", text: str = "text", path: str = "relative_path", max_facts: int | None = None) -> StreamingQuery:
+def ingest_stream(
+    texts: DataFrame, store: TripleStore, checkpoint: str, timestamp: str, adapter: str = "universal", doc: str = "doc_id", text: str = "text",
+    path: str = "relative_path", max_facts: int | None = None,
+) -> StreamingQuery:
     """Run the rule pipeline on each micro-batch of a stream of texts, each of which appends its new rows
     to the store. A batch that runs again after a failure adds nothing twice, as inserts skip known ids."""
 
