@@ -44,7 +44,13 @@ NO_VALUE = ["", "n/a", "unknown", "none", "-"]
 def canonical_key(subject: Column, predicate: Column, object_: Column) -> Column:
     """One text that two rows share iff they state the same fact; null fields equal null fields only."""
     p = letters_digits(predicate)
-    o = F.when(object_.contains("|"), F.concat(F.lit("|"), F.array_join(F.array_sort(F.filter(F.transform(F.split(object_, r"\|"), letters_digits), lambda x: x != "")), "|"))).otherwise(letters_digits(object_))
+    o = (
+        F.when(
+            object_.contains("|"),
+            F.concat(F.lit("|"), F.array_join(F.array_sort(F.filter(F.transform(F.split(object_, r"\|"), letters_digits), lambda x: x != "")), "|")),
+        )
+        .otherwise(letters_digits(object_))
+    )
     s = letters_digits(subject)
     none = F.lit("\x00")
     s, p, o = F.coalesce(s, none), F.coalesce(p, none), F.coalesce(o, none)
@@ -79,14 +85,21 @@ def adjacent_runs(records: DataFrame, key: str, row: str) -> DataFrame:
             else:
                 yield pending
             last_key = keys[m - 1].as_py()
-            pending = pa.RecordBatch.from_arrays([rows, pa.array(firsts, pa.int64()), pa.array([pid] * m, pa.int32()), pa.array(runs, pa.int64()), pa.array(edge, pa.string())], names=schema.names)
+            pending = pa.RecordBatch.from_arrays(
+                [rows, pa.array(firsts, pa.int64()), pa.array([pid] * m, pa.int32()), pa.array(runs, pa.int64()), pa.array(edge, pa.string())],
+                names=schema.names,
+            )
         if pending is not None:
             yield pending
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([first], pa.int64()), pa.array([pid], pa.int32()), pa.array([run], pa.int64()), pa.array([last_key], pa.string())], names=schema.names)
 
     keyed = records.select(F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.col(row).cast("long").alias("row"))
     runs = materialise(sort_globally(keyed, ["h", "key", "row"]).mapInArrow(scan, schema), "runs")
-    ends = runs.filter("edge is not null").select("pid", F.col("row").isNull().alias("is_last"), "first", "run", F.sha2("edge", 256).alias("k")).collect()  # two rows a partition
+    ends = (  # two rows a partition
+        runs.filter("edge is not null")
+        .select("pid", F.col("row").isNull().alias("is_last"), "first", "run", F.sha2("edge", 256).alias("k"))
+        .collect()
+    )
     heads, tails = {e["pid"]: e for e in ends if not e["is_last"]}, {e["pid"]: e for e in ends if e["is_last"]}
     carry: list[tuple[int, int]] = []
     open_key, open_first = None, None
@@ -101,7 +114,10 @@ def adjacent_runs(records: DataFrame, key: str, row: str) -> DataFrame:
     if not carry:
         return rows.select("row", "first")
     small = records.sparkSession.createDataFrame(carry, "pid int, carried long")  # a row a partition at most
-    return rows.join(F.broadcast(small), "pid", "left").select("row", F.when(F.col("run") == 0, F.coalesce("carried", "first")).otherwise(F.col("first")).alias("first"))
+    return (
+        rows.join(F.broadcast(small), "pid", "left")
+        .select("row", F.when(F.col("run") == 0, F.coalesce("carried", "first")).otherwise(F.col("first")).alias("first"))
+    )
 
 
 def fact_runs(triples: DataFrame) -> DataFrame:
@@ -141,7 +157,9 @@ def has_value(c: Column) -> Column:
     return F.coalesce(~F.lower(strip(c)).isin(NO_VALUE), F.lit(False))
 
 
-def best_bundles(rows: DataFrame, group: str, rank: Column, bundles: dict[str, Column], dependencies: list[tuple[str, str]] | None = None, first_k: int = 8) -> DataFrame:
+def best_bundles(
+    rows: DataFrame, group: str, rank: Column, bundles: dict[str, Column], dependencies: list[tuple[str, str]] | None = None, first_k: int = 8,
+) -> DataFrame:
     """(group, bundle, row): for each group the row that each bundle is taken from.
 
     ``bundles`` maps a bundle's name to the condition under which a row can give it; ``rank`` is a
@@ -156,7 +174,11 @@ def best_bundles(rows: DataFrame, group: str, rank: Column, bundles: dict[str, C
     deps = [tuple(tuple(x.split(".", 1)) for x in d) for d in dependencies or []]
     ranked = rows.withColumn("_rank", rank)
     best = ranked.groupBy(group).agg(*[F.min(F.when(ok, F.col("_rank"))).alias(name) for name, ok in bundles.items()])
-    root = best.select(group, F.explode(F.array(*[F.struct(F.lit(n).alias("bundle"), F.col(n)["row"].alias("row")) for n in bundles])).alias("b")).select(group, "b.bundle", "b.row").filter("row is not null")
+    root = (
+        best.select(group, F.explode(F.array(*[F.struct(F.lit(n).alias("bundle"), F.col(n)["row"].alias("row")) for n in bundles])).alias("b"))
+        .select(group, "b.bundle", "b.row")
+        .filter("row is not null")
+    )
     if not deps:
         return root
     return _branch(ranked, group, root, bundles, deps, first_k)
@@ -203,7 +225,9 @@ def _branch(ranked: DataFrame, group: str, root: DataFrame, bundles: dict[str, C
         needed[a].append(x)
         needed[b].append(y)
     root = materialise(root, "bounds")
-    values = ranked.select(group, F.col("_rank.row").alias("row"), *[F.col(c).cast("string").alias(f"v_{c}") for c in sorted({c for cs in needed.values() for c in cs})])
+    values = ranked.select(
+        group, F.col("_rank.row").alias("row"), *[F.col(c).cast("string").alias(f"v_{c}") for c in sorted({c for cs in needed.values() for c in cs})],
+    )
     chosen = root.join(values, [group, "row"])
     # the pairs of values that rows of the group hold together
     wrong = None
@@ -212,7 +236,13 @@ def _branch(ranked: DataFrame, group: str, root: DataFrame, bundles: dict[str, C
         right = chosen.filter(F.col("bundle") == b).select(group, F.col(f"v_{y}").alias("y"))
         both = values.select(group, F.col(f"v_{x}").alias("px"), F.col(f"v_{y}").alias("py")).distinct()
         demand = left.join(right, group)
-        held = demand.join(both.withColumnRenamed(group, "_g"), (F.col(group) == F.col("_g")) & F.col("x").eqNullSafe(F.col("px")) & F.col("y").eqNullSafe(F.col("py")), "left_semi").select(group)
+        held = (
+            demand.join(
+                both.withColumnRenamed(group, "_g"),
+                (F.col(group) == F.col("_g")) & F.col("x").eqNullSafe(F.col("px")) & F.col("y").eqNullSafe(F.col("py")), "left_semi",
+            )
+            .select(group)
+        )
         bad = demand.select(group).join(held, group, "left_anti")
         wrong = bad if wrong is None else wrong.union(bad)
     pending = materialise(wrong.distinct(), "conflicts")
@@ -240,10 +270,16 @@ def _branch(ranked: DataFrame, group: str, root: DataFrame, bundles: dict[str, C
             for n, c, s in ((a, x, "x"), (b, y, "y")):  # only pairs of candidate values matter, (k + 1)^2 a group at most
                 mine_only = cand.filter(F.col("bundle") == n).select(F.col(group).alias("_g"), F.get_json_object("v", f"$.v_{c}").alias("_v")).distinct()
                 pairs = pairs.join(mine_only, (F.col(group) == F.col("_g")) & F.col(s).eqNullSafe(F.col("_v")), "left_semi")
-            one = pairs.select(group, F.lit(f"~{i}").alias("bundle"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("row"), F.to_json(F.struct("x", "y")).alias("v"))
+            one = pairs.select(
+                group, F.lit(f"~{i}").alias("bundle"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("row"),
+                F.to_json(F.struct("x", "y")).alias("v"),
+            )
             pair_rows = one if pair_rows is None else pair_rows.union(one)
 
-        tried = materialise(cand.union(pair_rows).groupBy(group).applyInPandas(_searcher(group, names, deps, k), f"g {group_type}, bundle string, row long, done boolean"), "branched")
+        tried = materialise(
+            cand.union(pair_rows).groupBy(group).applyInPandas(_searcher(group, names, deps, k), f"g {group_type}, bundle string, row long, done boolean"),
+            "branched",
+        )
         settled = settled.union(tried.filter("done").select(F.col("g").alias(group), "bundle", "row"))
         pending = materialise(tried.filter("not done").select(F.col("g").alias(group)).distinct(), "conflicts")
         k *= 2

@@ -74,7 +74,14 @@ def copies(u: Column, rate: Column, most: int) -> Column:
 def targets(mix: DataFrame) -> list[tuple[str, float, int]]:
     """The settings: (source, share, max_repeats); rows without source or positive share are left out,
     of repeated sources the largest share holds. Shares are scaled to sum 1."""
-    rows = mix.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").filter("s is not null and target_share > 0").groupBy("s").agg(F.max(F.struct("target_share", "max_repeats")).alias("r")).orderBy("s").collect()
+    rows = (
+        mix.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats")
+        .filter("s is not null and target_share > 0")
+        .groupBy("s")
+        .agg(F.max(F.struct("target_share", "max_repeats")).alias("r"))
+        .orderBy("s")
+        .collect()
+    )
     total = math.fsum(r["r"]["target_share"] for r in rows)
     return [(r["s"], r["r"]["target_share"] / total, max(1, r["r"]["max_repeats"] or 1)) for r in rows]
 
@@ -130,7 +137,13 @@ def calibrate(sized: DataFrame, mix: list[tuple[str, float, int]], budget: float
     for _ in range(ROUNDS):
         span = F.broadcast(spark.createDataFrame([(s, low[s], width[s]) for s in caps], "source string, low double, width double"))
         cell = F.floor((F.col("x") - F.col("low")) / F.col("width") * CELLS)
-        found = steps.join(span, "source").withColumn("cell", cell).filter((F.col("cell") >= 0) & (F.col("cell") < CELLS)).groupBy("source", "cell").agg(F.sum("n_tokens").alias("tokens"))
+        found = (
+            steps.join(span, "source")
+            .withColumn("cell", cell)
+            .filter((F.col("cell") >= 0) & (F.col("cell") < CELLS))
+            .groupBy("source", "cell")
+            .agg(F.sum("n_tokens").alias("tokens"))
+        )
         hist = found.toPandas()  # at most CELLS rows a source
         for s in caps:
             v = np.zeros(CELLS)
@@ -181,7 +194,10 @@ def prepare(documents: DataFrame, mix: DataFrame, seed: int, vocabulary: str, bu
     return sized, settings, rates, fitted(sized, rates)
 
 
-def mixture(documents: DataFrame, mix: DataFrame, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY, budget: float | None = None, carry: tuple[str, ...] = ("text",)) -> DataFrame:
+def mixture(
+    documents: DataFrame, mix: DataFrame, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY, budget: float | None = None,
+    carry: tuple[str, ...] = ("text",),
+) -> DataFrame:
     """(place, doc_id, copy_no, source, *carry): the mixture, in random order of ``place`` over the whole result.
 
     ``budget`` is the size of the mixture in tokens. Without it the mixture is the largest in which every
@@ -196,13 +212,29 @@ def mixture(documents: DataFrame, mix: DataFrame, seed: int = 7, vocabulary: str
     table = F.broadcast(spark.createDataFrame([(s, r, c) for s, r, c, _ in rates], "source string, rate double, most int"))  # one row a source
     most = max((c for _, _, c, _ in rates), default=1)
     kept = [c for c in carry if c not in ("doc_id", "source")]
-    docs = documents.filter("doc_id is not null").select("doc_id", source_name(F.col("source")).alias("source"), *kept, (F.length("text") > 0).alias("_sized")).filter("_sized").drop("_sized")
+    docs = (
+        documents.filter("doc_id is not null")
+        .select("doc_id", source_name(F.col("source")).alias("source"), *kept, (F.length("text") > 0).alias("_sized"))
+        .filter("_sized")
+        .drop("_sized")
+    )
     n = F.least("most", copies(uniform(seed, F.col("doc_id")), F.col("rate"), most)) + F.coalesce("more", F.lit(0))
-    drawn = docs.join(table, "source").join(F.broadcast(more), ["source", "doc_id"], "left").withColumn("n", n).filter("n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("rate", "most", "n", "more")
+    drawn = (
+        docs.join(table, "source")
+        .join(F.broadcast(more), ["source", "doc_id"], "left")
+        .withColumn("n", n)
+        .filter("n > 0")
+        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .drop("rate", "most", "n", "more")
+    )
     drawn = drawn.withColumn("place", uniform(seed + 1, F.col("doc_id"), F.col("copy_no")))
     parts = shuffle_partitions(spark)
     # the place is uniform, so equal ranges of it are equal partitions: no sampling pass
-    return drawn.repartitionById(parts, F.floor(F.col("place") * parts).cast("int")).sortWithinPartitions("place", "doc_id", "copy_no").select("place", "doc_id", "copy_no", "source", *kept)
+    return (
+        drawn.repartitionById(parts, F.floor(F.col("place") * parts).cast("int"))
+        .sortWithinPartitions("place", "doc_id", "copy_no")
+        .select("place", "doc_id", "copy_no", "source", *kept)
+    )
 
 
 def mixture_shares(documents: DataFrame, mix: DataFrame, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY, budget: float | None = None) -> DataFrame:
@@ -215,7 +247,20 @@ def mixture_shares(documents: DataFrame, mix: DataFrame, seed: int = 7, vocabula
     rows = [(s, w, w / present if s in by else 0.0, by.get(s, 0.0)) for s, w, _ in settings]
     table = spark.createDataFrame(rows, "source string, target_share double, reachable_share double, rate double")
     n = _drawn() + F.coalesce("more", F.lit(0))
-    drawn = sized.join(F.broadcast(table), "source").join(F.broadcast(more), ["source", "doc_id"], "left").withColumn("n", n).groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum((F.col("n") > 0).cast("long")).alias("documents"), F.sum("n").cast("long").alias("copies"), F.max("n").alias("max_copies"))
-    full = table.join(drawn, "source", "left").select("source", "target_share", "reachable_share", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("max_copies", F.lit(0)).alias("max_copies"))
+    drawn = (
+        sized.join(F.broadcast(table), "source")
+        .join(F.broadcast(more), ["source", "doc_id"], "left")
+        .withColumn("n", n)
+        .groupBy("source")
+        .agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum((F.col("n") > 0).cast("long")).alias("documents"), F.sum("n").cast("long").alias("copies"), F.max("n").alias("max_copies"))
+    )
+    full = (
+        table.join(drawn, "source", "left")
+        .select("source", "target_share", "reachable_share", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("max_copies", F.lit(0)).alias("max_copies"))
+    )
     full = full.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # one row a source of the settings
-    return full.select("source", "target_share", "reachable_share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "tokens", "documents", "copies", "max_copies")
+    return full.select(
+        "source", "target_share", "reachable_share",
+        F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "tokens", "documents", "copies",
+        "max_copies",
+    )

@@ -143,7 +143,12 @@ def lexicon_of(names: DataFrame, forms: DataFrame, labelled: DataFrame | None) -
     """``names`` has (id, words). Counts cover all names; only words common by share come to the driver."""
     total = names.count()
     bare = F.rtrim(F.col("w"), F.lit("."))
-    counts = names.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(bare.alias("w")).agg(F.count(F.lit(1)).alias("n")).filter((F.length("w") > 1) & ~F.col("w").rlike(r"^v?\d+$"))
+    counts = (
+        names.select(F.explode(F.array_distinct("words")).alias("w"))
+        .groupBy(bare.alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter((F.length("w") > 1) & ~F.col("w").rlike(r"^v?\d+$"))
+    )
     counts = counts.filter(F.col("n") - DEVIATIONS * F.sqrt("n") >= total * COMMON_SHARE)
     common = {r["w"]: r["n"] for r in counts.collect()}  # at most (words a name) / COMMON_SHARE
     known: dict[str, set[str]] = {}
@@ -162,7 +167,14 @@ def lexicon_of(names: DataFrame, forms: DataFrame, labelled: DataFrame | None) -
         common.pop(short, None)
     if labelled is not None:
         draft, votes = Lexicon(common, pairs), {}
-        rows = labelled.filter("same and id_a is not null and id_b is not null").select("id_a", "id_b").distinct().orderBy(F.xxhash64("id_a", "id_b")).limit(LABELLED).collect()  # documented bound
+        rows = (  # documented bound
+            labelled.filter("same and id_a is not null and id_b is not null")
+            .select("id_a", "id_b")
+            .distinct()
+            .orderBy(F.xxhash64("id_a", "id_b"))
+            .limit(LABELLED)
+            .collect()
+        )
         for r in rows:
             a, b = ({draft.word(w) for w in words(r[c]) if len(w.rstrip(".")) > 1} for c in ("id_a", "id_b"))
             x, y = a - b, b - a
@@ -184,7 +196,12 @@ def _learned(names: DataFrame, pairs: dict[str, str]) -> list[tuple[str, str]]:
     """Forms that the list lacks: short given names that mostly stand beside family names which also
     stand beside one full name of the list. Counted over all names of two words."""
     full = sorted(set(pairs.values()))
-    two = names.filter(F.size("words") == 2).select(F.explode(F.array(F.struct(F.col("words")[0].alias("w"), F.col("words")[1].alias("r")), F.struct(F.col("words")[1].alias("w"), F.col("words")[0].alias("r")))).alias("p")).select("p.w", "p.r").distinct()
+    two = (
+        names.filter(F.size("words") == 2)
+        .select(F.explode(F.array(F.struct(F.col("words")[0].alias("w"), F.col("words")[1].alias("r")), F.struct(F.col("words")[1].alias("w"), F.col("words")[0].alias("r")))).alias("p"))
+        .select("p.w", "p.r")
+        .distinct()
+    )
     short = two.filter((F.length("w") >= 2) & ~F.col("w").isin([*full, *pairs]) & ~F.col("w").contains("."))
     beside = short.join(two.filter(F.col("w").isin(full)).select("r", F.col("w").alias("f")), "r")
     seen = short.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
@@ -246,14 +263,25 @@ def _fuller(keys: DataFrame) -> DataFrame:
     is none, to each other. Aggregations by key, so that no block is held anywhere."""
     full, asks = keys.filter("asks = 0"), keys.filter("asks = 1")
     c = F.when(F.col("asks") == 0, F.col("cluster"))
-    blocks = keys.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.min("cluster").alias("any"), F.max("asks").alias("asked")).filter("asked = 1")
+    blocks = (
+        keys.groupBy("key")
+        .agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.min("cluster").alias("any"), F.max("asks").alias("asked"))
+        .filter("asked = 1")
+    )
     sure = blocks.filter("lo is null or lo = hi").select("key", F.coalesce("lo", "any").alias("u"))
     unsure = blocks.filter("lo <> hi and key like 'I|%'").select("key")
     held = full.join(unsure, "key", "left_semi").groupBy("key", F.col("word").alias("has")).agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
     wanted = asks.filter("word <> ''").join(unsure, "key", "left_semi").select("key", F.col("word").alias("w")).distinct()
     # both sides are sets of letters of one family name and initial, not names
     fits = F.size(F.array_except(F.split("w", ""), F.split("has", ""))) == 0
-    one = wanted.join(held, "key").filter(fits).groupBy("key", "w").agg(F.min("lo").alias("u"), F.max("hi").alias("hi")).filter("u = hi").select("key", F.col("w").alias("word"), "u")
+    one = (
+        wanted.join(held, "key")
+        .filter(fits)
+        .groupBy("key", "w")
+        .agg(F.min("lo").alias("u"), F.max("hi").alias("hi"))
+        .filter("u = hi")
+        .select("key", F.col("w").alias("word"), "u")
+    )
     return asks.join(sure, "key").select("u", F.col("cluster").alias("v")).union(asks.join(one, ["key", "word"]).select("u", F.col("cluster").alias("v")))
 
 
@@ -301,7 +329,13 @@ def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | N
     host are no names and have no row. Repeated ids have one row. Null kinds count as names.
     """
     kind = F.lower(strip(F.col("kind")))
-    ids = entities.filter(F.col("id").isNotNull() & ~F.col("id").rlike("^(doc|rec):")).groupBy("id").agg(F.max(F.coalesce(~kind.isin(OTHER_KINDS), F.lit(True))).alias("name")).filter("name").select("id")
+    ids = (
+        entities.filter(F.col("id").isNotNull() & ~F.col("id").rlike("^(doc|rec):"))
+        .groupBy("id")
+        .agg(F.max(F.coalesce(~kind.isin(OTHER_KINDS), F.lit(True))).alias("name"))
+        .filter("name")
+        .select("id")
+    )
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -323,14 +357,26 @@ def name_clusters(entities: DataFrame, forms: DataFrame, labelled: DataFrame | N
     sig = F.concat_ws("|", F.col("rest"), F.array_join("rare", " "), asks)
     described = described.withColumn("sig", sig)
     acronyms = described.filter("acronym <> ''").select("sig", "acronym").distinct()
-    profiles = described.groupBy("sig", "rest", "rare").agg(F.max(asks).alias("initials"), F.array_sort(F.collect_set(F.when(asks == "", F.col("initials")))).alias("middles"))
-    numbered = materialise(sequence(profiles, [], ["sig"], "sig", "profiles").select("sig", "rest", "rare", "initials", "middles", F.col("pos").alias("node")), "nodes")
-    spelled = materialise(numbered.join(acronyms, "sig", "left").select("node", F.concat_ws("|", "rest", F.array_join("rare", " "), "initials", F.coalesce("acronym", F.lit(""))).alias("spelling"), "middles"), "spelled")
+    profiles = (
+        described.groupBy("sig", "rest", "rare")
+        .agg(F.max(asks).alias("initials"), F.array_sort(F.collect_set(F.when(asks == "", F.col("initials")))).alias("middles"))
+    )
+    numbered = materialise(
+        sequence(profiles, [], ["sig"], "sig", "profiles").select("sig", "rest", "rare", "initials", "middles", F.col("pos").alias("node")), "nodes",
+    )
+    spelled = materialise(
+        numbered.join(acronyms, "sig", "left").select("node", F.concat_ws("|", "rest", F.array_join("rare", " "), "initials", F.coalesce("acronym", F.lit(""))).alias("spelling"), "middles"),
+        "spelled",
+    )
     clusters = numbered.select("node", F.col("node").alias("cluster"))
     keys = merged = None
     while True:  # each round that links leaves fewer clusters
         place = clusters if merged is None else clusters.join(merged.select(F.col("root").alias("cluster")).distinct(), "cluster", "left_semi")
-        rich = spelled.join(place, "node").groupBy("cluster").agg(F.array_sort(F.collect_set("spelling")).alias("spellings"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles"))
+        rich = (
+            spelled.join(place, "node")
+            .groupBy("cluster")
+            .agg(F.array_sort(F.collect_set("spelling")).alias("spellings"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles"))
+        )
         fresh = materialise(rich.mapInPandas(_keys, "key string, cluster long, word string, asks int"), "keys")
         if merged is None:
             keys = touched = fresh
@@ -364,4 +410,9 @@ def same_names(entities: DataFrame, forms: DataFrame, labelled: DataFrame | None
     c = materialise(name_clusters(entities, forms, labelled), "clusters")
     several = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
     m = c.join(several, "cluster", "left_semi")
-    return m.select("cluster", F.col("id").alias("id_a")).join(m.select("cluster", F.col("id").alias("id_b")), "cluster").filter("id_a < id_b").select("id_a", "id_b")
+    return (
+        m.select("cluster", F.col("id").alias("id_a"))
+        .join(m.select("cluster", F.col("id").alias("id_b")), "cluster")
+        .filter("id_a < id_b")
+        .select("id_a", "id_b")
+    )

@@ -164,10 +164,19 @@ def fill_containers(documents: DataFrame, containers: DataFrame, vocabulary: str
     sized = materialise(with_tokens(documents.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), "text", ["id"], vocabulary), "sizes")
     out = None
     for c in containers.filter("capacity_tokens > 0").select("container", "capacity_tokens").distinct().orderBy("container", "capacity_tokens").collect():
-        p = pack(sized, c["capacity_tokens"], "items").select(F.lit(c["container"]).alias("container"), "bin", F.col("id").alias("doc_id"), "piece", F.col("offset").alias("token_offset"), F.col("size").alias("n_tokens"))
+        p = (
+            pack(sized, c["capacity_tokens"], "items")
+            .select(F.lit(c["container"]).alias("container"), "bin", F.col("id").alias("doc_id"), "piece", F.col("offset").alias("token_offset"), F.col("size").alias("n_tokens"))
+        )
         out = p if out is None else out.union(p)
     if out is None:
-        return sized.select(F.lit("").alias("container"), F.col("id").alias("bin"), F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("token_offset"), "n_tokens").limit(0)
+        return (
+            sized.select(
+                F.lit("").alias("container"), F.col("id").alias("bin"), F.col("id").alias("doc_id"), F.lit(0).alias("piece"),
+                F.lit(0).alias("token_offset"), "n_tokens",
+            )
+            .limit(0)
+        )
     return out
 
 
@@ -175,4 +184,7 @@ def fill_report(filled: DataFrame, containers: DataFrame) -> DataFrame:
     """One row a container: bins, items, tokens, the share of room used and the least number of bins possible."""
     per = filled.groupBy("container").agg(F.countDistinct("bin").alias("bins"), F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))
     c = containers.select("container", "capacity_tokens").distinct()
-    return per.join(F.broadcast(c), "container").select("container", "bins", "items", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("used"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"))
+    return (
+        per.join(F.broadcast(c), "container")
+        .select("container", "bins", "items", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("used"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"))
+    )

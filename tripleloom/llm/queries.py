@@ -68,7 +68,10 @@ def p8_holds(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "container_sizes").select("container", "capacity_tokens").distinct()
     docs = table(spark, d, "documents").select("doc_id", "text")
     filled = materialise(fill_containers(table(spark, d, "documents"), c), "filled")
-    whole = filled.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("token_offset") + F.col("n_tokens")).alias("end"))
+    whole = (
+        filled.groupBy("container", "doc_id")
+        .agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("token_offset") + F.col("n_tokens")).alias("end"))
+    )
     sized = materialise(with_tokens(docs, "text", ["doc_id"]).withColumnRenamed("n_tokens", "size"), "sizes")
     per = whole.join(sized, "doc_id").join(F.broadcast(c), "container").groupBy("container", "capacity_tokens").agg(
         F.count(F.lit(1)).alias("documents"),
@@ -76,9 +79,18 @@ def p8_holds(spark: SparkSession, d: str) -> DataFrame:
         F.sum(((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))).cast("long")).alias("split_without_need"),
         F.sum("n").alias("tokens"),
     )
-    bins = filled.groupBy("container", "bin").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(c), "container").groupBy("container").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("long")).alias("overfull"), F.count(F.lit(1)).alias("bins"))
+    bins = (
+        filled.groupBy("container", "bin")
+        .agg(F.sum("n_tokens").alias("n"))
+        .join(F.broadcast(c), "container")
+        .groupBy("container")
+        .agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("long")).alias("overfull"), F.count(F.lit(1)).alias("bins"))
+    )
     near = F.col("bins") <= F.ceil(F.ceil(F.col("tokens") / F.col("capacity_tokens")) * 1.02)
-    return per.join(bins, "container").select("container", "capacity_tokens", "documents", "not_whole", "split_without_need", "overfull", near.alias("nearly_least"))
+    return (
+        per.join(bins, "container")
+        .select("container", "capacity_tokens", "documents", "not_whole", "split_without_need", "overfull", near.alias("nearly_least"))
+    )
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +98,10 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets")).withColumns({c: F.round(c, 6) for c in ("target_share", "reachable_share", "actual_share")})
+    return (
+        mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+        .withColumns({c: F.round(c, 6) for c in ("target_share", "reachable_share", "actual_share")})
+    )
 
 
 def p9_holds(spark: SparkSession, d: str) -> DataFrame:
@@ -94,12 +109,21 @@ def p9_holds(spark: SparkSession, d: str) -> DataFrame:
     point of it and keeps to the number of repeats."""
     mix, docs = table(spark, d, "mix_targets"), table(spark, d, "documents")
     got = mixture_shares(docs, mix)
-    drawn = mixture(docs, mix, carry=()).groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max("n").alias("most"), F.sum("n").alias("rows"))
+    drawn = (
+        mixture(docs, mix, carry=())
+        .groupBy("source", "doc_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("source")
+        .agg(F.max("n").alias("most"), F.sum("n").alias("rows"))
+    )
     caps = mix.select(source_name(F.col("source")).alias("source"), "max_repeats")
     both = got.join(F.broadcast(caps), "source").join(drawn, "source", "left")
     keeps = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("rows", F.lit(0)) == F.col("copies"))
     near = F.abs(F.col("actual_share") - F.col("reachable_share")) <= 0.01
-    return both.select("source", F.round("target_share", 6).alias("target_share"), F.round("reachable_share", 6).alias("reachable_share"), near.alias("within_tolerance"), keeps.alias("keeps_to_caps"))
+    return both.select(
+        "source", F.round("target_share", 6).alias("target_share"), F.round("reachable_share", 6).alias("reachable_share"), near.alias("within_tolerance"),
+        keeps.alias("keeps_to_caps"),
+    )
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 #: Where the public vocabularies lie: the package that brings them if it is installed, else the documented folder.
 _spec = importlib.util.find_spec("public_tokenizers")
-DEFAULT_VOCABULARY = os.path.join(_spec.submodule_search_locations[0] if _spec and _spec.submodule_search_locations else "/opt/tokenizers", "byte_bpe_50k.tiktoken")
+DEFAULT_VOCABULARY = os.path.join(
+    _spec.submodule_search_locations[0] if _spec and _spec.submodule_search_locations else "/opt/tokenizers", "byte_bpe_50k.tiktoken",
+)
 #: Fixed value: the published pattern that cuts text into words for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that are encoded at once. A longer text is cut where a blank follows a letter or digit, where the pattern cuts as well.

@@ -363,7 +363,12 @@ def _by_aggregation(kinds: DataFrame, run: int) -> DataFrame:
     shared = windows.groupBy("h", "w", "v").agg(F.min("lo").alias("l"), F.max("hi").alias("m")).filter("l <> m").select("h", "w", "v")
     lone = windows.filter("lo = hi").join(shared, ["h", "w", "v"], "left_semi").select("h", "x", "y", "step")
     at = Window.partitionBy("h", "x", "y").orderBy("step")  # a passage is bounded by its document
-    return lone.withColumn("g", F.col("step") - F.row_number().over(at)).groupBy("h", "x", "y", "g").agg(F.min("step").alias("s0"), F.max("step").alias("s1")).drop("g")
+    return (
+        lone.withColumn("g", F.col("step") - F.row_number().over(at))
+        .groupBy("h", "x", "y", "g")
+        .agg(F.min("step").alias("s0"), F.max("step").alias("s1"))
+        .drop("g")
+    )
 
 
 def shared_spans(documents: DataFrame, doc: str = "doc_id", text: str = "text", run: int = RUN, phrase: int = PHRASE, together: int = TOGETHER) -> DataFrame:
@@ -390,7 +395,13 @@ def shared_spans(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     kinds = materialise(kinds.withColumn("lone", lone).withColumn("n", F.count(F.lit(1)).over(by)), "kinds")
     open_ = kinds.filter("lone = 1")
     order = ["h", "x", "y", "lo", "hi", "passage"]
-    few = open_.filter(F.col("n") <= together).select(*order).repartition("h").sortWithinPartitions("h").mapInArrow(_compared(run), "h long, x long, y long, s0 long, s1 long")
+    few = (
+        open_.filter(F.col("n") <= together)
+        .select(*order)
+        .repartition("h")
+        .sortWithinPartitions("h")
+        .mapInArrow(_compared(run), "h long, x long, y long, s0 long, s1 long")
+    )
     many = _by_aggregation(open_.filter(F.col("n") > together).select(*order), run)
     whole = kinds.filter("lo <> hi").select("h", "x", "y", F.lit(0).cast("long").alias("s0"), F.lit(None).cast("long").alias("s1"))
     found = whole.union(few).union(many.select("h", "x", "y", "s0", "s1"))
@@ -408,4 +419,8 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def shared_chars(documents: DataFrame, doc: str = "doc_id", text: str = "text", run: int = RUN, phrase: int = PHRASE) -> DataFrame:
     """(doc_id, shared_chars): each document with a shared run and how many of its characters lie in one."""
-    return merged(shared_spans(documents, doc, text, run, phrase)).groupBy(F.col("doc").alias("doc_id")).agg(F.sum(F.col("stop") - F.col("start")).cast("long").alias("shared_chars"))
+    return (
+        merged(shared_spans(documents, doc, text, run, phrase))
+        .groupBy(F.col("doc").alias("doc_id"))
+        .agg(F.sum(F.col("stop") - F.col("start")).cast("long").alias("shared_chars"))
+    )
