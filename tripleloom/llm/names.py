@@ -29,6 +29,7 @@ from tripleloom.session import materialise
 
 #: Words that carry no name, and titles.
 FILLERS = {"the", "of", "and", "for", "dr", "prof", "mr", "mrs", "ms", "sir"}
+GLUED = ["and", "for", "of"]
 #: Kinds whose ids are no names.
 OTHER_KINDS = ["tag", "url_host", "document", "record"]
 #: A word is common if its share of all names is above this by so many standard deviations (of the count):
@@ -94,6 +95,7 @@ class Lexicon:
         # a common word a letter away from one four times as common is that word's plural or misspelling
         twins = {w for w in common if len(w) >= 4 and any(common.get(c, 0) >= 4 * common[w] and osa_one(w, c) for d in deletions(w) for c in self.near.get(d, ()) if c != w)}
         self.known = (set(common) - twins) | set(forms.values())
+        self.twins = twins - self.known - set(forms)
         self.memo: dict[str, str] = {}
 
     def word(self, w: str) -> str:
@@ -109,7 +111,7 @@ class Lexicon:
             return self.forms[bare]
         if bare in self.known and not dotted:
             return bare
-        for filler in ("and", "for", "of"):  # words run together: AdaptiveandRelation
+        for filler in GLUED:  # words run together: AdaptiveandRelation
             if bare.endswith(filler) and bare[: -len(filler)] in self.known:
                 return bare[: -len(filler)]
         if (2 if dotted else 3) <= len(bare) <= 5:  # an abbreviation that no list has: the beginning of one common word
@@ -122,6 +124,8 @@ class Lexicon:
         if len(bare) >= 3:
             close = {c for d in deletions(bare) for c in self.near.get(d, ()) if osa_one(bare, c) and (c in self.known or c in self.forms)}
             full = {self.forms.get(c, c) for c in close}
+            if not full and bare not in self.twins:  # a misspelt twin stands for what the twin stands for
+                full = {self.word(c) for d in deletions(bare) for c in self.near.get(d, ()) if c in self.twins and osa_one(bare, c)}
             if len(full) == 1:
                 return full.pop()
         return bare
@@ -302,6 +306,8 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for i, w in enumerate(rare):
                     kept = at.setdefault((rest, len(rare), i), (set(), set()))
                     kept[0].add(w)
+                    if len(rare) + len(commons) >= 3:  # a filler run together with a rare word of a longer name
+                        kept[0].update(w.removesuffix(x) for x in GLUED if w.endswith(x) and len(w) - len(x) >= 4)
                     kept[1].add(" ".join(rare[:i] + rare[i + 1 :]))
                 if len(rare) == 1 and not commons and initials:
                     asking.append((rare[0], initials))
