@@ -184,39 +184,55 @@ def best_bundles(
     return _branch(ranked, group, root, bundles, deps, first_k)
 
 
+def _search(rows: list[tuple[str, int, int, str]], names: list[str], deps: list, k: int) -> list[tuple[str, int, bool]]:
+    """Branch and bound over one group's candidate lists, best first by the places given up; of equal costs
+    the earlier bundles keep the better places. ``rows`` are (bundle, place, row, values as JSON)."""
+    together: list[set[tuple]] = [set() for _ in deps]
+    lists: dict[str, list[tuple[int, int, dict]]] = {n: [] for n in names}
+    for bundle, place, row, v in rows:
+        held = json.loads(v)
+        if bundle.startswith("~"):
+            together[int(bundle[1:])].add((held.get("x"), held.get("y")))
+        else:
+            lists[bundle].append((place, row, held))
+    over = any(len(x) > k for x in lists.values())
+    ranked = {n: sorted(x, key=lambda c: c[0])[:k] for n, x in lists.items() if x}
+    order = list(ranked)
+    heap: list[tuple[int, tuple[int, ...]]] = [(0, ())]  # cost so far, choice
+    while heap:
+        cost, choice = heapq.heappop(heap)
+        if over and cost >= k:  # a value beyond the lists might do as well
+            return [("", 0, False)]
+        if len(choice) == len(order):
+            return [(n, ranked[n][p][1], True) for n, p in zip(order, choice, strict=True)]
+        for place in range(len(ranked[order[len(choice)]])):
+            now = (*choice, place)
+            at = {n: ranked[n][p][2] for n, p in zip(order, now, strict=False)}
+            if all(a not in at or b not in at or (at[a].get(f"v_{x}"), at[b].get(f"v_{y}")) in together[i] for i, ((a, x), (b, y)) in enumerate(deps)):
+                heapq.heappush(heap, (cost + place, now))
+    if over:
+        return [("", 0, False)]
+    return [(n, ranked[n][0][1], True) for n in order]  # no choice meets all: the best row gives every bundle it can
+
+
 def _searcher(group: str, names: list[str], deps: list, k: int):
-    """Branch and bound over one group's candidate lists: best first by the places given up."""
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        g = frame[group].iloc[0]
-        together = {i: {(d.get("x"), d.get("y")) for d in map(json.loads, frame.loc[frame["bundle"] == f"~{i}", "v"])} for i in range(len(deps))}
-        lists, over = {}, False
-        for n in names:
-            f = frame[frame["bundle"] == n].sort_values("place")
-            over = over or len(f) > k
-            lists[n] = [(int(r), json.loads(v)) for r, v in zip(f["row"], f["v"], strict=True)][:k]
-        order = [n for n in names if lists[n]]
-        heap: list[tuple[int, tuple[int, ...]]] = [(0, ())]  # cost so far (places given up), choice; of equal costs the earlier bundles keep the better places
-        found = None
-        while heap:
-            cost, choice = heapq.heappop(heap)
-            if over and cost >= k:  # a value beyond the lists might do as well
-                break
-            if len(choice) == len(order):
-                found = choice
-                break
-            for place in range(len(lists[order[len(choice)]])):
-                now = (*choice, place)
-                at = {n: lists[n][p][1] for n, p in zip(order, now, strict=False)}
-                if all(a not in at or b not in at or (at[a].get(f"v_{x}"), at[b].get(f"v_{y}")) in together[i] for i, ((a, x), (b, y)) in enumerate(deps)):
-                    heapq.heappush(heap, (cost + place, now))
-        if found is None and not over:  # no choice meets all: the best row gives every bundle it can
-            return pd.DataFrame({"g": [g] * len(order), "bundle": order, "row": [lists[n][0][0] for n in order], "done": [True] * len(order)})
-        if found is None:
-            return pd.DataFrame({"g": [g], "bundle": [""], "row": [0], "done": [False]})
-        return pd.DataFrame({"g": [g] * len(order), "bundle": order, "row": [lists[n][p][0] for n, p in zip(order, found, strict=True)], "done": [True] * len(order)})
-
-    return search
+    """Rows sorted by group -> (g, bundle, row, done); a group's rows are bounded by k, its neighbours' do not matter."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows = None, []
+        for f in frames:
+            out: list[tuple] = []
+            for g, *row in zip(f[group], f["bundle"], f["place"], f["row"], f["v"], strict=True):
+                if rows and g != at:
+                    out += [(at, *x) for x in _search(rows, names, deps, k)]
+                    rows = []
+                at = g
+                rows.append(tuple(row))
+            yield pd.DataFrame(out, columns=["g", "bundle", "row", "done"])
+        if rows:
+            yield pd.DataFrame([(at, *x) for x in _search(rows, names, deps, k)], columns=["g", "bundle", "row", "done"])
+
+    return run
 
 
 def _branch(ranked: DataFrame, group: str, root: DataFrame, bundles: dict[str, Column], deps: list, first_k: int) -> DataFrame:
@@ -276,10 +292,8 @@ def _branch(ranked: DataFrame, group: str, root: DataFrame, bundles: dict[str, C
             )
             pair_rows = one if pair_rows is None else pair_rows.union(one)
 
-        tried = materialise(
-            cand.union(pair_rows).groupBy(group).applyInPandas(_searcher(group, names, deps, k), f"g {group_type}, bundle string, row long, done boolean"),
-            "branched",
-        )
+        sorted_ = cand.union(pair_rows).repartition(group).sortWithinPartitions(group)
+        tried = materialise(sorted_.mapInPandas(_searcher(group, names, deps, k), f"g {group_type}, bundle string, row long, done boolean"), "branched")
         settled = settled.union(tried.filter("done").select(F.col("g").alias(group), "bundle", "row"))
         pending = materialise(tried.filter("not done").select(F.col("g").alias(group)).distinct(), "conflicts")
         k *= 2
