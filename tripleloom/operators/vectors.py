@@ -234,10 +234,9 @@ def train(vectors: DataFrame, adj: DataFrame, epochs: int = 30, rate: float = 0.
     if not first:
         return w, losses
     pairs = walk_pairs(adj, None, 5, seed)
-    rows = materialise(
-        pairs.join(inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").join(inputs.select(F.col("id").alias("dst"), F.col("x").alias("v")), "dst").select("u", "v", "n", F.xxhash64(F.lit(seed), "src", "dst").alias("k")),
-        "pairs",
-    )
+    own, other = inputs.select(F.col("id").alias("src"), F.col("x").alias("u")), inputs.select(F.col("id").alias("dst"), F.col("x").alias("v"))
+    met = pairs.join(own, "src").join(other, "dst").select("u", "v", "n", F.xxhash64(F.lit(seed), "src", "dst").alias("k"))
+    rows = materialise(met.repartition("k").sortWithinPartitions("k"), "pairs")  # gradients add up in one order
     pool = np.array([r["x"] for r in inputs.select("x", F.xxhash64(F.lit(seed), "id").alias("h"), "id").orderBy("h", "id").limit(POOL).collect()], np.float64)
     best, held, step = math.inf, w, None
     for epoch in range(epochs):
