@@ -36,3 +36,24 @@ def test_near_pairs_are_the_candidates_that_reach_the_floor_in_any_cells(spark):
         for cell in (8000, 90):
             got = [tuple(r) for r in resolve.near_pairs(b, floor, cell).collect()]
             assert len(got) == len(want) and set(got) == want
+
+
+def _resolved(spark, monkeypatch):
+    """The tables that resolving opaque ids writes, by label, and its result."""
+    kept = {}
+
+    def materialise(df, label="step", of=resolve.materialise):
+        kept[label] = of(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(resolve, "materialise", materialise)
+    entities = _blocked(spark).select("id", "kind").filter("kind is not null").distinct()
+    triples = spark.createDataFrame([("x", "P", "y")], "subject string, predicate string, object string")
+    return kept, resolve.resolve(entities, triples)
+
+
+def test_groups_are_made_without_writing_flagged_pairs(spark, monkeypatch):
+    kept, r = _resolved(spark, monkeypatch)
+    assert {x["canonical"] for x in r["canonical"].collect()}
+    assert not [k for k, t in kept.items() if "band" in t.columns and t.filter("band <> 'auto'").head(1)]
+    assert r["flagged"].filter("score >= 0.7 and score < 0.85").count() == r["flagged"].count() > 0
