@@ -57,3 +57,13 @@ def test_groups_are_made_without_writing_flagged_pairs(spark, monkeypatch):
     assert {x["canonical"] for x in r["canonical"].collect()}
     assert not [k for k, t in kept.items() if "band" in t.columns and t.filter("band <> 'auto'").head(1)]
     assert r["flagged"].filter("score >= 0.7 and score < 0.85").count() == r["flagged"].count() > 0
+
+
+def test_aliases_have_the_best_score_of_all_pairs_that_merge(spark, monkeypatch):
+    kept, r = _resolved(spark, monkeypatch)
+    best = {}
+    for x in kept["auto"].collect():  # before, pairs that only may merge were kept in its place
+        for i in (x["a"], x["b"]):
+            best[i] = max(best.get(i, 0), x["score"])
+    got = {x["alias_id"]: x["confidence"] for x in r["aliases"].collect()}
+    assert got and all(best[i] == c for i, c in got.items())
