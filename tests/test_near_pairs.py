@@ -67,3 +67,21 @@ def test_aliases_have_the_best_score_of_all_pairs_that_merge(spark, monkeypatch)
             best[i] = max(best.get(i, 0), x["score"])
     got = {x["alias_id"]: x["confidence"] for x in r["aliases"].collect()}
     assert got and all(best[i] == c for i, c in got.items())
+
+
+def test_what_all_names_begin_with_takes_no_bits():
+    rng = random.Random(7)
+    names = sorted(f"doc{rng.getrandbits(64):016x}" for _ in range(120))
+    columns = NameColumns(names)
+    assert all(b.itemsize == 2 for part in columns.parts for b in part[3].values())  # 19 characters had 32 bits
+    for a in [*names[:20], "doc", "do", "rec" + names[0][3:], "d0" + names[1]]:
+        want = {i: v for i, b in enumerate(names) if (v := jaro_winkler_value(a, b)) >= 0.7}
+        assert {int(i): v for at, vs in columns.near(a, 0.7) for i, v in zip(at, vs, strict=True)} == want
+
+
+def test_large_cells_are_shared_by_tasks_and_make_each_pair_once(spark, monkeypatch):
+    b = _blocked(spark).cache()
+    want = sorted(map(tuple, resolve.near_pairs(b, 0.7).collect()), key=str)
+    for shares in (1, 3):
+        monkeypatch.setattr(resolve, "CELL_SHARES", shares)
+        assert sorted(map(tuple, resolve.near_pairs(b, 0.7, 90).collect()), key=str) == want
