@@ -86,3 +86,25 @@ def test_components_are_the_same_in_one_task_and_in_rounds(spark, monkeypatch):
     for most in (10**6, 40, -1):
         monkeypatch.setattr(graph, "LOCAL_LINKS", most)
         assert {r["id"]: r["root"] for r in graph.components(df, "a", "b", graph.shortest_first).collect()} == want
+
+
+def test_aliases_have_their_best_pair_of_all_though_few_are_written(spark, monkeypatch):
+    written = {}
+
+    def materialise(df, label="step", of=resolve.materialise):
+        written[label] = of(df, label)
+        return written[label]
+
+    monkeypatch.setattr(resolve, "materialise", materialise)
+    monkeypatch.setattr(resolve, "LINK_ROWS", 150)
+    entities, triples = _blocked(spark).select("id", "kind").distinct(), spark.createDataFrame([], "subject string, predicate string, object string")
+    every = [(r["a"], r["b"], r["score"], r["method"]) for r in resolve.matches(entities).filter("band = 'auto'").collect()]
+    best = {}
+    for a, b, score, method in every:
+        for i in (a, b):
+            best[i] = min(best.get(i, (0, "")), (-score, method))
+    canonical = {x: min(g, key=lambda n: (len(n), n)) for g in _groups([x[:2] for x in every]) for x in g}
+    got = [tuple(r) for r in resolve.resolve(entities, triples)["aliases"].collect()]
+    want = {(c, x, -best[x][0], 2, best[x][1]) for x, c in canonical.items() if x != c}
+    assert len(got) == len(want) and set(got) == want and {x[4] for x in got} == {"jaro_winkler", "initialism"}
+    assert written["links"].count() < len(every) * 2 / 3  # all of them before
